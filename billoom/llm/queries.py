@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, simhash
+from . import langid, mixing, packing, permutation, simhash, sstable, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,23 @@ def fold(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def op1_permutation_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return permutation.search(rows, rows.filter("vec_id % 100 = 0"), k=10)
+
+
+def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.write_tables(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return sstable.checked(sstable.read_tables(manifest))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages have no capture time: page_id seconds after 2000-01-01 stand for it."""
+    runs = warc.write_archives(table(spark, sf_dir, "pages"), captured=F.timestamp_seconds(F.lit(946_684_800) + F.col("page_id")))
+    records = warc.read_records(warc.captures(warc.merge_index(runs)))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources flattened to the square roots of their sizes, as many bytes as there are."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), temperature=0.5, budget=1.0, seed=5)
@@ -73,6 +90,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_permutation_knn": op1_permutation_knn,
+    "op3_sstable": op3_sstable,
+    "op4_warc": op4_warc,
     "op5_poisson_mix": op5_poisson_mix,
     "op6_pattern_packing": op6_pattern_packing,
     "op7_language_id": op7_language_id,
