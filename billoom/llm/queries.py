@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, permutation, simhash, sstable, warc
+from . import kneserney, langid, mixing, packing, permutation, simhash, sstable, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "coverage")
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)))
+    return kneserney.score(docs, kneserney.fit(docs.filter(~F.col("held_out"))), keep=["doc_id", "held_out"])
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_poisson_mix": op5_poisson_mix,
     "op6_pattern_packing": op6_pattern_packing,
     "op7_language_id": op7_language_id,
+    "op8_kneser_ney": op8_kneser_ney,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op5_poisson_mix": OP5_SQL}
