@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 PIVOTS = 128
-PREFIX = 96
-FRACTION = 0.1
+PREFIX = 128
+FRACTION = 0.15
 LEAST_CANDIDATES = 1000
 SHARD_VECTORS = 1 << 15
 #: Queries that are broadcast at a time.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneserney, langid, mixing, packing, permutation, simhash, sstable, warc
+from . import kneserney, langid, licenses, mixing, packing, permutation, simhash, sstable, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,16 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.score(docs, kneserney.fit(docs.filter(~F.col("held_out"))), keep=["doc_id", "held_out"])
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files: source / thousands / fifties of doc_id; each twentieth is its directory's LICENSE."""
+    d = F.col("doc_id")
+    name = F.when(d % 20 == 0, "LICENSE").otherwise(F.concat(d.cast("string"), F.lit(".txt")))
+    place = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(d / 1000).cast("string"), F.when(d % 20 == 0, d.cast("string")).otherwise(F.floor(d / 50).cast("string")))
+    place = F.when(d % 40 == 0, F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(d / 1000).cast("string"))).otherwise(place)
+    files = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", place, name))
+    return licenses.inherit(files.select("doc_id", "path"), licenses.scan(files)).select("doc_id", "path", "license", "score", "via", "from_dir")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -102,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pattern_packing": op6_pattern_packing,
     "op7_language_id": op7_language_id,
     "op8_kneser_ney": op8_kneser_ney,
+    "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op5_poisson_mix": OP5_SQL}
