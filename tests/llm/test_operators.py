@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from billoom.llm import langid, licenses, packing, permutation, simhash, sstable, warc
+from billoom.llm import bm25, langid, licenses, packing, permutation, simhash, sstable, warc
 from billoom.llm.queries import vocabulary
 
 DOCS = [(1, "the cat sat on the mat and ran"), (2, None), (3, ""), (4, "The cat  sat on the mat and ran"), (5, "a b"), (5, "a b"), (6, "der hund und die katze"), (None, "zz yy xx ww vv uu"), (7, "x" * 20000)]
@@ -111,6 +113,34 @@ def test_permutation_recall(spark):
     assert [(r["vec_id"], r["rank"]) for r in permutation.search(odd, odd.filter("vec_id % 100 = 0")).orderBy("rank").collect()] == [(4, 1), (5, 2), (6, 3)]
 
 
+def _bm25(rows, queries, k):
+    """Scores everything; rows and queries are (doc_id, text)."""
+    held = [(d, Counter(bm25.words(t))) for d, t in rows if d is not None]
+    df = Counter(w for _, c in held for w in c)
+    n, average = len(held), sum(c.total() for _, c in held) / len(held)
+    out = set()
+    for q, text in queries:
+        best: dict[int, float] = {}
+        for d, c in held:
+            add = sum(qtf * math.floor(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * (c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / average))) * 2**24 + 0.5) for w, qtf in Counter(bm25.words(text)).items() if w in c)
+            if d != q and add > 0:
+                best[d] = max(best.get(d, 0), add / 2**24)
+        out |= {(q, r, d, s) for r, (s, d) in enumerate([(-s, d) for s, d in sorted((-s, d) for d, s in best.items())][:k], 1)}
+    return out
+
+
+def test_bm25(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.4, int(rng.integers(1, 60))), 400))) for k in range(400)]
+    rows += [(k, "w1 W2 w3 w3 rare") for k in range(400, 500)] + DOCS + [(600, "w1 " * 5000)]
+    queries = [(k, t) for k, t in rows if k is not None and k % 50 == 0]
+    for size in (2000, 1 << 20):
+        got = bm25.search(docs(spark, rows), docs(spark, queries), shard_bytes=size, query_bytes=2000)
+        assert {tuple(r) for r in got.collect()} == _bm25(rows, queries, 10)
+    assert {tuple(r) for r in bm25.search(docs(spark), docs(spark, [(5, "a b"), (9, "The mat"), (8, None)])).collect()} == _bm25(DOCS, [(5, "a b"), (9, "The mat")], 10)
+    assert bm25.search(docs(spark, []), docs(spark)).count() == 0 == bm25.search(docs(spark), docs(spark, [])).count()
+
+
 def test_packing(spark):
     rng = np.random.default_rng(3)
     lengths = [int(n) for n in np.minimum(rng.lognormal(6.5, 1, 3000) + 1, 4096)]
