@@ -31,7 +31,9 @@ HOT_BUCKET = 4096
 BROADCAST_KEYS = 100_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at a time, which bounds memory for very long texts.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
+#: Texts taken from a batch at a time, and fingerprints posted at a time.
+TEXTS, POSTED = 250, 2000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -58,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp long) of every row; fp is the unsigned fingerprint read as a signed long."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             fps = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
@@ -84,8 +86,8 @@ def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Table entries (own) and probes of each fingerprint in both segments."""
     for b in batches:
         whole = b.column("fp").to_numpy()
-        for at in range(0, len(whole), 10_000):
-            fp = whole[at : at + 10_000]
+        for at in range(0, len(whole), POSTED):
+            fp = whole[at : at + POSTED]
             for k in (0, 1):
                 row, value = _flips(_segment(fp, k), 32)
                 yield _batch(np.int64(k << 32) | value, fp[row], np.arange(len(row)) < len(fp))
@@ -95,8 +97,8 @@ def post_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of what stands in a hot bucket: entries and probes by halves of the other segment, within that bucket."""
     for b in batches:
         keys, whole = b.column("key").to_numpy(), b.column("fp").to_numpy()
-        for at in range(0, len(whole), 10_000):
-            key, fp = keys[at : at + 10_000], whole[at : at + 10_000]
+        for at in range(0, len(whole), POSTED):
+            key, fp = keys[at : at + POSTED], whole[at : at + POSTED]
             other = np.where(key >> 32 == 0, _segment(fp, 1), _segment(fp, 0))
             for q in (0, 1):
                 row, value = _flips(other >> (16 * q) & 0xFFFF, 16)
