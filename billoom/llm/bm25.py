@@ -35,7 +35,7 @@ K1, B = 1.2, 0.75
 SHARD_BYTES, SHARD_DOCS = 1 << 26, 1 << 16
 BLOCK = 64
 #: A query's terms are cut into groups where so much of their postings has been seen.
-GROUPS = (1 / 64, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
+GROUPS = (1 / 50, 1 / 10, 1)
 #: Bytes of query texts that are broadcast at a time, and shards searched one after the other in a task.
 QUERY_BYTES, SHARDS_A_TASK = 1 << 24, 4
 SCALE = float(1 << 24)
@@ -128,23 +128,23 @@ def _places(shard, asked: list[bytes]) -> np.ndarray:
 
 
 class Shard:
-    """The postings of the asked terms in one shard, with the maxima of their blocks under global statistics."""
+    """The postings of the asked terms in one shard: scaled scores under global statistics, and the maxima of their blocks."""
 
-    def __init__(self, shard, asked: list[bytes], average: float):
+    def __init__(self, shard, asked: list[bytes], idf: np.ndarray, average: float):
         self.ids, place, sizes = shard["ids"], _places(shard, asked), shard["sizes"].astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         self.sizes = np.where(place >= 0, sizes[place] if len(sizes) else 0, 0)
         idx = _ranges(np.where(place >= 0, starts[place], 0), self.sizes)
-        self.docs, tf = shard["docs"][idx].astype(np.int32), shard["counts"][idx].astype(np.float64)
+        self.docs, tf = shard["docs"][idx].astype(np.int64), shard["counts"][idx].astype(np.float64)
         norm = K1 * (1 - B + B * shard["lengths"].astype(np.float64) / average)
-        self.part = tf * (K1 + 1) / (tf + norm[self.docs])
+        self.adds = np.floor(np.repeat(idf, self.sizes) * (tf * (K1 + 1) / (tf + norm[self.docs])) * SCALE + 0.5)
         blocks = -(-self.sizes // BLOCK)
         self.block_at = np.concatenate([[0], np.cumsum(blocks)])
         within = np.arange(self.block_at[-1]) - np.repeat(self.block_at[:-1], blocks)
         ends = np.cumsum(self.sizes)
         self.starts = np.repeat(ends - self.sizes, blocks) + BLOCK * within
         self.lengths = np.minimum(BLOCK, np.repeat(ends, blocks) - self.starts)
-        self.most = np.maximum.reduceat(self.part, self.starts) if len(self.starts) else np.empty(0)
+        self.most = np.maximum.reduceat(self.adds, self.starts) if len(self.starts) else np.empty(0)
         self.first, self.last = self.docs[self.starts], self.docs[self.starts + self.lengths - 1]
         unique, self.of = np.unique(self.ids, return_inverse=True)
         self.repeats = len(unique) if len(unique) < len(self.ids) else 0
@@ -157,7 +157,7 @@ class Shard:
             scores = best
         return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else 0.0
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, idf: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, terms: np.ndarray, weights: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scaled scores) of the k best, ties to the smaller id; only scores over 0 and from ``least`` on."""
         n = len(self.ids)
         held = self.sizes[terms] > 0
@@ -173,19 +173,21 @@ class Shard:
             t = terms[a:z]
             counts = self.block_at[t + 1] - self.block_at[t]
             blocks = _ranges(self.block_at[t], counts)
-            w, q = np.repeat(idf[t], counts), np.repeat(weights[a:z], counts)
-            bound = np.floor(w * self.most[blocks] * SCALE + 0.5) * q
+            q = np.repeat(weights[a:z], counts)
+            bound = self.most[blocks] * q
             at = np.cumsum(np.bincount(self.first[blocks], bound, n + 1) - np.bincount(self.last[blocks] + 1, bound, n + 1))[:n]
-            groups.append((blocks, w, q, at))
-        score, alive, rest = np.zeros(n), self.ids != own, np.sum([g[3] for g in groups], axis=0)
-        for blocks, w, q, at in groups:
+            groups.append((blocks, q, at))
+        score, alive, rest = np.zeros(n), self.ids != own, sum(g[2] for g in groups)
+        for blocks, q, at in groups:
             upto = np.concatenate([[0], np.cumsum(alive)])
             used = upto[self.last[blocks] + 1] > upto[self.first[blocks]]
-            blocks, w, q = blocks[used], w[used], q[used]
+            blocks, q = blocks[used], q[used]
             sizes = self.lengths[blocks]
             idx = _ranges(self.starts[blocks], sizes)
-            adds = np.floor(np.repeat(w, sizes) * self.part[idx] * SCALE + 0.5) * np.repeat(q, sizes)
-            score += np.bincount(self.docs[idx], adds, n)
+            at_doc, adds = self.docs[idx], self.adds[idx]
+            if (q != 1).any():
+                adds *= np.repeat(q, sizes)
+            score += np.bincount(at_doc, adds, n)
             score[~alive] = 0
             rest = rest - at
             least = max(least, self._kth(score, k))
@@ -250,10 +252,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
             held = [(np.empty(0, np.int64), np.empty(0))] * len(parsed)
             for b in batches:
                 for path in b.column("path").to_pylist():
-                    shard = Shard(_load(path), names.value, average)
+                    shard = Shard(_load(path), names.value, idf, average)
                     for at, (own, terms, weights) in enumerate(parsed):
                         ids, scores = held[at]
-                        more = shard.search(terms, weights, idf, own, k, scores[-1] if len(ids) == k else 0.0)
+                        more = shard.search(terms, weights, own, k, scores[-1] if len(ids) == k else 0.0)
                         ids, scores = np.concatenate([ids, more[0]]), np.concatenate([scores, more[1]])
                         order = np.lexsort((ids, -scores))
                         order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
