@@ -207,7 +207,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_times")).select(F.col("doc_id").alias("_stays"), "_times")
     stays = Scratch(docs.sparkSession, "simhash-stays").keep(stays, "stays")
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_stays"]))
+    # Ids grow with the input: a merge join at every size, no broadcast that only holds on small inputs.
+    kept = docs.join(stays.hint("merge"), docs["doc_id"].eqNullSafe(stays["_stays"]))
     once = kept.filter("_times = 1").drop("_stays", "_times")
     if stays.filter("_times > 1").limit(1).count():
         once = once.unionByName(kept.filter("_times > 1").drop("_stays", "_times").dropDuplicates(["doc_id"]))
