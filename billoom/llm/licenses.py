@@ -43,7 +43,8 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
     rows = units.select("path", "uid", F.explode("terms").alias("term")).groupBy("path", "uid", "term").agg(F.count("*").alias("tf"))
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
-    fixed = spark.createDataFrame(list((templates or TEMPLATES).items()), "license string, text string").select("license", F.explode(terms(F.col("text"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("ttf"))
+    known = F.create_map(*[F.lit(x) for kv in (templates or TEMPLATES).items() for x in kv])
+    fixed = spark.range(1).select(F.explode(known).alias("license", "text")).select("license", F.explode(terms(F.col("text"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("ttf"))
     fixed = fixed.join(df, "term", "left").select("license", "term", (F.col("ttf") * idf).alias("tw"))
     norms = fixed.groupBy("license").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
     fixed = fixed.join(norms, "license")  # as many rows as the templates have terms
@@ -58,7 +59,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
 def inherit(files: DataFrame, found: DataFrame) -> DataFrame:
     """files(path, ...) with license, score and via (own, inherited, none) and from_dir added; clashing columns are replaced.
 
-    A null path has no licence. A directory with several licence files takes the first id among theirs.
+    A null path has no licence. The root '' is above every directory. A directory with several licence files takes the first id among theirs.
     """
     files = files.drop("license", "score", "via", "from_dir", "_dir")
     parent = F.regexp_replace("path", "/?[^/]*$", "")
@@ -66,7 +67,7 @@ def inherit(files: DataFrame, found: DataFrame) -> DataFrame:
     given = found.filter(name.rlike(LICENSE_NAME)).groupBy(parent.alias("above")).agg(F.min("license").alias("given"))
     dirs = files.select(parent.alias("_dir")).filter("_dir IS NOT NULL").distinct()
     parts = F.split("_dir", "/")
-    above = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))).alias("a")).select("_dir", "a.*")
+    above = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))).alias("a")).select("_dir", "a.*")
     nearest = above.join(given, "above").groupBy("_dir").agg(F.max_by(F.struct("above", "given"), "depth").alias("near"))
     out = files.withColumn("_dir", parent).join(found, "path", "left").join(nearest, "_dir", "left")
     own = F.col("license").isNotNull()

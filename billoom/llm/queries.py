@@ -124,6 +124,50 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.inherit(files.select("doc_id", "path"), licenses.scan(files)).select("doc_id", "path", "license", "score", "via", "from_dir")
 
 
+OP9_SQL = r"""
+WITH placed AS (
+  SELECT doc_id, text,
+    CASE WHEN doc_id % 40 = 0 THEN concat_ws('/', coalesce(source, ''), floor(doc_id / 1000.0)::BIGINT::VARCHAR)
+      ELSE concat_ws('/', coalesce(source, ''), floor(doc_id / 1000.0)::BIGINT::VARCHAR,
+        CASE WHEN doc_id % 20 = 0 THEN doc_id::VARCHAR ELSE floor(doc_id / 50.0)::BIGINT::VARCHAR END) END AS place,
+    CASE WHEN doc_id % 20 = 0 THEN 'LICENSE' ELSE doc_id::VARCHAR || '.txt' END AS name
+  FROM documents),
+files AS (SELECT doc_id, text, concat_ws('/', place, name) AS path FROM placed),
+parted AS (
+  SELECT path, unnest(string_split(regexp_replace(text, '([.;!?])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10))) AS unit
+  FROM files WHERE regexp_matches(lower(text), '@speaks')),
+units AS (SELECT DISTINCT path, unit FROM parted WHERE regexp_matches(lower(unit), '@speaks')),
+total AS (SELECT count(*)::DOUBLE AS n FROM units),
+words AS (SELECT path, unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+(?:[.+-][a-z0-9]+)*')) AS term FROM units),
+tfs AS (SELECT path, unit, term, count(*)::DOUBLE AS tf FROM words GROUP BY ALL),
+dfs AS (SELECT term, count(*)::DOUBLE AS df FROM tfs GROUP BY term),
+templates(license, text) AS (VALUES @templates),
+template_words AS (SELECT license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.+-][a-z0-9]+)*')) AS term FROM templates),
+template_tfs AS (SELECT license, term, count(*)::DOUBLE AS tf FROM template_words GROUP BY ALL),
+fixed AS (SELECT license, term, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS tw FROM template_tfs LEFT JOIN dfs USING (term), total),
+template_norms AS (SELECT license, sqrt(sum(tw * tw)) AS tnorm FROM fixed GROUP BY license),
+weighed AS (SELECT path, unit, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tfs JOIN dfs USING (term), total),
+norms AS (SELECT path, unit, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+dots AS (SELECT path, unit, license, sum(w * tw) AS dot FROM weighed JOIN fixed USING (term) GROUP BY ALL),
+scored AS (SELECT path, license, round(dot / (norm * tnorm), 6) AS score FROM dots JOIN norms USING (path, unit) JOIN template_norms USING (license)),
+found AS (
+  SELECT path, license, score FROM scored WHERE score >= @least
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
+given AS (
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS above, min(license) AS given FROM found
+  WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '@name') GROUP BY 1),
+dirs AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
+ancestors AS (SELECT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') AS above FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS depth FROM dirs)),
+nearest AS (SELECT dir, above, given FROM ancestors JOIN given USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY depth DESC) = 1)
+SELECT doc_id, files.path, coalesce(license, given) AS license, score,
+  CASE WHEN license IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS via,
+  CASE WHEN license IS NULL AND given IS NOT NULL THEN above END AS from_dir
+FROM files LEFT JOIN found USING (path) LEFT JOIN nearest ON nearest.dir = regexp_replace(files.path, '/?[^/]*$', '')
+"""
+for _key, _value in {"speaks": licenses.SPEAKS, "name": licenses.LICENSE_NAME, "least": str(licenses.LEAST_COSINE), "templates": ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())}.items():
+    OP9_SQL = OP9_SQL.replace(f"@{_key}", _value)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -141,4 +185,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op2_block_max_wand": OP2_SQL, "op5_poisson_mix": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_block_max_wand": OP2_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_scan": OP9_SQL}

@@ -37,7 +37,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("simhash_near_dedup", near_duplicates), ("poisson_mix", mixture), ("pattern_packing", packed)]
 
-#: SQL has neither XXH64 with a seed nor the tokenizers. A test of run() against a plain Python version is still to be written.
+#: SQL has neither XXH64 with a seed nor the tokenizers. tests/llm/test_pipeline.py holds run() against a plain Python version.
 ORACLE_SQL = None
 
 
