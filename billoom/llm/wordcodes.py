@@ -48,7 +48,9 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # Added tokens are found before all pre-tokenizing, across any cut; one that is sought in normalised text may stand anywhere.
+        self.added, self.uncut = [t.content for t in added], any(t.normalized for t in added)
         self.pieces, self.known = pieces, dict(zip(STOPS, self._encode(STOPS), strict=True))
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
@@ -65,6 +67,14 @@ class Coder:
         return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Texts that hold an added token (as <|endoftext|>) are encoded whole, the others by pieces."""
+        whole = {k: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for k, t in enumerate(texts) if t and (self.uncut or any(a in t for a in self.added))}
+        if whole:
+            cut = self._by_pieces([None if k in whole else t for k, t in enumerate(texts)])
+            return [whole.get(k, x) for k, x in enumerate(cut)]
+        return self._by_pieces(texts)
+
+    def _by_pieces(self, texts: list[str | None]) -> list[bytes]:
         get = self.known.get
         cut = [self.pieces(t) if t else [] for t in texts]
         found = [list(map(get, p)) for p in cut]
