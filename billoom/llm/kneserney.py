@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, default_partitions, open_store, write_whole
 
-ORDER = 2
+ORDER = 3
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD_BITS = np.uint64((1 << 48) - 1)
 #: Ids of the end of a text and of what stands before its first word; no word has them.
@@ -77,25 +77,35 @@ def windows(ids: list[np.ndarray], order: int) -> list[np.ndarray]:
     return [flat[at - k] for k in range(order - 1, -1, -1)]
 
 
-# Blocks: columns of 48-bit ids (six bytes each) or 64-bit keys, and of counts, compressed.
+# Blocks: rows in order of their columns of ids, as places in the block's list of different 48-bit ids (six bytes each), and counts; compressed.
+
+
+def _planes(column: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def pack(ids: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
-    parts = [np.uint32(len(ids[0])).tobytes()]
-    parts += [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for c in ids]
-    parts += [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes() for c in counts]
+    words, at = np.unique(np.concatenate(ids), return_inverse=True)
+    at = at.reshape(len(ids), -1)
+    by = np.lexsort(at[::-1])
+    parts = [np.array([len(by), len(words)], "<u4").tobytes(), np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()]
+    parts += [_planes(c[by], 4) for c in at] + [_planes(c[by], 5) for c in counts]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpack(block: bytes, n_ids: int, n_counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
-    n, at = int(raw[:4].view("<u4")[0]), 4
+    (n, m), at = raw[:8].view("<u4").tolist(), 8
+    wide = np.zeros((m, 8), np.uint8)
+    wide[:, :6] = raw[at : at + 6 * m].reshape(m, 6)
+    words, at = wide.view("<u8").ravel().astype(np.uint64), at + 6 * m
     ids, counts = [], []
     for k in range(n_ids + n_counts):
-        width = 6 if k < n_ids else 5
-        part, wide = raw[at : at + width * n], np.zeros((n, 8), np.uint8)
-        wide[:, :width] = part.reshape(n, 6) if width == 6 else part.reshape(5, n).T
-        (ids if k < n_ids else counts).append(wide.view("<u8").ravel().astype(np.uint64))
+        width = 4 if k < n_ids else 5
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = raw[at : at + width * n].reshape(width, n).T
+        column = wide.view("<u8").ravel().astype(np.uint64)
+        ids.append(words[column]) if k < n_ids else counts.append(column)
         at += width * n
     return ids, counts
 
