@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Texts that stand for "nothing there", alone or before a space or an opening bracket.
-PLACEHOLDERS = ["n/a", "na", "none", "null", "unknown", "unbekannt", "not visible", "not available", "illegible"]
+PLACEHOLDERS = ["n/a", "na", "none", "null", "nil", "unknown", "unbekannt", "not available", "nicht verfügbar", "illegible", "unleserlich", "unreadable", "not visible", "keine angabe", "no data"]
 
 
 def trim(text: Column) -> Column:
@@ -53,7 +53,7 @@ def normalise_currency(text: Column) -> Column:
     up = F.upper(F.coalesce(text, F.lit("")))
     has = lambda *s: F.greatest(*[F.instr(up, x) for x in s]) > 0 if len(s) > 1 else F.instr(up, s[0]) > 0
     other = F.regexp_extract(up, r"(?<![0-9A-Za-z_])([A-Z]{3})(?![0-9A-Za-z_])", 1)
-    return F.when(has("€", "EUR"), "EUR").when(has("£", "GBP"), "GBP").when(has("CHF"), "CHF").when(has("$", "USD"), "USD").otherwise(other)
+    return F.when(is_placeholder(text), "").when(has("€", "EUR"), "EUR").when(has("£", "GBP"), "GBP").when(has("CHF"), "CHF").when(has("$", "USD"), "USD").otherwise(other)
 
 
 def to_cents(amount: Column) -> Column:

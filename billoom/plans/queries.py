@@ -35,13 +35,20 @@ BILLS = """bills AS (SELECT '/inbox/' || l_orderkey || '.pdf' AS path,
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order dates written four ways."""
+    """Order dates written three ways, and every placeholder."""
     o, d = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderdate")
     k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd.MM.yyyy")).when(k == 2, F.date_format(d, "yyyyMMdd")).otherwise(F.lit("not visible"))
+    text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd.MM.yyyy")).when(k == 2, F.date_format(d, "yyyyMMdd")).otherwise(F.element_at(F.array(*map(F.lit, scalars.PLACEHOLDERS)), (F.col("o_orderkey") % len(scalars.PLACEHOLDERS) + 1).cast("int")))
     return o.select("o_orderkey", text.alias("raw"))
 
 
+def priced(key, price):
+    """A price written five ways."""
+    plain, anglo = F.format_string("%.2f", price), F.format_number(price, 2)
+    ways = [plain, F.replace(plain, F.lit("."), F.lit(",")), anglo, F.translate(anglo, ",.", ".,"), F.concat(F.lit("EUR "), F.translate(anglo, ",.", "',"))]
+    return F.element_at(F.array(*ways), (key % 5 + 1).cast("int"))
+
+
 QUERIES = {
     "file_totals": lambda s, d: totals.file_totals(bills(s, d)),
     "file_coverage": lambda s, d: totals.file_coverage(bills(s, d)),
@@ -49,7 +56,7 @@ QUERIES = {
     "history_topk": lambda s, d: totals.history(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("write_seq")), 20).select("o_orderkey", "created_at"),
     "document_runs": lambda s, d: totals.runs(s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type"), "event_type", "event_id", "user_id"),
     "normalise_date": lambda s, d: rendered(s, d).select("o_orderkey", scalars.normalise_date(F.col("raw")).alias("iso")),
-    "parse_amount": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", scalars.parse_amount(F.concat(F.lit("EUR "), F.replace(F.format_string("%.2f", "p_retailprice"), F.lit("."), F.lit(",")))).alias("amount")),
+    "parse_amount": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", scalars.parse_amount(priced(F.col("p_partkey"), F.col("p_retailprice"))).alias("amount")),
     "normalise_currency": lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", scalars.normalise_currency(F.element_at(F.array(*map(F.lit, ("€ 5", "chf", "Pln 3", "$"))), (F.col("s_suppkey") % 4 + 1).cast("int"))).alias("currency")),
 }
 ORACLE_SQL = {
