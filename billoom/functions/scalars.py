@@ -59,3 +59,8 @@ def normalise_currency(text: Column) -> Column:
 def to_cents(amount: Column) -> Column:
     """BIGINT cents, half a cent away from zero."""
     return F.round(amount * 100).cast("bigint")
+
+
+def from_cents(cents: Column) -> Column:
+    """The amount as DOUBLE."""
+    return cents.cast("double") / 100

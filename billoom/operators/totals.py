@@ -25,6 +25,13 @@ def list_total(bills: DataFrame) -> DataFrame:
     return bills.filter((F.col("status") == "ok") & F.col("gross_cents").isNotNull()).groupBy(F.lower(F.trim(F.coalesce("currency", F.lit("")))).alias("currency")).agg(F.sum("gross_cents").alias("cents"), F.count("*").alias("counted"))
 
 
+def list_coverage(bills: DataFrame) -> DataFrame:
+    """One row for the whole list, what list_total covers: rows expected (all listed), counted, failed, without an amount."""
+    ok = F.col("status") == "ok"
+    a = bills.agg(F.count("*").alias("expected"), F.count_if(ok & F.col("gross_cents").isNotNull()).alias("counted"), F.count_if(~ok).alias("failed"))
+    return a.withColumn("unamounted", F.greatest(F.lit(0), F.col("expected") - F.col("failed") - F.col("counted")).cast("bigint"))
+
+
 def history(bills: DataFrame, limit: int) -> DataFrame:
     """The latest bills (a top-k): newest first, ties to the later row."""
     return bills.orderBy(F.desc("created_at"), F.desc("write_seq")).limit(max(0, limit))
