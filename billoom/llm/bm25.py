@@ -1,15 +1,17 @@
 """Exact top-k search: sharded inverted index, BM25, block-max WAND pruning, exact merge with global statistics.
 
-A shard is one file: its documents' ids and lengths, a sorted dictionary, and for each term the documents
-that hold it with their counts, in document order. Shards are cut from the input's own partitions, so building
-shuffles nothing. Document frequencies, the number of documents and their mean length are summed over
-all shards before any is searched, so a shard's scores are those of one index over everything.
-
-A search walks a query's terms in groups, rare ones first, holding exact partial scores. A document stays while its
-partial score plus the block maxima, at its place, of the terms still to come (the weak-AND bound, each list
-in blocks of 64 postings) reaches the k-th best partial score; blocks without such a document are skipped. Groups of
-terms stand for single cursors, so that the steps are array operations. Ties with the k-th stay, so the
-answer is that of scoring everything.
+A shard is one file: its documents' ids and lengths, a sorted dictionary, for each term the documents
+that hold it with their counts, in document order and blocks of 64, and of each block the greatest count and the length of its
+shortest document. Shards are cut from the input's own partitions, so building shuffles nothing. Document
+frequencies are added up over all shards' dictionaries before any is searched, so a shard's scores are those of one
+index over everything. Queries are parsed into files, a block of them each; the driver sees numbers of blocks alone.
+
+Under the global statistics a block's greatest count and least length give its maximum (a bound: BM25 rises with the count and
+falls with the length). A search walks a query's terms in groups, rare ones first, holding exact partial scores. A
+document stays while its partial score plus the block maxima, at its place, of the terms still to come (the weak-AND
+bound) reaches the k-th best partial score; blocks without such a document are skipped: their postings are neither read
+nor scored. Groups of terms stand for single cursors, so that the steps are array operations. Ties with the k-th
+stay, so the answer is that of scoring everything.
 
 A term adds qtf * idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)), idf = ln(1 + (N - df + 0.5) / (df + 0.5)), with all but
 qtf rounded to a multiple of 2^-24: sums are then exact in doubles, in any order.
@@ -17,7 +19,6 @@ qtf rounded to a multiple of 2^-24: sums are then exact in doubles, in any order
 
 from __future__ import annotations
 
-import io
 import math
 import uuid
 from collections import Counter
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, open_store, write_whole
+from .common import Scratch, load_arrays, save_arrays, search_pairs
 
 K1, B = 1.2, 0.75
 #: Bytes of text and documents at which a shard is closed.
@@ -36,8 +37,8 @@ SHARD_BYTES, SHARD_DOCS = 1 << 26, 1 << 16
 BLOCK = 64
 #: A query's terms are cut into groups where so much of their postings has been seen.
 GROUPS = (1 / 50, 1 / 10, 1)
-#: Bytes of query texts that are broadcast at a time, and shards searched one after the other in a task.
-QUERY_BYTES, SHARDS_A_TASK = 1 << 24, 4
+#: Bytes of query texts in a block.
+QUERY_BYTES = 1 << 22
 SCALE = float(1 << 24)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -51,6 +52,13 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
+def _blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each block of postings begins, and the number of blocks of each term."""
+    blocks = -(-sizes // BLOCK)
+    within = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    return np.repeat(np.cumsum(sizes) - sizes, blocks) + BLOCK * within, blocks
+
+
 class Builder:
     """Collects documents until the shard is full; write() gives its manifest row."""
 
@@ -66,23 +74,30 @@ class Builder:
         self.bytes += len(text or "")
 
     def write(self, folder: str) -> tuple[str, int, int]:
+        # Documents of like length stand together: a block's least length is then near that of all in it, and its maximum tight.
+        by = np.argsort(np.array(self.lengths, np.int64), kind="stable").tolist()
+        self.ids, self.lengths, self.terms, self.counts = ([x[k] for k in by] for x in (self.ids, self.lengths, self.terms, self.counts))
         names = sorted(self.vocabulary)
         place = np.empty(len(names), np.int32)
         place[np.fromiter((self.vocabulary[w] for w in names), np.int64, len(names))] = np.arange(len(names), dtype=np.int32)
         docs = np.repeat(np.arange(len(self.ids), dtype=np.uint16), [len(t) for t in self.terms])
         term = place[np.concatenate(self.terms)] if names else np.empty(0, np.int32)
         order = np.argsort(term, kind="stable")
+        sizes, lengths = np.bincount(term, minlength=len(names)), np.array(self.lengths, np.int64)
+        counts = np.concatenate(self.counts)[order] if names else np.empty(0, np.int32)
+        at = _blocks(sizes)[0]
         parts = {
             "ids": np.array(self.ids, np.int64),
-            "lengths": _small(np.array(self.lengths, np.int64)),
+            "lengths": _small(lengths),
             "names": np.frombuffer(b" ".join(names), np.uint8),
-            "sizes": _small(np.bincount(term, minlength=len(names))),
+            "sizes": _small(sizes),
             "docs": docs[order],
-            "counts": _small(np.concatenate(self.counts)[order] if names else np.empty(0, np.int32)),
+            "counts": _small(counts),
+            "block_count": _small(np.maximum.reduceat(counts, at) if len(at) else counts),
+            "block_length": _small(np.minimum.reduceat(lengths[docs[order]], at) if len(at) else counts),
         }
-        path, data = f"{folder}/{uuid.uuid4().hex}.npz", io.BytesIO()
-        np.savez(data, **parts)
-        write_whole(path, lambda stream: stream.write(data.getbuffer()))
+        path = f"{folder}/{uuid.uuid4().hex}.npz"
+        save_arrays(path, **parts)
         return path, len(self.ids), sum(self.lengths)
 
 
@@ -108,47 +123,65 @@ def build(docs: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) ->
     return scratch.keep(rows.mapInArrow(scan, "path string, n_docs long, n_words long"), "manifest")
 
 
-def _load(path: str) -> dict[str, np.ndarray]:
-    store, at = open_store(path)
-    with store.open_input_stream(at) as stream:
-        return np.load(io.BytesIO(stream.read()))
-
-
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, end to end."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _places(shard, asked: list[bytes]) -> np.ndarray:
-    """Of each asked term its number in the shard, or -1."""
+def _dictionary(shard) -> dict[bytes, int]:
     names = shard["names"].tobytes()
-    number = {w: k for k, w in enumerate(names.split(b" "))} if names else {}
-    return np.array([number.get(w, -1) for w in asked], np.int64)
+    return {w: k for k, w in enumerate(names.split(b" "))} if names else {}
 
 
 class Shard:
-    """The postings of the asked terms in one shard: scaled scores under global statistics, and the maxima of their blocks."""
-
-    def __init__(self, shard, asked: list[bytes], idf: np.ndarray, average: float):
-        self.ids, place, sizes = shard["ids"], _places(shard, asked), shard["sizes"].astype(np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        self.sizes = np.where(place >= 0, sizes[place] if len(sizes) else 0, 0)
-        idx = _ranges(np.where(place >= 0, starts[place], 0), self.sizes)
-        self.docs, tf = shard["docs"][idx].astype(np.int64), shard["counts"][idx].astype(np.float64)
-        norm = K1 * (1 - B + B * shard["lengths"].astype(np.float64) / average)
-        self.adds = np.floor(np.repeat(idf, self.sizes) * (tf * (K1 + 1) / (tf + norm[self.docs])) * SCALE + 0.5)
-        blocks = -(-self.sizes // BLOCK)
-        self.block_at = np.concatenate([[0], np.cumsum(blocks)])
-        within = np.arange(self.block_at[-1]) - np.repeat(self.block_at[:-1], blocks)
-        ends = np.cumsum(self.sizes)
-        self.starts = np.repeat(ends - self.sizes, blocks) + BLOCK * within
-        self.lengths = np.minimum(BLOCK, np.repeat(ends, blocks) - self.starts)
-        self.most = np.maximum.reduceat(self.adds, self.starts) if len(self.starts) else np.empty(0)
-        self.first, self.last = self.docs[self.starts], self.docs[self.starts + self.lengths - 1]
+    """The asked terms in one shard: their block maxima under global statistics, and the scaled scores of the blocks that were visited.
+
+    ``blocks`` counts blocks: offered to queries, visited by them, and different ones scored.
+    """
+
+    def __init__(self, shard, number: dict[bytes, int], asked: list[bytes], idf: np.ndarray, average: float):
+        self.ids, sizes = shard["ids"], shard["sizes"].astype(np.int64)
+        place = np.array([number.get(w, -1) for w in asked], np.int64)
+        there = np.flatnonzero(place >= 0)
+        self.sizes = np.zeros(len(asked), np.int64)
+        self.sizes[there] = sizes[place[there]]
+        # Of each block of an asked term: number in the shard, postings there, and places for its scores here.
+        _, blocks = _blocks(sizes)
+        first_block, first_post = np.cumsum(blocks) - blocks, np.cumsum(sizes) - sizes
+        self.block_at = np.concatenate([[0], np.cumsum(-(-self.sizes // BLOCK))])
+        mine = np.diff(self.block_at)[there]
+        which = _ranges(first_block[place[there]], mine)
+        within = which - np.repeat(first_block[place[there]], mine)
+        self.posts = np.repeat(first_post[place[there]], mine) + BLOCK * within
+        self.lengths = np.minimum(BLOCK, np.repeat(sizes[place[there]], mine) - BLOCK * within)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.docs, self.counts = shard["docs"], shard["counts"]
+        self.norm = K1 * (1 - B + B * shard["lengths"].astype(np.float64) / average)
+        self.idf = np.repeat(idf[there], mine)
+        self.most = self._scores(self.idf, shard["block_count"][which], K1 * (1 - B + B * shard["block_length"][which].astype(np.float64) / average))
+        self.first, self.last = self.docs[self.posts].astype(np.int64), self.docs[self.posts + self.lengths - 1].astype(np.int64)
+        self.adds, self.scored = np.empty(int(self.lengths.sum())), np.zeros(len(which), bool)
+        self.blocks = {"offered": 0, "visited": 0, "scored": 0}
         unique, self.of = np.unique(self.ids, return_inverse=True)
         self.repeats = len(unique) if len(unique) < len(self.ids) else 0
 
+    @staticmethod
+    def _scores(idf: np.ndarray, tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        tf = tf.astype(np.float64)
+        return np.floor(idf * (tf * (K1 + 1) / (tf + norm)) * SCALE + 0.5)
+
+    def visit(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scaled scores) of the postings in these blocks, those scored that were not before."""
+        self.blocks["visited"] += len(blocks)
+        if len(new := blocks[~self.scored[blocks]]):
+            self.blocks["scored"] += len(new)
+            self.scored[new] = True
+            idx = _ranges(self.posts[new], self.lengths[new])
+            self.adds[_ranges(self.starts[new], self.lengths[new])] = self._scores(np.repeat(self.idf[new], self.lengths[new]), self.counts[idx], self.norm[self.docs[idx]])
+        sizes = self.lengths[blocks]
+        return self.docs[_ranges(self.posts[blocks], sizes)].astype(np.int64), self.adds[_ranges(self.starts[blocks], sizes)]
+
     def _kth(self, scores: np.ndarray, k: int) -> float:
         """The k-th best score of different ids, 0 if there are fewer."""
         if self.repeats:
@@ -167,7 +200,7 @@ class Shard:
         if not len(terms):
             return np.empty(0, np.int64), np.empty(0)
         seen = np.cumsum(self.sizes[terms])
-        cuts = np.unique(np.concatenate([[0], np.searchsorted(seen, np.array(GROUPS) * seen[-1]) + 1]))
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(seen, np.array(GROUPS) * seen[-1], side="right"), [len(terms)]]))
         groups = []
         for a, z in zip(cuts[:-1], np.minimum(cuts[1:], len(terms)), strict=True):
             t = terms[a:z]
@@ -177,16 +210,15 @@ class Shard:
             bound = self.most[blocks] * q
             at = np.cumsum(np.bincount(self.first[blocks], bound, n + 1) - np.bincount(self.last[blocks] + 1, bound, n + 1))[:n]
             groups.append((blocks, q, at))
+            self.blocks["offered"] += len(blocks)
         score, alive, rest = np.zeros(n), self.ids != own, sum(g[2] for g in groups)
         for blocks, q, at in groups:
             upto = np.concatenate([[0], np.cumsum(alive)])
             used = upto[self.last[blocks] + 1] > upto[self.first[blocks]]
             blocks, q = blocks[used], q[used]
-            sizes = self.lengths[blocks]
-            idx = _ranges(self.starts[blocks], sizes)
-            at_doc, adds = self.docs[idx], self.adds[idx]
+            at_doc, adds = self.visit(blocks)
             if (q != 1).any():
-                adds *= np.repeat(q, sizes)
+                adds *= np.repeat(q, self.lengths[blocks])
             score += np.bincount(at_doc, adds, n)
             score[~alive] = 0
             rest = rest - at
@@ -209,70 +241,74 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "bm25")
     manifest = build(docs, scratch, shard_bytes)
-    shards, n, total = manifest.agg(F.count("*"), F.sum("n_docs"), F.sum("n_words")).first()
-    schema = "query_id long, doc_id long, score double"
+    n, total = manifest.agg(F.sum("n_docs"), F.sum("n_words")).first()
     asked = queries.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     asked = scratch.keep(asked, "queries")
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if not total or not size:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    blocks, average = -(-size // query_bytes), total / n
-    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    blocks, average, folder = -(-size // query_bytes), total / n, scratch.path("blocks")
 
-    def found(rows: list) -> DataFrame | None:
+    def parse(key, t):
+        """A block's queries to a file; its words, numbered, come out."""
         number: dict[bytes, int] = {}
-        parsed = []
-        for r in rows:
-            got = Counter(words(r["text"]))
-            terms = np.fromiter((number.setdefault(w, len(number)) for w in got), np.int64, len(got))
-            parsed.append((r["doc_id"], terms, np.fromiter(got.values(), np.float64, len(got))))
-        if not number:
-            return None
-        names = spark.sparkContext.broadcast(list(number))
-
-        def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            df = np.zeros(len(names.value), np.int64)
-            for b in batches:
-                for path in b.column("path").to_pylist():
-                    shard = _load(path)
-                    place, sizes = _places(shard, names.value), shard["sizes"].astype(np.int64)
-                    df[place >= 0] += sizes[place[place >= 0]]
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
-
-        placed = manifest.select("path").repartition(max(min(shards, spark.sparkContext.defaultParallelism), -(-shards // SHARDS_A_TASK)))
-        df = np.zeros(len(number), np.int64)
-        for r in placed.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
-            df[r["term"]] = r["df"]
-        idf = np.array([math.log(1 + (n - d + 0.5) / (d + 0.5)) for d in df.tolist()])
-        block = spark.sparkContext.broadcast((parsed, idf))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parsed, idf = block.value
-            held = [(np.empty(0, np.int64), np.empty(0))] * len(parsed)
-            for b in batches:
-                for path in b.column("path").to_pylist():
-                    shard = Shard(_load(path), names.value, idf, average)
-                    for at, (own, terms, weights) in enumerate(parsed):
-                        ids, scores = held[at]
-                        more = shard.search(terms, weights, own, k, scores[-1] if len(ids) == k else 0.0)
-                        ids, scores = np.concatenate([ids, more[0]]), np.concatenate([scores, more[1]])
-                        order = np.lexsort((ids, -scores))
-                        order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
-                        held[at] = ids[order], scores[order]
-            of = np.repeat(np.array([p[0] for p in parsed], np.int64), [len(h[0]) for h in held])
-            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]) / SCALE)], ["query_id", "doc_id", "score"])
-
-        return placed.mapInArrow(scan, schema)
-
-    parts = []
-    for at in range(blocks):
-        rows = dealt.filter(F.col("_block") == at).select("doc_id", "text").collect()
-        if (part := found(rows) if rows else None) is not None:
-            parts.append(scratch.keep(part, "found"))
-    out = spark.createDataFrame([], schema)
-    for part in parts:
-        out = out.unionByName(part)
+        terms, weights, ends = [], [], [0]
+        for text in t.column("text").to_pylist():
+            got = Counter(words(text))
+            terms.append(np.fromiter((number.setdefault(w, len(number)) for w in got), np.int64, len(got)))
+            weights.append(np.fromiter(got.values(), np.float64, len(got)))
+            ends.append(ends[-1] + len(got))
+        block = key[0].as_py()
+        save_arrays(f"{folder}/queries-{block}.npz", ids=t.column("doc_id").to_numpy(), ends=np.array(ends), terms=np.concatenate(terms), weights=np.concatenate(weights), names=np.frombuffer(b" ".join(number), np.uint8))
+        return pa.table({"block": pa.array([block] * len(number), pa.int64()), "n": pa.array(range(len(number)), pa.int64()), "word": pa.array(list(number), pa.binary())})
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                shard = load_arrays(path)
+                names, sizes = shard["names"].tobytes().split(b" "), shard["sizes"].astype(np.int64)
+                for at in range(0, len(sizes), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + (1 << 16)], pa.binary()), pa.array(sizes[at : at + (1 << 16)])], ["word", "df"])
+
+    def weigh(key, t):
+        block, df = key[0].as_py(), np.zeros(t.num_rows, np.int64)
+        df[t.column("n").to_numpy()] = t.column("df").to_numpy()
+        save_arrays(f"{folder}/idf-{block}.npz", idf=np.array([math.log(1 + (n - d + 0.5) / (d + 0.5)) for d in df.tolist()]))
+        return pa.table({"block": pa.array([block], pa.int64())})
+
+    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    wanted = scratch.keep(dealt.groupBy("_block").applyInArrow(parse, "block long, n long, word binary"), "words")
+    held = manifest.select("path").repartition(max(spark.sparkContext.defaultParallelism, manifest.count() // 4)).mapInArrow(frequencies, "word binary, df long")
+    known = held.groupBy("word").agg(F.sum("df").alias("df"))
+    weighed = wanted.join(known, "word", "left").select("block", "n", F.coalesce("df", F.lit(0)).alias("df"))
+    written = {r["block"] for r in scratch.keep(weighed.groupBy("block").applyInArrow(weigh, "block long"), "weighed").collect()}  # a row for each block
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard, number = None, None, {}
+        best: dict[int, tuple[np.ndarray, list]] = {}
+        for b in batches:
+            for path, block in zip(b.column("path").to_pylist(), b.column("block").to_pylist(), strict=True):
+                if block not in written:
+                    continue
+                if path != now:
+                    now, f = path, load_arrays(path)
+                    shard = {k: f[k] for k in f.files}
+                    number = _dictionary(shard)
+                q = load_arrays(f"{folder}/queries-{block}.npz")
+                ids, ends, terms, weights = q["ids"], q["ends"], q["terms"], q["weights"]
+                here = Shard(shard, number, q["names"].tobytes().split(b" "), load_arrays(f"{folder}/idf-{block}.npz")["idf"], average)
+                held = best.setdefault(block, (ids, [(np.empty(0, np.int64), np.empty(0))] * len(ids)))[1]
+                for at, own in enumerate(ids.tolist()):
+                    i, scores = held[at]
+                    more = here.search(terms[ends[at] : ends[at + 1]], weights[ends[at] : ends[at + 1]], own, k, scores[-1] if len(i) == k else 0.0)
+                    i, scores = np.concatenate([i, more[0]]), np.concatenate([scores, more[1]])
+                    order = np.lexsort((i, -scores))
+                    order = order[np.sort(np.unique(i[order], return_index=True)[1])][:k]
+                    held[at] = i[order], scores[order]
+        for of, held in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(of, [len(h[0]) for h in held])), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]) / SCALE)], ["query_id", "doc_id", "score"])
+
+    out = search_pairs(manifest, blocks).mapInArrow(scan, "query_id long, doc_id long, score double")
     best = out.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    return scratch.keep(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "found")

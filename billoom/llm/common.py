@@ -3,35 +3,51 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one given to setCheckpointDir.
 
-    Only where the session does not name one (local tests) a temporary folder is set.
+    Only where the session names none and all runs on one machine (a local master, as in tests) a temporary folder is set.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not getattr(spark, "_billoom_shared", None):
-        local = tempfile.mkdtemp(prefix="billoom-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{local}")
-        spark._billoom_shared = f"file://{local}"
-    return spark._billoom_shared
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    local = tempfile.mkdtemp(prefix="billoom-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(f"file://{local}")
+    return f"file://{local}"
+
+
+#: By application, the folders that may still be read.
+_OPEN: dict[str, list[Scratch]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that operators left in the shared folder for this application; no result of theirs may be read after that."""
+    for scratch in _OPEN.pop(spark.sparkContext.applicationId, []):
+        scratch.drop(scratch.folder)
 
 
 class Scratch:
-    """A new folder in the shared one; tables written there cut the lineage of what is built on them."""
+    """A new folder in the shared one; tables written there cut the lineage of what is built on them.
+
+    Results read these tables, so they stay until drop() or release().
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _OPEN.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
@@ -61,13 +77,50 @@ def open_store(uri: str):
 
 def write_whole(uri: str, write) -> None:
     """write(stream) to a hidden name, then move: a lost or repeated attempt leaves no half file under uri."""
+    from pyarrow import fs
+
     store, path = open_store(uri)
     folder, _, name = path.rpartition("/")
     hidden = f"{folder}/.{name}.{uuid.uuid4().hex}"
     store.create_dir(folder, recursive=True)
     with store.open_output_stream(hidden) as stream:
         write(stream)
-    store.move(hidden, path)
+    try:
+        store.move(hidden, path)
+    except OSError:
+        # Stores that don't overwrite: another attempt of the task has left the same file.
+        if store.get_file_info(path).type != fs.FileType.File:
+            raise
+        store.delete_file(hidden)
+
+
+def save_arrays(uri: str, **arrays) -> None:
+    """Named numpy arrays as one file."""
+    import numpy as np
+
+    data = io.BytesIO()
+    np.savez(data, **arrays)
+    write_whole(uri, lambda stream: stream.write(data.getbuffer()))
+
+
+def load_arrays(uri: str):
+    import numpy as np
+
+    store, at = open_store(uri)
+    with store.open_input_stream(at) as stream:
+        return np.load(io.BytesIO(stream.read()))
+
+
+#: Query blocks that follow one another on a shard in one task.
+BLOCKS_A_TASK = 16
+
+
+def search_pairs(shards: DataFrame, blocks: int) -> DataFrame:
+    """(path, block) for each shards.path and block 0, 1, ... of a stated query set: what a search has to look at, dealt to tasks."""
+    run = F.floor(F.col("block") / BLOCKS_A_TASK)
+    pairs = shards.select("path", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, shards.count() * -(-blocks // BLOCKS_A_TASK) // 4)
+    return pairs.repartition(tasks, "path", run).sortWithinPartitions("path", "block")
 
 
 def default_partitions(spark: SparkSession) -> int:
