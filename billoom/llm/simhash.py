@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StructField, StructType
 
 from .common import Scratch
 
@@ -56,15 +57,16 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp long) of every row; fp is the unsigned fingerprint read as a signed long."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long, *keep) of every row; fp is the unsigned fingerprint read as a signed long."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             fps = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), *(b.column(c) for c in keep)], ["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    return rows.mapInArrow(scan, StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), *(rows.schema[c] for c in keep)]))
 
 
 def _flips(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,35 +183,43 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs(doc_id, text, ...); other columns are ignored.
-
-    component_id is the smallest doc_id reachable over links. A null text counts as empty (fingerprint 0,
-    linked like any other); a null doc_id is never a component_id unless all ids reached are null;
-    repeated rows are kept, each with the same component; an empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, words: int, hot_bucket: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, *keep, root, component_id) of every row; root is the component's least fingerprint."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(fingerprints(docs, words), "fingerprints")
+    prints = scratch.keep(fingerprints(docs, words, keep), "fingerprints")
     nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes, scratch, hot_bucket), scratch)
     linked = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked.join(first, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = linked.join(first, "root").select("fp", "root", "component_id")
+    return prints.join(of, "fp").select("doc_id", "fp", *keep, "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs(doc_id, text, ...); other columns (also of these names) are ignored.
+
+    component_id is the smallest doc_id reachable over links. A null text counts as empty (fingerprint 0,
+    linked like any other); a null doc_id is never a component_id unless all ids reached are null;
+    repeated rows are kept, each with the same component; rows of one id and different texts may be in different
+    components; an empty table gives an empty result.
+    """
+    return _grouped(docs, words, hot_bucket).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps: of each component one row with the smallest doc_id.
+    """Of each component one row of docs, all columns: that with the smallest doc_id (null after all), then the least hash of the row.
 
-    All columns pass. Rows with a null doc_id stay only where their component has no id. Rows that repeat
-    a surviving doc_id are reduced to one.
+    So rows that repeat an id with different texts each count for themselves. Rows equal in all columns are one.
     """
-    found = near_duplicates(docs)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_times")).select(F.col("doc_id").alias("_stays"), "_times")
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
+    marked = docs.withColumn("_row", row)
+    found = _grouped(marked, SHINGLE_WORDS, HOT_BUCKET, ("_row",)).groupBy("root", "doc_id", "_row").agg(F.count("*").alias("n"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "n")).alias("s"))
+    stays = first.select(F.col("s.doc_id").alias("_id"), F.col("s._row").alias("_stays"), F.col("s.n").alias("_times"))
     stays = Scratch(docs.sparkSession, "simhash-stays").keep(stays, "stays")
-    # Ids grow with the input: a merge join at every size, no broadcast that only holds on small inputs.
-    kept = docs.join(stays.hint("merge"), docs["doc_id"].eqNullSafe(stays["_stays"]))
-    once = kept.filter("_times = 1").drop("_stays", "_times")
+    # Survivors grow with the input: a merge join at every size, no broadcast that only holds on small inputs.
+    kept = marked.join(stays.hint("merge"), F.col("_row") == F.col("_stays")).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    once = kept.filter("_times = 1").select(*docs.columns)
     if stays.filter("_times > 1").limit(1).count():
-        once = once.unionByName(kept.filter("_times > 1").drop("_stays", "_times").dropDuplicates(["doc_id"]))
+        once = once.unionByName(kept.filter("_times > 1").dropDuplicates(["_row", "_id"]).select(*docs.columns))
     return once
