@@ -14,10 +14,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, default_partitions
+
 #: A mean above this is split in equal parts, each with a draw of its own: the sum has the same distribution and exp(-mean) cannot vanish.
 PART = 128.0
 BROADCAST_SOURCES = 10_000
 HEX_DIGITS = 13
+#: Bytes of text in a partition of the output.
+PARTITION_BYTES = 128 << 20
 _OWN = ("_source", "_rate", "_cdf", "_parts", "_weight", "_size")
 
 
@@ -68,12 +72,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """
     for c in ("copy", "n_copies", "shuffle_key", *_OWN):
         docs = docs.drop(c)
-    table = rates(source_sizes(docs), weights, temperature, budget)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sizes = scratch.keep(source_sizes(docs), "sizes")
+    size = sizes.agg(F.sum("_size")).first()[0] or 0
+    table = rates(sizes, weights, temperature, budget)
     parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART)).cast("int")
     table = table.withColumn("_parts", parts).withColumn("_cdf", cumulative(F.col("_rate") / F.col("_parts")))
-    from .common import Scratch
-
-    table = Scratch(docs.sparkSession, "mixing").keep(table, "rates")
+    table = scratch.keep(table, "rates")
     side = F.broadcast(table) if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else table
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     draw = lambda k: F.size(F.filter("_cdf", lambda c: c <= uniform(str(seed), key, k.cast("string"))))
@@ -83,9 +88,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     drawn = drawn.withColumn("_u", uniform(str(seed), key, "1")).withColumn("n_copies", F.when(F.col("_parts") == 1, one).otherwise(one + more))
     copies = drawn.filter("n_copies > 0").drop(*_OWN, "_u").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), key, F.col("copy").cast("string"))))
-    return keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
-
+    # The key is uniform, so its ranges are known without sampling.
+    n = max(default_partitions(docs.sparkSession), math.ceil(budget * size / PARTITION_BYTES))
+    place = (F.conv(F.substring("shuffle_key", 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(float(16**HEX_DIGITS)) * F.lit(n)).cast("int")
+    return keyed.repartitionById(n, place).sortWithinPartitions("shuffle_key", "doc_id")
 
-def check_parts() -> float:
-    """The least P(X = 0) of a part; positive, so inversion is defined for every mean."""
-    return math.exp(-PART)
