@@ -1,12 +1,13 @@
 """Packing documents into fixed-length sequences by patterns of non-negative least squares.
 
-The driver sees only the histogram of piece lengths (at most ``capacity`` numbers). Lengths are rounded up to
-a grid; all patterns of up to ``depth`` grid lengths that fill a sequence are enumerated; non-negative
-least squares fits how often each is repeated to the histogram; the repeats are rounded and filled with
-exact lengths. What is left goes best-fit-decreasing, whole runs of equal lengths at a time, into the gaps and
-then into new sequences. The plan is a list of slots for each length (their number depends on the capacity, not
-on the corpus); a piece finds its slot by its rank among the pieces of its length, which two-level
-counting gives without bringing a length's pieces together.
+The driver sees only the histogram of piece lengths (at most ``capacity`` numbers). Lengths fall in the cells of a
+grid; all patterns of up to ``depth`` cells that fill a sequence are enumerated, so a cell stands in many of them; non-negative
+least squares fits how often each is repeated to the histogram. Repeats are rounded down, and as many sequences
+of each pattern are made as pieces can fill to the token, all parts but the last from their cells. What is left goes best-fit-decreasing,
+whole runs of equal lengths at a time, into the gaps and then into new sequences. Best fit alone packs the same histogram
+for comparison: should that need fewer sequences, another grid or a smaller part of the repeats is taken, so patterns never cost any. The plan
+is a list of slots for each length (their number depends on the capacity, not on the corpus); a piece finds its slot by
+its rank among the pieces of its length, which two-level counting gives without bringing a length's pieces together.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +22,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, default_partitions
+from .common import Scratch, default_partitions, few_rows
 from .wordcodes import coder, in_blocks
 
 CAPACITY = 4096
 END_ID = 1
-#: Pairs on a grid of 512 leave 0.04 % of the room empty on the test documents; triples on 256 leave 0.2 %, fours on 128 0.8 %.
-GRID = 512
-DEPTH = 2
+#: Fits that are tried in turn: cells of the histogram, and the most documents of a pattern.
+FITS = ((64, 4), (16, 4), (64, 3))
 #: Patterns have no part under a sixteenth of the capacity: short pieces are kept for the gaps.
 SHORTEST = 16
+#: Parts of the fitted repeats that are tried, until the whole packing needs no more sequences than best fit alone.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -85,50 +86,76 @@ Class = tuple[list[tuple[int, int]], int]
 """A number of sequences alike: [(length, times), ...] and how many there are."""
 
 
-def _fitted(hist: np.ndarray, capacity: int, grid: int, depth: int) -> list[Class]:
-    """Sequences by fitted patterns; takes what they hold out of hist."""
+def fit_patterns(hist: np.ndarray, capacity: int, grid: int, depth: int) -> tuple[list[tuple[int, ...]], np.ndarray, int]:
+    """(patterns as cells, how often each is repeated, lengths in a cell): the non-negative least squares fit to the histogram."""
     step = -(-capacity // grid)
     cells = -(-capacity // step)
-    cell = lambda n: -(-n // step)
     target = np.zeros(cells + 1)
-    np.add.at(target, [cell(k) for k in range(1, capacity + 1)], hist[1 : capacity + 1])
+    np.add.at(target, [-(-k // step) for k in range(1, capacity + 1)], hist[1 : capacity + 1])
     kinds = [p for p in patterns(capacity // step, depth) if min(p) * SHORTEST * step >= capacity and all(target[k] for k in p)]
-    if not kinds:
-        return []
     a = np.zeros((cells + 1, len(kinds)))
     for k, p in enumerate(kinds):
         np.add.at(a[:, k], list(p), 1)
-    repeats = np.rint(nnls(a, target)).astype(np.int64)
-    have = {k: [n for n in range(min(capacity, k * step), (k - 1) * step, -1) if hist[n]] for k in range(1, cells + 1)}
+    return kinds, nnls(a, target), step
+
+
+def fill(hist: np.ndarray, capacity: int, kinds: list[tuple[int, ...]], repeats: np.ndarray, step: int) -> list[Class]:
+    """Sequences of the patterns, as often as repeats (rounded down) say and pieces allow; takes what they hold out of hist."""
+    repeats = np.floor(repeats + 1e-9).astype(np.int64)
     out: list[Class] = []
+
+    def filled(cells_: tuple[int, ...]) -> dict[int, int] | None:
+        """Lengths of pieces that are left, one from each cell but the last, and one more, that fill a sequence to the token."""
+        used: dict[int, int] = {}
+        has = lambda n: hist[n] > used.get(n, 0)
+        for c in cells_[:-2]:
+            n = next((n for n in range(min(capacity, c * step), (c - 1) * step, -1) if has(n)), None)
+            if n is None:
+                return None
+            used[n] = used.get(n, 0) + 1
+        room = capacity - sum(n * t for n, t in used.items())
+        if len(cells_) == 1:
+            return {room: 1} if has(room) else None
+        for n in range(min(room - 1, cells_[-2] * step), (cells_[-2] - 1) * step, -1):
+            rest = room - n
+            if has(n) and hist[rest] > used.get(rest, 0) + (rest == n):
+                for k in (n, rest):
+                    used[k] = used.get(k, 0) + 1
+                return used
+        return None
+
     for k in np.argsort(-repeats, kind="stable"):
         left = int(repeats[k])
-        while left > 0:
-            now: list[tuple[int, int]] = []
-            for c in kinds[k]:
-                used = dict(now)
-                n = next((n for n in have[c] if hist[n] > used.get(n, 0)), None)
-                if n is None:
-                    break
-                now = [(m, t + (m == n)) for m, t in now] if n in used else [*now, (n, 1)]
-            else:
-                times = min(left, *(int(hist[n]) // t for n, t in now))
-                for n, t in now:
-                    hist[n] -= times * t
-                    if not hist[n]:
-                        have[cell(n)].remove(n)
-                out.append((now, times))
-                left -= times
-                continue
-            break
+        while left > 0 and (now := filled(kinds[k])):
+            times = min(left, *(int(hist[n]) // t for n, t in now.items()))
+            for n, t in now.items():
+                hist[n] -= times * t
+            out.append((list(now.items()), times))
+            left -= times
     return out
 
 
-def plan(hist: np.ndarray, capacity: int = CAPACITY, grid: int = GRID, depth: int = DEPTH) -> list[Class]:
-    """Sequences for a histogram (hist[n] pieces of length n, 1 <= n <= capacity)."""
-    hist = np.asarray(hist, np.int64).copy()
-    out: list[Class] = [([(capacity, 1)], int(hist[capacity]))] if hist[capacity] else []
-    hist[capacity] = 0
+def plan(hist: np.ndarray, capacity: int = CAPACITY, fits: tuple[tuple[int, int], ...] = FITS) -> list[Class]:
+    """Sequences for a histogram (hist[n] pieces of length n, 1 <= n <= capacity): as many of the fitted patterns as cost nothing against best fit alone."""
+    hist = np.asarray(hist, np.int64)
+    full = [([(capacity, 1)], int(hist[capacity]))] if hist[capacity] else []
+    rest = hist.copy()
+    rest[capacity] = 0
+    count = lambda classes: sum(c for _, c in classes)
+    alone = _best_fit(rest.copy(), capacity, [])
+    fitted = [fit_patterns(rest, capacity, grid, depth) for grid, depth in fits]
+    for share in SHARES:
+        for kinds, repeats, step in fitted:
+            left = rest.copy()
+            both = _best_fit(left, capacity, fill(left, capacity, kinds, share * repeats, step))
+            if count(both) <= count(alone):
+                return full + both
+    return full + alone
+
+
+def _best_fit(hist: np.ndarray, capacity: int, begun: list[Class]) -> list[Class]:
+    """The sequences begun, with all of hist put into their gaps or new ones, best-fit-decreasing."""
+    out: list[Class] = []
     room: dict[int, list[Class]] = {}
     spaces: list[int] = []
 
@@ -143,7 +170,7 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY, grid: int = GRID, depth: in
             else:
                 out.append(c)
 
-    for c in _fitted(hist, capacity, grid, depth):
+    for c in begun:
         put(c)
     for n in range(capacity, 0, -1):
         left = int(hist[n])
@@ -204,7 +231,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(vocabulary, "word")
-        for b in batches:
+        for b in few_rows(batches):
             docs, texts = b.column("doc_id"), b.column("text").to_pylist()
             for at, block in in_blocks(texts):
                 row, piece, start, size, crc, held = [], [], [], [], [], []
@@ -225,7 +252,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, grid: int = GRID, depth: int = DEPTH) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, fits: tuple[tuple[int, int], ...] = FITS) -> DataFrame:
     """All rows of parts(doc_id, piece, length, ...) with sequence_id long and offset long added (replaced if there).
 
     parts must be stable when read twice (a table). Lengths run from 1 to capacity. An empty table gives an empty result.
@@ -239,7 +266,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, grid: int = GRID, depth: in
         if not 1 <= r["length"] <= capacity:
             raise ValueError(f"a piece of {r['length']} tokens; the capacity is {capacity}")
         hist[r["length"]] = r["n"]
-    table = slots(plan(hist, capacity, grid, depth))
+    table = slots(plan(hist, capacity, fits))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("_bucket", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     within = F.row_number().over(Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece")) - 1
@@ -259,18 +286,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, w
     return pack(Scratch(docs.sparkSession, "pieces").keep(pieces(docs, vocabulary, capacity, with_ids=with_ids), "pieces"), capacity)
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids array<int>) of pack_documents(..., with_ids=True): a sequence's pieces in order; at most capacity ids each."""
-    parts = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.frombuffer(b"".join(p["ids"] for p in row), "<u4").astype(np.int32) for row in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("sequence_id"), pa.array(ids, pa.list_(pa.int32()))], ["sequence_id", "ids"])
-
-    return parts.mapInArrow(scan, "sequence_id long, ids array<int>")
-
-
 def lower_bound(lengths: list[int], capacity: int = CAPACITY) -> int:
     """No packing has fewer sequences than this."""
-    return -(-list(accumulate(lengths, initial=0))[-1] // capacity)
+    return -(-sum(lengths) // capacity)
