@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, default_partitions, open_store, write_whole
+from .common import Scratch, default_partitions, few_rows, open_store, write_whole
 from .wordcodes import coder, in_blocks
 
 MAGIC = b"BLSST001"
@@ -40,6 +40,8 @@ BLOCK_BYTES = 64 << 10
 BITS_PER_KEY = 10
 PROBES = 7
 END_ID = 2
+#: Bytes of text that make a shard.
+SHARD_BYTES = 256 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -200,7 +202,7 @@ def write_tables(docs: DataFrame, vocabulary: str, end_id: int = END_ID, shards:
     """Encode every row of docs(doc_id, text, ...), write the shards, return their manifest.
 
     (shard int, path, entries long, ids long, first_key binary, last_key binary, ids_before long), a table. Null and
-    empty texts are the end id alone; a null doc_id comes first; rows that repeat a doc_id are all kept;
+    empty texts are the end id alone; a null doc_id comes first; rows that repeat a doc_id are all kept, in order of a hash of their text;
     an empty table gives no shard. Other columns are ignored. A repeated attempt of a task writes under another name.
     """
     spark = docs.sparkSession
@@ -214,7 +216,7 @@ def write_tables(docs: DataFrame, vocabulary: str, end_id: int = END_ID, shards:
 
         def write(stream) -> None:
             table = TableWriter(stream)
-            for b in batches:
+            for b in few_rows(batches):
                 keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
                 for at, block in in_blocks(texts):
                     for doc, ids in zip(keys[at : at + len(block)], code.ids(block), strict=True):
@@ -232,7 +234,10 @@ def write_tables(docs: DataFrame, vocabulary: str, end_id: int = END_ID, shards:
             yield pa.RecordBatch.from_pydict(dict(zip(names, ([shard], [path], [entries], [ids], [ends[0]], [ends[-1]]), strict=True)), schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(shards or default_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Rows of one id are told apart by their text, so that they have an order, and many of them several shards.
+    shards = shards or max(default_partitions(spark), -(-size // SHARD_BYTES))
+    rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
     written = scratch.keep(rows.mapInArrow(scan, "shard int, path string, entries long, ids long, first_key binary, last_key binary"), "written")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     return scratch.keep(written.withColumn("ids_before", F.coalesce(F.sum("ids").over(before), F.lit(0))), "manifest")
