@@ -123,5 +123,16 @@ def search_pairs(shards: DataFrame, blocks: int) -> DataFrame:
     return pairs.repartition(tasks, "path", run).sortWithinPartitions("path", "block")
 
 
+#: Rows of texts that a worker turns into Python objects at a time.
+TEXT_ROWS = 500
+
+
+def few_rows(batches):
+    """The batches in slices of TEXT_ROWS, so that long texts don't stand in a worker twice."""
+    for b in batches:
+        for at in range(0, b.num_rows, TEXT_ROWS):
+            yield b.slice(at, TEXT_ROWS)
+
+
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -129,12 +129,12 @@ def unpack(block: bytes, n_ids: int, n_counts: int) -> tuple[list[np.ndarray], l
 
 
 def summed(key: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Rows of equal key as one, in order of key; counts added, columns taken from any of them."""
+    """Rows of equal key as one, in order of key; counts added (without counts: how many rows), columns taken from any of them."""
     by = np.argsort(key)
     key = key[by]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     add = lambda c: np.add.reduceat(c[by], first) if len(first) else c[by]
-    return key[first], [c[by[first]] for c in columns], [add(c) for c in counts]
+    return key[first], [c[by[first]] for c in columns], [add(c) for c in counts] or [np.diff(first, append=len(key)).astype(np.uint64)]
 
 
 @dataclass
@@ -305,7 +305,7 @@ def counted(texts: DataFrame, deal: Dealing) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _batches_of_texts(batches):
             columns = windows(held, order)
-            _, ids, n = summed(gram_keys(columns), columns, [np.ones(len(columns[0]), np.uint64)])
+            _, ids, n = summed(gram_keys(columns), columns, [])
             yield from _rows(_blocks(f"gram{order}", _coarse(deal.grams(ids), deal.bits, 1), ids, n)).to_batches()
 
     return texts.mapInArrow(scan, ROWS)

@@ -21,13 +21,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import few_rows
+
 UNKNOWN = "und"
 ORDER = 3
 MIN_RATE = 1e-5
 MIN_RATIO = 0.1
 PROBES = 3
 #: Characters taken through numpy at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: N-grams of a language that a task holds before it tells their counts.
+HELD_GRAMS = 1 << 19
 SPACE = 32
 _LETTERS = None
 
@@ -171,7 +175,7 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
             g, n = merged(held.pop(lang))
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-        for b in batches:
+        for b in few_rows(batches):
             by: dict[str, list[np.ndarray]] = {}
             size: dict[str, int] = {}
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
@@ -182,7 +186,7 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                     size[lang] = 0
             for lang, codes in by.items():
                 block(lang, codes)
-            for lang in [k for k, v in held.items() if sum(len(p[0]) for p in v) > 1 << 21]:
+            for lang in [k for k, v in held.items() if sum(len(p[0]) for p in v) > HELD_GRAMS]:
                 yield told(lang)
         for lang in list(held):
             yield told(lang)
@@ -216,7 +220,7 @@ def predict(docs: DataFrame, model: Filters) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             got = shared.value.predict(b.column("text").to_pylist())
             lang, score, cover = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cover, pa.float64())], [*b.schema.names, "lang_pred", "score", "coverage"])

@@ -154,7 +154,8 @@ def links(nodes: DataFrame, scratch: Scratch, hot_bucket: int = HOT_BUCKET) -> D
     posts, n_hot = nodes.select("fp").mapInArrow(post, schema), hot.count()
     if n_hot:
         side = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
-        again = posts.join(side, "key", "left_semi").select("key", "fp").mapInArrow(post_again, schema)
+        # Written first: one Python worker a task at a time.
+        again = scratch.keep(posts.join(side, "key", "left_semi").select("key", "fp"), "hot-posts").mapInArrow(post_again, schema)
         posts = posts.join(side, "key", "left_anti").unionByName(again)
     return posts.repartition("key").sortWithinPartitions("key").mapInArrow(search_buckets, "a long, b long")
 
