@@ -26,6 +26,7 @@ def fold(column: str, n: int):
 
 
 def op1_permutation_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of the vectors whose vec_id is divisible by 100."""
     rows = table(spark, sf_dir, "embeddings")
     return permutation.search(rows, rows.filter("vec_id % 100 = 0"), k=10)
 
@@ -56,6 +57,7 @@ SELECT * FROM ranked WHERE rank <= 10
 
 
 def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token ids in shards, read back: place, number and checksum of each one's ids."""
     manifest = sstable.write_tables(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return sstable.checked(sstable.read_tables(manifest))
 
@@ -95,6 +97,7 @@ FROM counted, unnest(range(1, n_copies + 1)) AS t(copy)
 
 
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token ids in sequences of 4096: the place of each piece."""
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -106,10 +109,12 @@ def language_of(docs: DataFrame) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
     return language_of(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "coverage")
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram and unigram log10 probabilities of every document; learned from all folds but 1 of crc32(doc_id) mod 5."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)))
     return kneserney.score(docs, kneserney.fit(docs.filter(~F.col("held_out"))), keep=["doc_id", "held_out"])
 
@@ -169,6 +174,7 @@ for _key, _value in {"speaks": licenses.SPEAKS, "name": licenses.LICENSE_NAME, "
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
