@@ -43,6 +43,22 @@ def coverage(counted: Column, expected: Column, failed: Column, unamounted: Colu
     return F.when(complete, bill_count(counted)).otherwise(partly)
 
 
+def coverage_note(counted: Column, expected: Column, failed: Column, complete: Column) -> Column:
+    """The same in the widget's words: '3 Belege', or '2 von 3 Belegen, 1 nicht gelesen'."""
+    whole = F.concat(counted.cast("string"), F.when(counted == 1, " Beleg").otherwise(" Belege"))
+    partly = F.concat(counted.cast("string"), F.lit(" von "), expected.cast("string"), F.lit(" Belegen"), F.when(failed > 0, F.concat(F.lit(", "), failed.cast("string"), F.lit(" nicht gelesen"))).otherwise(""))
+    return F.when(complete, whole).otherwise(partly)
+
+
+def zoom_notes(width: Column, height: Column, dpi: float = 200.0, min_short_edge: int = 1000, max_pixels: int = 20_000_000) -> Column:
+    """array<string>: what changed a page's resolution, in order, each note once."""
+    short, base = F.least(width, height), F.lit(dpi / 72.0)
+    wanted, cap = F.lit(float(min_short_edge)) / short, F.sqrt(F.lit(float(max_pixels)) / (width * height))
+    raised = F.when(wanted > base, F.concat(F.lit("resolution raised to "), F.format_string("%.0f", F.round(wanted * 72)), F.lit(" dpi for a "), F.format_string("%.0f", F.round(short * 25.4 / 72)), F.lit(" mm narrow page")))
+    limited = F.when(F.greatest(base, wanted) > cap, F.concat(F.lit("resolution limited to "), F.format_string("%.0f", F.round(cap * 72)), F.lit(" dpi by the pixel budget")))
+    return F.when((width > 0) & (height > 0), F.array_distinct(F.array_compact(F.array(raised, limited)))).otherwise(F.array().cast("array<string>"))
+
+
 def sum_line(path: Column, parts: Column, covered: Column) -> Column:
     """'name  sum  total  (coverage)'."""
     return F.concat(base_name(path), F.lit("  sum  "), joined_money(parts), F.lit("  ("), covered, F.lit(")"))

@@ -1,7 +1,7 @@
 """The store: documents and their bills on versioned Parquet, its mutations as DataFrame operations, history and cache.
 
-A version is a folder; the manifest names the one that counts and is flipped last, so a write that is cut off leaves the
-version before it as it was. documents has a row for each sha256, bills one for each (sha256, page).
+A version is a folder; the latest manifest names the one that counts and is written last, so a write that is cut off leaves
+the version before it as it was. documents has a row for each sha256, bills one for each (sha256, page).
 """
 
 from __future__ import annotations
@@ -81,6 +81,18 @@ def cache_probe(incoming: DataFrame, documents: DataFrame, bills: DataFrame) ->
     return incoming.join(ready, ["sha256", "fingerprint"], "left").withColumn("hit", hit).select(*incoming.columns, "hit")
 
 
+def cache_plan(incoming: DataFrame, documents: DataFrame, bills: DataFrame, use_cache: bool = True) -> DataFrame:
+    """incoming with hit and save: what is answered from the store, and whose answer is written to it. Without the cache it is neither read nor written."""
+    probed = cache_probe(incoming, documents, bills) if use_cache else incoming.withColumn("hit", F.lit(False))
+    return probed.withColumn("save", ~F.col("hit") & F.lit(use_cache))
+
+
+def history_rows(rows: DataFrame) -> DataFrame:
+    """The nine columns of the history, a missing total as null."""
+    names = {"file_name": "file", "page": "page", "status": "status", "vendor": "vendor", "bill_date": "date", "gross_total": "gross_total", "currency": "currency", "model": "model", "created_at": "created_at"}
+    return rows.select(*[F.col(c).alias(n) for c, n in names.items()])
+
+
 def from_stored(rows: DataFrame) -> DataFrame:
     """Rows (path, page, page_count, status, payload, created_at) as bills answered from the cache: the payload's fields, an error for other statuses, a note."""
     from billoom.operators.replies import record
@@ -101,14 +113,18 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _manifest(self) -> dict:
-        fs, path = self._path("manifest.json")
-        if not fs.exists(path):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.folder}/manifest.json", wholetext=True).first()[0])
+    def _current(self) -> tuple[int, str | None]:
+        """The number of the latest manifest (0: none) and the version that it names."""
+        fs, path = self._path("")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        last = max((n for n in names if n.startswith("manifest-") and n.endswith(".json")), default=None)
+        if last is None:
+            return 0, None
+        text = self.spark.read.text(f"{self.folder}/{last}", wholetext=True).first()[0]
+        return int(last.removeprefix("manifest-").removesuffix(".json")), json.loads(text)["version"]
 
     def _read(self, table: str, schema: str) -> DataFrame:
-        version = self._manifest().get("version")
+        version = self._current()[1]
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{version}/{table}") if version else self.spark.createDataFrame([], schema)
 
     def documents(self) -> DataFrame:
@@ -123,22 +139,23 @@ class Store:
 
     def _write(self, documents: DataFrame, bills: DataFrame) -> None:
         """Both tables as a new version, then the manifest; what comes before that leaves the old version in place."""
-        old, version = self._manifest().get("version"), f"v-{uuid.uuid4().hex}"
+        (number, old), version = self._current(), f"v-{uuid.uuid4().hex}"
         documents.write.parquet(f"{self.folder}/{version}/documents")
         bills.write.parquet(f"{self.folder}/{version}/bills")
-        fs, path = self._path("manifest.json")
-        _, fresh = self._path(f"manifest-{uuid.uuid4().hex}")
+        fs, fresh = self._path(f".manifest-{uuid.uuid4().hex}")
         stream = fs.create(fresh)
         stream.write(bytearray(json.dumps({"version": version}).encode()))
         stream.close()
-        fs.delete(path, False)
-        fs.rename(fresh, path)
+        # A new name, so that there is a whole manifest at every moment; of two writers at once one fails.
+        if not fs.rename(fresh, self._path(f"manifest-{number + 1:012d}.json")[1]):
+            raise RuntimeError("the store was written by another at the same time")
         if old:
+            fs.delete(self._path(f"manifest-{number:012d}.json")[1], False)
             fs.delete(self._path(old)[1], True)
 
     def create(self) -> None:
         """Empty tables where there are none."""
-        if not self._manifest():
+        if self._current()[1] is None:
             self.clear()
 
     def save(self, documents: DataFrame, bills: DataFrame) -> None:
@@ -151,3 +168,16 @@ class Store:
     def clear(self) -> None:
         """Both tables empty; the schema stays, older versions go."""
         self._write(self.spark.createDataFrame([], DOCUMENTS), self.spark.createDataFrame([], BILLS))
+
+    def wipe(self, archive: str, inbox: str, confirmed: bool = False) -> dict[str, int]:
+        """Empty both tables, the archive and the inbox, entry by entry (the folders stay); how many bills, documents and files went, and failed to go."""
+        if not confirmed:
+            raise ValueError("a wipe must be confirmed")
+        told = {"bills": self.bills().count(), "documents": self.documents().count(), "archived": 0, "waiting": 0, "failed": 0}
+        self.clear()
+        for name, folder in (("archived", archive), ("waiting", inbox)):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for entry in fs.listStatus(path) if fs.exists(path) else ():
+                told[name if fs.delete(entry.getPath(), True) else "failed"] += 1
+        return told

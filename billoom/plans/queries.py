@@ -59,6 +59,15 @@ def bare_amount(spark, sf_dir):
     return totals.file_sums(I.bills(spark, sf_dir), ("file_id",)).select(I.path(), render.bare_amount(F.col("parts")).alias("amount"))
 
 
+@query(f"""WITH {I.BILLS}, {Q.file_sums('bills')} SELECT path, CASE WHEN money = '' THEN '—' ELSE money END AS money,
+CASE WHEN complete THEN counted || CASE WHEN counted = 1 THEN ' Beleg' ELSE ' Belege' END ELSE counted || ' von ' || expected || ' Belegen' || CASE WHEN failed > 0 THEN ', ' || failed || ' nicht gelesen' ELSE '' END END AS note FROM sums""")
+def widget_totals(spark, sf_dir):
+    """A file's sum and coverage in the widget's words."""
+    rows = totals.file_sums(I.bills(spark, sf_dir), ("file_id",))
+    note = render.coverage_note(F.col("counted"), F.col("expected"), F.col("failed"), F.col("complete"))
+    return rows.select(I.path(), render.or_else(render.joined_money(F.col("parts")), "—").alias("money"), note.alias("note"))
+
+
 @query(f"""WITH {I.BILLS}, w AS (SELECT count(*) AS expected, count(*) FILTER (status = 'ok' AND gross_cents IS NOT NULL) AS all_counted, count(*) FILTER (status <> 'ok') AS failed FROM bills),
 c AS (SELECT arg_min({Q.trim('currency')}, file_id * 1000 + page) AS currency, sum(gross_cents)::BIGINT AS cents, count(*) AS counted FROM bills WHERE status = 'ok' AND gross_cents IS NOT NULL GROUP BY lower({Q.trim('currency')}))
 SELECT currency, cents, counted, expected, failed, expected - failed - all_counted AS unamounted, all_counted > 0 AND failed = 0 AND all_counted >= expected AS complete FROM c, w""")
@@ -250,6 +259,22 @@ def page_geometry(spark, sf_dir):
     return rows.select("p_partkey", F.round(z, 9).alias("zoom"), s.alias("s"), "pw", "ph").select("p_partkey", "zoom", F.round("s.scale", 9).alias("scale"), "s.width", "s.height", F.round(S.ocr_factor(F.col("pw"), F.col("ph")), 9).alias("ocr"), S.legibility(k % 2 != 0, F.lit(True), F.col("pw"), F.col("ph")).alias("warning"))
 
 
+@query("""WITH p AS (SELECT p_partkey, p_size * 10.0::DOUBLE AS w, (p_partkey % 9000) * 1.0::DOUBLE AS h FROM part), q AS (SELECT *, 1000.0::DOUBLE / least(w, h) AS wanted, sqrt(20000000.0::DOUBLE / (w * h)) AS cap FROM p WHERE w > 0 AND h > 0)
+SELECT p_partkey, array_to_string(list_filter([CASE WHEN wanted > 200.0::DOUBLE / 72 THEN 'resolution raised to ' || printf('%.0f', round(wanted * 72)) || ' dpi for a ' || printf('%.0f', round(least(w, h) * 25.4::DOUBLE / 72)) || ' mm narrow page' END,
+  CASE WHEN greatest(200.0::DOUBLE / 72, wanted) > cap THEN 'resolution limited to ' || printf('%.0f', round(cap * 72)) || ' dpi by the pixel budget' END], lambda x: x IS NOT NULL), '; ') AS notes FROM q""")
+def zoom_notes(spark, sf_dir):
+    w, h = F.col("p_size") * 10.0, (F.col("p_partkey") % 9000) * 1.0
+    return I.table(spark, sf_dir, "part").filter((w > 0) & (h > 0)).select("p_partkey", F.array_join(render.zoom_notes(w, h), "; ").alias("notes"))
+
+
+@query("""SELECT '{"file":"' || p_partkey || '.pdf","path":"/in/' || p_partkey || '.pdf","kind":"' || CASE WHEN p_partkey % 2 = 0 THEN 'pdf' ELSE 'image' END || '","status":"' || CASE WHEN p_partkey % 5 = 0 THEN 'error","error":"damaged' ELSE 'ok' END || '","has_text_layer":' || (p_partkey % 2 = 0) || ',"bill_count":' || p_size
+|| ',"text_chars":' || length(p_type) || ',"notes":["' || p_brand || '"],"text":"' || p_type || '"}' AS value FROM part""")
+def extraction_report(spark, sf_dir):
+    k = F.col("p_partkey")
+    docs = I.table(spark, sf_dir, "part").select(F.concat(F.lit("/in/"), k, F.lit(".pdf")).alias("path"), F.when(k % 2 == 0, "pdf").otherwise("image").alias("kind"), F.when(k % 5 == 0, "damaged").alias("error"), (k % 2 == 0).alias("has_text_layer"), F.col("p_size").alias("bill_count"), F.array("p_brand").alias("notes"), F.col("p_type").alias("text"))
+    return files.extraction_report(docs)
+
+
 # Replies and their settling
 
 
@@ -322,6 +347,14 @@ def cache_probe(spark, sf_dir):
     return store.cache_probe(incoming, old, bills.filter("page = 2")).select("doc_id", "hit")
 
 
+@query(f"WITH {I.GENERATIONS} SELECT page, gross_cents, file_name FROM old_bills JOIN old_docs USING (sha256) WHERE sha256 = (SELECT sha256 FROM hashed WHERE doc_id = 5) ORDER BY page")
+def bills_of_document(spark, sf_dir):
+    old, bills, _, _ = I.generations(spark, sf_dir)
+    sha = old.filter("file_name = 'f5.pdf'").select("sha256").first()
+    docs = old.withColumn("source_path", F.lit("")).withColumn("model", F.lit(""))
+    return store.bills_of(bills, docs, sha["sha256"] if sha else "").select("page", "gross_cents", "file_name")
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey ORDER BY o_orderdate DESC, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey DESC, l_suppkey DESC LIMIT 20""")
 def history_topk(spark, sf_dir):
     """Lines are bills, orders their documents."""

@@ -9,6 +9,7 @@ import os
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -146,6 +147,38 @@ def orientations(content: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(orientation).astype("int32"), "int")(content)
 
 
+#: What brings the pixels of an image with each orientation upright.
+UPRIGHT = {2: np.fliplr, 3: lambda a: np.rot90(a, 2), 4: np.flipud, 5: lambda a: a.swapaxes(0, 1), 6: lambda a: np.rot90(a, -1), 7: lambda a: np.rot90(a, 2).swapaxes(0, 1), 8: np.rot90}
+
+
+def upright(pixels: np.ndarray, orientation_: int) -> np.ndarray:
+    return UPRIGHT.get(orientation_, lambda a: a)(pixels)
+
+
+def upright_size(width: Column, height: Column, orientation_: Column) -> Column:
+    """struct(width, height) of an image once upright."""
+    turned = orientation_.between(5, 8)
+    return F.struct(F.when(turned, height).otherwise(width).alias("width"), F.when(turned, width).otherwise(height).alias("height"))
+
+
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Write each page's image of images(path, page, jpeg) as <base>-p<n>.jpg; a table (path, page, file) of what is written when it is run. Pages without an image are left out."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(folder)
+        store.create_dir(inner, recursive=True)
+        for b in batches:
+            names = [f"{os.path.splitext(os.path.basename(p))[0]}-p{n}.jpg" for p, n in zip(b["path"], b["page"], strict=True)]
+            for name, data in zip(names, b["jpeg"], strict=True):
+                with store.open_output_stream(f"{inner}/{name}") as out:
+                    out.write(data)
+            yield pd.DataFrame({"path": b["path"], "page": b["page"], "file": names})
+
+    return images.filter("jpeg IS NOT NULL AND octet_length(jpeg) > 0").select("path", "page", "jpeg").mapInPandas(write, "path string, page int, file string")
+
+
 def archive(spark: SparkSession, verdicts: DataFrame, folder: str) -> list[tuple[str, str]]:
     """Move the originals of verdicts(path, archive) that may go to folder, never over another file (name-1.ext, ...). One run's files: small."""
     moved = []
