@@ -280,7 +280,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
     wanted = scratch.keep(dealt.groupBy("_block").applyInArrow(parse, "block long, n long, word binary"), "words")
     held = manifest.select("path").repartition(max(spark.sparkContext.defaultParallelism, manifest.count() // 4)).mapInArrow(frequencies, "word binary, df long")
     known = held.groupBy("word").agg(F.sum("df").alias("df"))
-    weighed = wanted.join(known, "word", "left").select("block", "n", F.coalesce("df", F.lit(0)).alias("df"))
+    # The vocabulary grows with the input: a merge join, whatever its size.
+    weighed = wanted.join(known.hint("merge"), "word", "left").select("block", "n", F.coalesce("df", F.lit(0)).alias("df"))
     written = {r["block"] for r in scratch.keep(weighed.groupBy("block").applyInArrow(weigh, "block long"), "weighed").collect()}  # a row for each block
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -112,14 +112,15 @@ def load_arrays(uri: str):
 
 
 #: Query blocks that follow one another on a shard in one task.
-BLOCKS_A_TASK = 16
+BLOCKS_A_TASK = 2
 
 
 def search_pairs(shards: DataFrame, blocks: int) -> DataFrame:
     """(path, block) for each shards.path and block 0, 1, ... of a stated query set: what a search has to look at, dealt to tasks."""
     run = F.floor(F.col("block") / BLOCKS_A_TASK)
     pairs = shards.select("path", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, shards.count() * -(-blocks // BLOCKS_A_TASK) // 4)
+    # Twice as many tasks as there are runs of blocks on a shard, so that few tasks get two of them.
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, 2 * shards.count() * -(-blocks // BLOCKS_A_TASK))
     return pairs.repartition(tasks, "path", run).sortWithinPartitions("path", "block")
 
 

@@ -32,7 +32,7 @@ PREFIX = 64
 SPREAD, POWER = 1.25, 0.75
 SHARD_VECTORS = 1 << 15
 #: Queries that are searched one after the other on a shard.
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 128
 
 
 def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
