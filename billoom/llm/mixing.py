@@ -19,10 +19,12 @@ from .common import Scratch, default_partitions
 #: A mean above this is split in equal parts, each with a draw of its own: the sum has the same distribution and exp(-mean) cannot vanish.
 PART = 128.0
 BROADCAST_SOURCES = 10_000
+#: Above that, into how many parts a source's documents are cut for the join.
+CUTS = 64
 HEX_DIGITS = 13
 #: Bytes of text in a partition of the output.
 PARTITION_BYTES = 128 << 20
-_OWN = ("_source", "_rate", "_cdf", "_parts", "_weight", "_size")
+_OWN = ("_cut", "_source", "_rate", "_cdf", "_parts", "_weight", "_size")
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -79,10 +81,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART)).cast("int")
     table = table.withColumn("_parts", parts).withColumn("_cdf", cumulative(F.col("_rate") / F.col("_parts")))
     table = scratch.keep(table, "rates")
-    side = F.broadcast(table) if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else table
+    few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    side = F.broadcast(table) if few else table.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     draw = lambda k: F.size(F.filter("_cdf", lambda c: c <= uniform(str(seed), key, k.cast("string"))))
-    drawn = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(side, "_source")
+    drawn = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    if few:
+        drawn = drawn.join(side, "_source")
+    else:  # a large source goes to many tasks
+        drawn = drawn.withColumn("_cut", F.pmod(F.xxhash64("doc_id", "text"), F.lit(CUTS)).cast("int")).join(side, ["_source", "_cut"])
     one = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     more = F.aggregate(F.sequence(F.lit(2), F.col("_parts")), F.lit(0), lambda s, k: s + draw(k))
     drawn = drawn.withColumn("_u", uniform(str(seed), key, "1")).withColumn("n_copies", F.when(F.col("_parts") == 1, one).otherwise(one + more))

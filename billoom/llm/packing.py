@@ -259,7 +259,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, fits: tuple[tuple[int, int]
     """
     parts = parts.drop("sequence_id", "offset")
     buckets = 4 * default_partitions(parts.sparkSession)
-    parts = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # A number of the row, where the table has one, deals rows of one id (or without one) to all buckets.
+    tie = ["_row"] if "_row" in parts.columns else []
+    parts = parts.withColumn("_bucket", F.pmod(F.xxhash64(*(tie or ["doc_id", "piece"])), F.lit(buckets)))
     counts = Scratch(parts.sparkSession, "packing").keep(parts.groupBy("_bucket", "length").agg(F.count("*").alias("_n")), "counts")
     hist = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect():  # at most capacity rows
@@ -269,7 +271,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, fits: tuple[tuple[int, int]
     table = slots(plan(hist, capacity, fits))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("_bucket", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece")) - 1
+    within = F.row_number().over(Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece", *tie)) - 1
     ranked = parts.withColumn("_rank", within).join(first, ["_bucket", "length"]).withColumn("_rank", F.col("_rank") + F.col("_first")).select(*parts.columns, "_rank").drop("_bucket")
     keep = [c for c in ranked.columns if c != "_rank"]
 
@@ -283,7 +285,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, fits: tuple[tuple[int, int]
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """pieces() of docs, written once, and their places."""
-    return pack(Scratch(docs.sparkSession, "pieces").keep(pieces(docs, vocabulary, capacity, with_ids=with_ids), "pieces"), capacity)
+    rows = pieces(docs, vocabulary, capacity, with_ids=with_ids).withColumn("_row", F.monotonically_increasing_id())
+    return pack(Scratch(docs.sparkSession, "pieces").keep(rows, "pieces"), capacity).drop("_row")
 
 
 def lower_bound(lengths: list[int], capacity: int = CAPACITY) -> int:

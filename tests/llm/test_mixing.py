@@ -52,5 +52,11 @@ def test_against_plain(spark, weights, budget):
     assert sorted(got.columns) == sorted(["doc_id", "text", "source", "copy", "n_copies", "shuffle_key"])
 
 
+def test_many_sources_are_cut(spark, monkeypatch):
+    want = sorted(map(tuple, mixing.mix(table(spark, ROWS), seed=3).collect()), key=repr)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert sorted(map(tuple, mixing.mix(table(spark, ROWS), seed=3).collect()), key=repr) == want
+
+
 def test_nothing(spark):
     assert mixing.mix(table(spark, [])).count() == 0
