@@ -14,6 +14,7 @@ LINE_LENGTH = 160
 
 
 def text_of(text: Column) -> Column:
+    """A null as ''."""
     return F.coalesce(text, F.lit(""))
 
 
@@ -39,9 +40,13 @@ def single_line(text: Column, limit: int = LINE_LENGTH) -> Column:
     return F.when(F.length(line) > limit, F.concat(trim(F.substring(line, 1, limit)), F.lit("..."))).otherwise(line)
 
 
-def parse_amount(text: Column) -> Column:
-    """A tolerant amount as DOUBLE; null where there is none."""
-    kept = F.regexp_replace(F.regexp_replace(text, r"[^\p{Nd}.,\-]", ""), r"(?<=.)-", "")
+def amount_characters(text: Column) -> Column:
+    """Of a text what may belong to an amount: digits, separators and a leading minus."""
+    return F.regexp_replace(F.regexp_replace(text, r"[^\p{Nd}.,\-]", ""), r"(?<=.)-", "")
+
+
+def amount_of(kept: Column) -> Column:
+    """amount_characters() as DOUBLE. Which separator is the decimal one shows in their order and in what follows the last."""
     comma, dot = F.instr(kept, ",") > 0, F.instr(kept, ".") > 0
     last = lambda c: F.length(kept) - F.instr(F.reverse(kept), c)
     german = F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
@@ -50,7 +55,12 @@ def parse_amount(text: Column) -> Column:
     bare = F.replace(kept, F.lit("."), F.lit(""))
     dots = F.when(kept.rlike(r"\..*\."), bare).when(kept.rlike(r"^[^.]{1,3}\.[^.]{3}$") & ~kept.rlike(r"^0\."), bare).otherwise(kept)
     ready = F.when(comma & dot, F.when(last(",") > last("."), german).otherwise(anglo)).when(comma, commas).when(dot, dots).otherwise(kept)
-    return F.when(~is_placeholder(text) & ~ready.isin("", "-"), ready.try_cast("double"))
+    return F.when(~kept.isin("", "-"), ready.try_cast("double"))
+
+
+def parse_amount(text: Column) -> Column:
+    """A tolerant amount as DOUBLE; null where there is none."""
+    return F.when(~is_placeholder(text), amount_of(amount_characters(text)))
 
 
 def amount_from_answer(answer: Column) -> Column:
@@ -76,6 +86,7 @@ def first_date_in(text: Column) -> Column:
 
 
 def normalise_date(text: Column) -> Column:
+    """first_date_in(), but none in a placeholder."""
     return F.when(is_placeholder(text), "").otherwise(first_date_in(text))
 
 

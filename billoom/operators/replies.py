@@ -35,7 +35,7 @@ def _kind(variant: Column, field: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(variant, F.lit(f"$.{field}"), "variant"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -47,18 +47,21 @@ def record(variant: Column) -> Column:
     """
 
     def raw(field: str) -> Column:
-        kind = F.coalesce(_kind(variant, field), F.lit(""))
-        number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+        kind = lambda k: F.coalesce(k, F.lit(""))
         get = lambda t: F.try_variant_get(variant, F.lit(f"$.{field}"), t)
-        return F.struct(F.when(kind == "STRING", get("string")).alias("text"), F.when(number, get("double")).alias("number"))
+        number = lambda k: kind(k).isin("BIGINT", "DOUBLE") | kind(k).startswith("DECIMAL")
+        return let(_kind(variant, field), lambda k: F.struct(F.when(kind(k) == "STRING", get("string")).alias("text"), F.when(number(k), get("double")).alias("number")))
 
-    def clean(r: Column) -> Column:
-        text = lambda k: S.cleaned(r[k]["text"])
-        texts = {"vendor": text("vendor"), "vendor_address": S.single_line(text("vendor_address")), "invoice_number": text("invoice_number"), "date": S.normalise_date(text("date")), "due_date": S.normalise_date(text("due_date")), "currency": S.normalise_currency(text("currency")), "iban": S.iban(r["iban"]["text"])}
-        amounts = {k: F.coalesce(r[k]["number"], S.parse_amount(r[k]["text"])) for k in AMOUNTS}
-        return F.struct(*[c.alias(k) for k, c in (texts | amounts).items()])
+    def cut(r: Column) -> Column:
+        amount = lambda x: F.struct(F.when(~S.is_placeholder(x["text"]), S.amount_characters(x["text"])).alias("kept"), x["number"].alias("number"))
+        return F.struct(*[S.cleaned(r[k]["text"]).alias(k) for k in TEXTS], *[amount(r[k]).alias(k) for k in AMOUNTS])
 
-    return _let(F.struct(*[raw(k).alias(k) for k in (*TEXTS, *AMOUNTS)]), clean)
+    def clean(c: Column) -> Column:
+        own = {"vendor_address": S.single_line, "date": S.first_date_in, "due_date": S.first_date_in, "currency": S.normalise_currency, "iban": lambda t: F.replace(t, F.lit(" "), F.lit(""))}
+        texts = [own.get(k, lambda t: t)(c[k]).alias(k) for k in TEXTS]
+        return F.struct(*texts, *[F.coalesce(c[k]["number"], S.amount_of(c[k]["kept"])).alias(k) for k in AMOUNTS])
+
+    return let(let(F.struct(*[raw(k).alias(k) for k in (*TEXTS, *AMOUNTS)]), cut), clean)
 
 
 def from_reply(replies: DataFrame, reply: str = "reply") -> DataFrame:

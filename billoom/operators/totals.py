@@ -6,6 +6,8 @@ columns are ignored unless said otherwise; empty tables give no row (or zeros, w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +100,17 @@ def archivable(bills: DataFrame) -> DataFrame:
     return bills.groupBy("path").agg((F.bool_and(is_ok()) & (F.count("*") > 0)).alias("archive"))
 
 
+def _range_of(value: Column, cuts: list) -> Column:
+    """How many of the sorted cuts lie below a value: among every k-th of them first, then among the k that follow."""
+    if not cuts:
+        return F.lit(0)
+    k = math.isqrt(len(cuts)) + 1
+    every, all_ = F.array(*map(F.lit, cuts[::k])), F.array(*map(F.lit, cuts))
+    below = lambda a: F.size(F.filter(a, lambda c: c < value))
+    first = below(every)
+    return F.when(first == 0, 0).otherwise((first - 1) * k + below(F.slice(all_, F.greatest((first - 1) * k + 1, F.lit(1)), F.lit(k))))
+
+
 def runs(rows: DataFrame, key: str, pos: str, partition: str | None = None, parts: int | None = None) -> DataFrame:
     """Adds run_id (from 1): consecutive rows of one key in order of pos, whose values differ from row to row.
 
@@ -112,8 +125,7 @@ def runs(rows: DataFrame, key: str, pos: str, partition: str | None = None, part
         return rows.withColumn("_new", new).withColumn("run_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.select(F.percentile_approx(pos, [k / n for k in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<bigint>")
-    ranged = rows.withColumn("_part", F.size(F.filter(bounds, lambda c: c < F.col(pos))))
+    ranged = rows.withColumn("_part", _range_of(F.col(pos), sorted(set(cuts or []))))
     w = Window.partitionBy("_part").orderBy(pos)
     new = F.when(F.row_number().over(w) == 1, 0).when(key_of.eqNullSafe(F.lag(key_of).over(w)), 0).otherwise(1)
     local = ranged.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -96,26 +96,33 @@ def extraction_report(documents: DataFrame) -> DataFrame:
 def layout_rows(boxes: DataFrame) -> DataFrame:
     """(path, page, text): boxes of text (path, page, x0, y0, x1, y1, text) as lines: by height, then from the left; a wide gap is four spaces.
 
-    Heights within a point are one height, by steps of a point. Whether a box opens a new line depends on the line so far, so a page is
-    folded in order; a page is small. Boxes without text don't count.
+    Heights within a point are one height, by steps of a point. Whether a box opens a new line depends on the line so far, so each page's boxes
+    come in order and are folded one after the other; pages are dealt to tasks, which hold a batch of boxes and a page's lines. Boxes without text don't count.
     """
-    boxes = boxes.filter(trim(text_of(F.col("text"))) != "")
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(mid=(page.y0 + page.y1) / 2, tall=(page.y1 - page.y0).clip(lower=1.0))
-        page = page.assign(step=page.mid.round()).sort_values(["step", "x0", "x1", "text"])
-        out, mid, tall, right = [], 0.0, 1.0, 0.0
-        for r in page.itertuples():
-            if not out or abs(r.mid - mid) > 0.6 * max(tall, r.tall):
-                out.append(r.text)
-                mid, tall = r.mid, r.tall
-            else:
-                out[-1] += ("    " if r.x0 - right > 6 else " ") + r.text
-                tall = max(tall, r.tall)
-            right = r.x1
-        return pd.DataFrame({"path": [page.path.iloc[0]], "page": [page.page.iloc[0]], "text": ["\n".join(out).strip()]})
-
-    return boxes.groupBy("path", "page").applyInPandas(fold, "path string, page int, text string")
+    mid = (F.col("y0") + F.col("y1")) / 2
+    rows = boxes.filter(trim(text_of(F.col("text"))) != "").select("path", "page", "x0", "x1", "text", mid.alias("mid"), F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")).alias("tall"), F.round(mid).alias("step"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, lines, mid, tall, right = None, [], 0.0, 1.0, 0.0
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                if (r.path, r.page) != now:
+                    if now:
+                        out.append((*now, "\n".join(lines).strip()))
+                    now, lines = (r.path, r.page), []
+                if not lines or abs(r.mid - mid) > 0.6 * max(tall, r.tall):
+                    lines.append(r.text)
+                    mid, tall = r.mid, r.tall
+                else:
+                    lines[-1] += ("    " if r.x0 - right > 6 else " ") + r.text
+                    tall = max(tall, r.tall)
+                right = r.x1
+            yield pd.DataFrame(out, columns=["path", "page", "text"])
+        if now:
+            yield pd.DataFrame([(*now, "\n".join(lines).strip())], columns=["path", "page", "text"])
+
+    return rows.repartition("path", "page").sortWithinPartitions("path", "page", "step", "x0", "x1", "text").mapInPandas(fold, "path string, page int, text string")
 
 
 def orientation(data: bytes | None) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billoom.functions.scalars import base_name, text_of, trim
-from billoom.operators.replies import FIELDS, record
+from billoom.operators.replies import FIELDS, let, record
 
 
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -22,7 +22,10 @@ def broken(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def bill(line: Column) -> Column:
     """A line's bill as a struct: the path falls back to the file's name, page and count to 1, the fields are cleaned."""
-    v = F.try_parse_json(line)
+    return let(F.try_parse_json(line), _bill)
+
+
+def _bill(v: Column) -> Column:
     get = lambda k, t: F.try_variant_get(v, F.lit(f"$.{k}"), t)
     flag = lambda k: F.coalesce(get(k, "boolean"), F.lit(False))
     return F.struct(
