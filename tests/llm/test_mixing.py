@@ -34,18 +34,19 @@ def plain(rows, mean_of, seed):
     return sorted(out, key=lambda r: (r[0], r[1] is not None, r[1] or 0))
 
 
-ROWS = [(k, "ab" * (k % 7), ["big", "big", "big", "small", None][k % 5]) for k in range(120)] + [(7, "x", "big")] * 3 + [(None, "é", "small"), (500, None, "nothing"), (501, "", "nothing"), (502, "z" * 50_000, "long")]
+ROWS = [(k, "ab" * (k % 7), ["big", "big", "big", "small", None][k % 5]) for k in range(120)] + [(7, "x", "big")] * 3 + [(None, "é", "small"), (500, None, "nothing"), (501, "", "nothing"), (502, "z" * 3_000, "long")]
 
 
-@pytest.mark.parametrize("weights, budget", [(None, 1.0), ({"small": 3.0, "big": 1.0}, 1.0), ({"small": 1.0}, 400.0), ({}, 1.0)])
-def test_against_plain(spark, weights, budget):
+@pytest.mark.parametrize("weights, budget, part", [(None, 1.0, 128.0), ({"small": 3.0, "big": 1.0}, 1.0, 128.0), ({"small": 1.0}, 1.0, 8.0), ({}, 1.0, 128.0)])
+def test_against_plain(spark, monkeypatch, weights, budget, part):
+    monkeypatch.setattr(mixing, "PART", part)
     sizes: dict[str, int] = {}
     for _, t, s in ROWS:
         sizes[s or ""] = sizes.get(s or "", 0) + len((t or "").encode())
     share = {s: (n**0.5 if weights is None else weights.get(s, 0.0)) for s, n in sizes.items()}
     scale = budget * sum(sizes.values()) / (sum(w for s, w in share.items() if sizes[s]) or 1.0)
     mean_of = {s: share[s] * scale / n if n else 1.0 for s, n in sizes.items()}
-    assert budget < 100 or max(mean_of.values()) > mixing.PART
+    assert part > 8 or max(mean_of.values()) > 3 * part
     got = mixing.mix(table(spark, ROWS).repartition(5), weights=weights, budget=budget, seed=3)
     rows = [(r["shuffle_key"], r["doc_id"], r["copy"], r["n_copies"]) for r in got.collect()]
     assert rows == plain(ROWS, mean_of, 3)
