@@ -94,7 +94,8 @@ def corpus():
         rows.append((k, " ".join(words), lang if k % 5 else None, ["big", "big", "small", None][k % 4], 0))
     rows += [(200 + k, rows[k][1].upper() if k % 2 else rows[k][1] + " .", "en", "big", 0) for k in range(20)]
     rows += [(300, None, "en", "big", 0), (301, "", "de", "small", 0), (302, "12 34 -", None, "big", 0), (303, "ыы ээ щщ", None, "big", 0), (None, "the dog and the old house are here", "en", "small", 0)]
-    return rows
+    # an id with another text, and a row that is there twice
+    return rows + [(4, "the rain comes down over some old trees and the house again when dog are here there with", "en", "big", 0), rows[10]]
 
 
 def test_run(spark, tmp_path):
