@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, kneserney, langid, licenses, mixing, packing, permutation, simhash, sstable, warc
+from . import bm25, divergence, kneserney, langid, licenses, mixing, packing, permutation, simhash, sstable, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +179,35 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of each language against the others and, by term, against the language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+words AS (SELECT id, lang, source, unnest(ws) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS c FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+vs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+ns AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(x.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(x.c, 0) + 1) // (coalesce(ns.n, 0) + vs.v) AS p,
+    1 + 1000000000::HUGEINT * (k.c + 1) // (vs.n + vs.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN vs USING (lang) LEFT JOIN ns ON ns.lang = g.lang AND ns.source = g.source
+  LEFT JOIN counts x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_knn": op1_permutation_knn,
     "op2_block_max_wand": op2_block_max_wand,
@@ -190,5 +219,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
+    "op11_source_divergence": op11_source_divergence,
 }
-ORACLE_SQL: dict[str, str] = {"op2_block_max_wand": OP2_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_scan": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_block_max_wand": OP2_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_scan": OP9_SQL, "op11_source_divergence": OP11_SQL}
