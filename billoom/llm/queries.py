@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, divergence, kneserney, langid, licenses, mixing, packing, permutation, simhash, sstable, warc
+from . import bm25, divergence, kneserney, langid, licenses, mixing, packing, permutation, simhash, slots, sstable, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -208,6 +208,14 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 """
 
 
+def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 16 shards by 4096 virtual slots of their doc_id, evened out by bytes; read back from the shards' files."""
+    rows = slots.shard(table(spark, sf_dir, "documents"), 16).rows
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return rows.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "even_shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_knn": op1_permutation_knn,
     "op2_block_max_wand": op2_block_max_wand,
@@ -220,5 +228,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
     "op11_source_divergence": op11_source_divergence,
+    "op12_virtual_slots": op12_virtual_slots,
 }
 ORACLE_SQL: dict[str, str] = {"op2_block_max_wand": OP2_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_scan": OP9_SQL, "op11_source_divergence": OP11_SQL}
