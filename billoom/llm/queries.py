@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, divergence, kneserney, langid, licenses, mixing, packing, permutation, simhash, slots, sstable, warc
+from . import alignment, bm25, divergence, kneserney, langid, licenses, mixing, packing, permutation, simhash, slots, sstable, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -216,6 +216,11 @@ def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "even_shard")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document by a byte-level and a sentencepiece vocabulary."""
+    return alignment.alignments(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_permutation_knn": op1_permutation_knn,
     "op2_block_max_wand": op2_block_max_wand,
@@ -229,5 +234,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_source_divergence": op11_source_divergence,
     "op12_virtual_slots": op12_virtual_slots,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {"op2_block_max_wand": OP2_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_scan": OP9_SQL, "op11_source_divergence": OP11_SQL}
