@@ -97,7 +97,7 @@ def _sums(lang: str, g: np.ndarray, h: np.ndarray, value: np.ndarray) -> pd.Data
     return pd.DataFrame({"lang": lang, "g": g.astype(np.int64), "h": h.astype(np.int64), "value": value.astype(np.int64)})
 
 
-def dense_tile(rows: pd.DataFrame) -> pd.DataFrame:
+def dense_tile(rows: pd.DataFrame, block: int = TILE_GROUPS) -> pd.DataFrame:
     """Sums over a tile's heavy terms for the pairs of its two blocks of groups. Rows without a term have the groups' empty shares."""
     lang, a, b = rows["lang"].iat[0], int(rows["ga"].iat[0]), int(rows["gb"].iat[0])
     empty = rows[rows["term"].isna()].sort_values("g")
@@ -107,12 +107,12 @@ def dense_tile(rows: pd.DataFrame) -> pd.DataFrame:
     tile[np.searchsorted(groups, cells["g"].to_numpy()), column] = cells["p"].to_numpy()
     out = []
     for k, g in enumerate(groups):
-        other = (groups != g) if a == b else (groups // TILE_GROUPS == (b if g // TILE_GROUPS == a else a))
+        other = (groups != g) if a == b else (groups // block == (b if g // block == a else a))
         out.append(_sums(lang, np.full(other.sum(), g), groups[other], f(tile[k], tile[other]).sum(axis=1)))
     return pd.concat(out)
 
 
-def one_sided(rows: pd.DataFrame) -> pd.DataFrame:
+def one_sided(rows: pd.DataFrame, block: int = TILE_GROUPS) -> pd.DataFrame:
     """For the pairs of two blocks: light cells of equal shares (p, times) against the other groups' empty shares.
 
     Rows without times have the groups' empty shares; in base rows times is the number of light terms, for pairs of two empty cells.
@@ -127,8 +127,8 @@ def one_sided(rows: pd.DataFrame) -> pd.DataFrame:
         k, p, times = int(np.searchsorted(groups, g)), own["p"].to_numpy()[:, None], own["times"].to_numpy()[:, None]
         sums[k] += ((f(p, p0[None, :]) - f(p0[k], p0)[None, :]) * times).sum(axis=0)
         sums[:, k] += ((f(p0[None, :], p) - f(p0, p0[k])[None, :]) * times).sum(axis=0)
-    block = groups // TILE_GROUPS
-    across = (groups[:, None] != groups[None, :]) if a == b else (block[:, None] != block[None, :])
+    side = groups // block
+    across = (groups[:, None] != groups[None, :]) if a == b else (side[:, None] != side[None, :])
     g, h = np.nonzero(across)
     return _sums(lang, groups[g], groups[h], sums[g, h])
 
@@ -163,14 +163,14 @@ def posting_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     return _sums(lang, groups[keys[0] // len(groups)], groups[keys[0] % len(groups)], values[0])
 
 
-def _paired(rows: DataFrame) -> DataFrame:
+def _paired(rows: DataFrame, block: int) -> DataFrame:
     """Each row for every pair of blocks (ga <= gb) that its group is in; the number of blocks follows from the language's groups."""
-    own = F.floor(F.col("g") / TILE_GROUPS)
-    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("s") - 1) / TILE_GROUPS).cast("int"))).alias("_other")
+    own = F.floor(F.col("g") / block)
+    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("s") - 1) / block).cast("int"))).alias("_other")
     return rows.select("*", other).withColumns({"ga": F.least(own, "_other").cast("int"), "gb": F.greatest(own, "_other").cast("int")}).drop("_other")
 
 
-def audit(docs: DataFrame, terms_listed: int = TERMS_LISTED) -> DataFrame:
+def audit(docs: DataFrame, terms_listed: int = TERMS_LISTED, block: int = TILE_GROUPS) -> DataFrame:
     """(lang, source, part, item, value, rank) of docs(lang, source, text, ...); other columns are ignored.
 
     Null lang, source and text count as ''. Every row is a document, so repeated rows count each. A source alone in its language has no
@@ -209,13 +209,13 @@ def audit(docs: DataFrame, terms_listed: int = TERMS_LISTED) -> DataFrame:
     tiles = F.greatest(F.lit(1), F.ceil(F.col("heavy") / TILE_TERMS)).cast("int")
     dense = full.filter(heavy).select("lang", F.pmod(F.xxhash64("term"), tiles).cast("int").alias("tile"), "term", "g", "s", "p")
     blank = base.filter("heavy > 0").select("lang", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.lit(None).cast("string").alias("term"), "g", "s", F.col("p0").alias("p"))
-    dense = _paired(dense.unionByName(blank)).drop("s").groupBy("lang", "tile", "ga", "gb").applyInPandas(dense_tile, sums)
+    dense = _paired(dense.unionByName(blank), block).drop("s").groupBy("lang", "tile", "ga", "gb").applyInPandas(lambda rows: dense_tile(rows, block), sums)
     # Light terms: one-sided sums of equal cells over the pairs of empty cells.
     cut = F.greatest(F.lit(1), F.ceil(F.col("light_cells") / ONE_SIDED)).cast("int")
     equal = full.filter(~heavy).groupBy("lang", "g", "s", "p", "light_cells").agg(F.count("*").alias("times"))
     equal = equal.select("lang", F.pmod(F.xxhash64("g", "p"), cut).cast("int").alias("part"), F.lit(1).alias("kind"), "g", "s", "p", "times")
     blank = base.select("lang", F.explode(F.sequence(F.lit(0), cut - 1)).alias("part"), F.lit(0).alias("kind"), "g", "s", F.col("p0").alias("p"), F.col("light").alias("times"))
-    single = _paired(equal.unionByName(blank)).drop("s").groupBy("lang", "part", "ga", "gb").applyInPandas(one_sided, sums)
+    single = _paired(equal.unionByName(blank), block).drop("s").groupBy("lang", "part", "ga", "gb").applyInPandas(lambda rows: one_sided(rows, block), sums)
     # Light terms in several groups: corrections for pairs of postings.
     cut = F.greatest(F.lit(1), F.ceil(F.col("light_cells") / LIGHT_CELLS)).cast("int")
     double = full.filter(~heavy & (F.col("k") > 1)).select("lang", F.pmod(F.xxhash64("term"), cut).cast("int").alias("part"), "term", "g", "p", "p0")

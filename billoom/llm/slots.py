@@ -197,7 +197,8 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id") -> Shards:
     """Writes docs(doc_id, text) to ``shards`` shards of near equal bytes and reads them back.
 
     rows has doc_id, text, shard, slot long (the record's place in its shard, gapless from 0), virtual_slot and even_shard (where version 1 has it).
-    Near equal: only records that are larger than the difference can keep two shards apart. A null key is a key; a null text has size 1;
+    Near equal: no single slot, or part of a slot that was split, would narrow the gap by moving; what is too large to be split
+    further (a record, or several of one key in one part) can keep shards apart. A null key is a key; a null text has size 1;
     rows that repeat a key have its slot, equal rows are kept each; an empty table gives an empty result. Other columns are ignored.
     docs is read twice, so it should be a table, or else be written before.
     """
