@@ -11,20 +11,20 @@ from .scalars import base_name, text_of, trim
 KNOWN = "file path bill bill_count status error quality_warning vendor vendor_address invoice_number date due_date currency net_total tax_total gross_total iban confidence has_text_layer from_cache extract_ms inference_ms notes".split()
 
 
-def bare_money(amount: Column, decimal: str = ",") -> Column:
-    """Two places, no grouping."""
-    text = F.format_string("%.2f", amount)
-    return F.when(amount.isNotNull(), text if decimal == "." else F.replace(text, F.lit("."), F.lit(decimal)))
+def bare_money(amount: Column, decimal: str = ",", group: str = "") -> Column:
+    """Two places with a locale's decimal sign and, if it has one, its sign between thousands."""
+    text = F.format_string("%,.2f" if group else "%.2f", amount)
+    return F.when(amount.isNotNull(), F.translate(text, ",.", group + decimal) if group else F.replace(text, F.lit("."), F.lit(decimal)))
 
 
-def money(amount: Column, currency: Column, decimal: str = ",") -> Column:
+def money(amount: Column, currency: Column, decimal: str = ",", group: str = "") -> Column:
     """The amount and its code, without a trailing space where there is no code; null without an amount."""
-    return F.when(text_of(currency) == "", bare_money(amount, decimal)).otherwise(F.concat(bare_money(amount, decimal), F.lit(" "), currency))
+    return F.when(text_of(currency) == "", bare_money(amount, decimal, group)).otherwise(F.concat(bare_money(amount, decimal, group), F.lit(" "), currency))
 
 
-def joined_money(parts: Column, decimal: str = ",") -> Column:
+def joined_money(parts: Column, decimal: str = ",", group: str = "") -> Column:
     """array<struct<currency, cents>> in order, joined by ' + '; '' for none."""
-    return F.array_join(F.transform(parts, lambda p: money(p["cents"].cast("double") / 100, p["currency"], decimal)), " + ")
+    return F.array_join(F.transform(parts, lambda p: money(p["cents"].cast("double") / 100, p["currency"], decimal, group)), " + ")
 
 
 def bare_amount(parts: Column, decimal: str = ",") -> Column:
@@ -52,11 +52,12 @@ def coverage_note(counted: Column, expected: Column, failed: Column, complete: C
 
 def zoom_notes(width: Column, height: Column, dpi: float = 200.0, min_short_edge: int = 1000, max_pixels: int = 20_000_000) -> Column:
     """array<string>: what changed a page's resolution, in order, each note once."""
-    short, base = F.least(width, height), F.lit(dpi / 72.0)
-    wanted, cap = F.lit(float(min_short_edge)) / short, F.sqrt(F.lit(float(max_pixels)) / (width * height))
+    page, base = (width > 0) & (height > 0), F.lit(dpi / 72.0)
+    short = F.when(page, F.least(width, height))
+    wanted, cap = F.lit(float(min_short_edge)) / short, F.sqrt(F.lit(float(max_pixels)) / F.when(page, width * height))
     raised = F.when(wanted > base, F.concat(F.lit("resolution raised to "), F.format_string("%.0f", F.round(wanted * 72)), F.lit(" dpi for a "), F.format_string("%.0f", F.round(short * 25.4 / 72)), F.lit(" mm narrow page")))
     limited = F.when(F.greatest(base, wanted) > cap, F.concat(F.lit("resolution limited to "), F.format_string("%.0f", F.round(cap * 72)), F.lit(" dpi by the pixel budget")))
-    return F.when((width > 0) & (height > 0), F.array_distinct(F.array_compact(F.array(raised, limited)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.array_compact(F.array(raised, limited)))
 
 
 def sum_line(path: Column, parts: Column, covered: Column) -> Column:

@@ -55,7 +55,8 @@ def amount_of(kept: Column) -> Column:
     bare = F.replace(kept, F.lit("."), F.lit(""))
     dots = F.when(kept.rlike(r"\..*\."), bare).when(kept.rlike(r"^[^.]{1,3}\.[^.]{3}$") & ~kept.rlike(r"^0\."), bare).otherwise(kept)
     ready = F.when(comma & dot, F.when(last(",") > last("."), german).otherwise(anglo)).when(comma, commas).when(dot, dots).otherwise(kept)
-    return F.when(~kept.isin("", "-"), ready.try_cast("double"))
+    number = ready.try_cast("double")
+    return F.when(~kept.isin("", "-") & (F.abs(number) < float("inf")), number)
 
 
 def parse_amount(text: Column) -> Column:
@@ -110,8 +111,8 @@ def iban(text: Column) -> Column:
 
 
 def to_cents(amount: Column) -> Column:
-    """BIGINT cents, half a cent away from zero."""
-    return F.round(amount * 100).cast("bigint")
+    """BIGINT cents, half a cent away from zero; null for what no number of cents can hold (NaN, infinity, 1e300)."""
+    return F.round(bill_amount(amount) * 100).try_cast("bigint")
 
 
 def from_cents(cents: Column) -> Column:
@@ -120,8 +121,8 @@ def from_cents(cents: Column) -> Column:
 
 
 def bill_amount(amount: Column) -> Column:
-    """NaN counts as no amount."""
-    return F.when(~F.isnan(amount), amount)
+    """NaN and infinity count as no amount."""
+    return F.when(~F.isnan(amount) & (F.abs(amount) < float("inf")), amount)
 
 
 def file_key(path: Column, file: Column) -> Column:
@@ -196,30 +197,38 @@ def legibility(from_text: Column, has_image: Column, width: Column, height: Colu
 
 
 def zoom(width: Column, height: Column, dpi: float = 200.0, min_short_edge: int = 1000, max_pixels: int = 20_000_000) -> Column:
-    """Magnification of a page (points): the resolution, raised for a narrow page, then limited by the pixel budget (each 0: not asked)."""
-    z = F.lit(dpi / 72.0)
+    """Magnification of a page (points): the resolution, raised for a narrow page, then limited by the pixel budget (each 0: not asked).
+
+    A page with an edge of 0 or less (or null) has the resolution alone.
+    """
+    plain, page = F.lit(dpi / 72.0), (width > 0) & (height > 0)
+    z = plain
     if min_short_edge > 0:
-        z = F.greatest(z, F.lit(float(min_short_edge)) / F.least(width, height))
+        z = F.greatest(z, F.lit(float(min_short_edge)) / F.when(page, F.least(width, height)))
     if max_pixels > 0:
-        z = F.least(z, F.sqrt(F.lit(float(max_pixels)) / (width * height)))
-    return F.when((width <= 0) | (height <= 0), F.lit(dpi / 72.0)).otherwise(z)
+        z = F.least(z, F.sqrt(F.lit(float(max_pixels)) / F.when(page, width * height)))
+    return F.when(page, z).otherwise(plain)
 
 
 def downscale(width: Column, height: Column, long_edge: int = 1600, min_short_edge: int = 0) -> Column:
-    """struct(scale, width, height) of an image whose long edge is too long; the short edge stays legible; never magnified."""
-    long, short = F.greatest(width, height).cast("double"), F.least(width, height).cast("double")
+    """struct(scale, width, height) of an image whose long edge is too long; the short edge stays legible; never magnified.
+
+    An edge of 0 or less (or null) is no image: null.
+    """
+    image = (width > 0) & (height > 0)
+    long, short = (F.when(image, f(width, height)).cast("double") for f in (F.greatest, F.least))
     s = F.when((F.lit(long_edge) > 0) & (long > long_edge), F.lit(float(long_edge)) / long).otherwise(1.0)
     if min_short_edge > 0:
         s = F.when((s < 1) & (short * s < min_short_edge), F.least(F.lit(float(min_short_edge)) / short, F.lit(1.0))).otherwise(s)
     s = F.when((s >= 0.999) | (s <= 0), 1.0).otherwise(s)
     edge = lambda x: F.when(s == 1, x.cast("bigint")).otherwise(F.greatest(F.lit(1), F.floor(x * s + 0.5)))
-    return F.struct(s.alias("scale"), edge(width).alias("width"), edge(height).alias("height"))
+    return F.when(image, F.struct(s.alias("scale"), edge(width).alias("width"), edge(height).alias("height")))
 
 
 def ocr_factor(width: Column, height: Column, target: int = 1400, most: float = 4.0) -> Column:
     """How far an image is magnified before recognition; 1 if hardly at all."""
     short = F.least(width, height).cast("double")
-    f = F.least(F.lit(float(target)) / short, F.lit(max(1.0, most)))
+    f = F.least(F.lit(float(target)) / F.when(short > 0, short), F.lit(max(1.0, most)))
     return F.when((short > 0) & (short < target) & (f > 1.05), f).otherwise(1.0)
 
 

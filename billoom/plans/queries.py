@@ -239,32 +239,31 @@ def stored_count(spark, sf_dir):
     return I.table(spark, sf_dir, "customer").select("c_custkey", n.alias("stored"), S.wiped(n, F.col("c_custkey") % 3).alias("wiped"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_size * 10.0::DOUBLE AS w, (p_partkey % 900) * 1.0::DOUBLE AS h, (p_partkey * 37 % 3000)::INT AS pw, (p_partkey * 91 % 2500)::INT AS ph FROM part),
-z AS (SELECT *, CASE WHEN w <= 0 OR h <= 0 THEN 200.0::DOUBLE / 72 ELSE least(greatest(200.0::DOUBLE / 72, 1000.0::DOUBLE / least(w, h)), sqrt(20000000.0::DOUBLE / (w * h))) END AS zoom,
-  greatest(pw, ph)::DOUBLE AS long, least(pw, ph)::DOUBLE AS short FROM p),
+@query("""WITH p AS (SELECT p_partkey, (p_size - 3) * 10.0::DOUBLE AS w, (p_partkey % 900) * 1.0::DOUBLE AS h, (p_partkey * 37 % 3000 - 20)::INT AS pw, CASE WHEN p_partkey % 41 <> 0 THEN (p_partkey * 91 % 2500 - 5)::INT END AS ph FROM part),
+z AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN least(greatest(200.0::DOUBLE / 72, 1000.0::DOUBLE / least(w, h)), sqrt(20000000.0::DOUBLE / (w * h))) ELSE 200.0::DOUBLE / 72 END AS zoom,
+  CASE WHEN pw > 0 AND ph > 0 THEN greatest(pw, ph)::DOUBLE END AS long, CASE WHEN pw > 0 AND ph > 0 THEN least(pw, ph)::DOUBLE END AS short, least(pw, ph)::DOUBLE AS least_edge FROM p),
 s AS (SELECT *, CASE WHEN long > 1600 THEN 1600.0::DOUBLE / long ELSE 1.0::DOUBLE END AS s0 FROM z),
-t AS (SELECT *, CASE WHEN s0 < 1 AND short * s0 < 700 THEN CASE WHEN short = 0 THEN 1.0::DOUBLE ELSE least(700.0::DOUBLE / short, 1.0::DOUBLE) END ELSE s0 END AS s1 FROM s),
-u AS (SELECT *, CASE WHEN s1 >= 0.999 OR s1 <= 0 THEN 1.0::DOUBLE ELSE s1 END AS scale FROM t)
-SELECT p_partkey, round(zoom, 9) AS zoom, round(scale, 9) AS scale, CASE WHEN scale = 1 THEN pw ELSE greatest(1, floor(pw * scale + 0.5::DOUBLE)::BIGINT) END AS width, CASE WHEN scale = 1 THEN ph ELSE greatest(1, floor(ph * scale + 0.5::DOUBLE)::BIGINT) END AS height,
-  round(CASE WHEN short > 0 AND short < 1400 AND least(1400.0::DOUBLE / short, 4.0::DOUBLE) > 1.05 THEN least(1400.0::DOUBLE / short, 4.0::DOUBLE) ELSE 1.0::DOUBLE END, 9) AS ocr,
-  CASE WHEN p_partkey % 2 = 0 AND short > 0 AND short < 400 THEN 'only ' || short::INT || ' px across: values are unverified' ELSE '' END AS warning FROM u""")
+t AS (SELECT *, CASE WHEN s0 < 1 AND short * s0 < 700 THEN least(700.0::DOUBLE / short, 1.0::DOUBLE) ELSE s0 END AS s1 FROM s),
+u AS (SELECT *, CASE WHEN short IS NOT NULL THEN CASE WHEN s1 >= 0.999 OR s1 <= 0 THEN 1.0::DOUBLE ELSE s1 END END AS scale FROM t)
+SELECT p_partkey, round(zoom, 9) AS zoom, round(scale, 9) AS scale, CASE WHEN scale IS NULL THEN NULL WHEN scale = 1 THEN pw ELSE greatest(1, floor(pw * scale + 0.5::DOUBLE)::BIGINT) END AS width, CASE WHEN scale IS NULL THEN NULL WHEN scale = 1 THEN ph ELSE greatest(1, floor(ph * scale + 0.5::DOUBLE)::BIGINT) END AS height,
+  round(CASE WHEN least_edge > 0 AND least_edge < 1400 AND least(1400.0::DOUBLE / least_edge, 4.0::DOUBLE) > 1.05 THEN least(1400.0::DOUBLE / least_edge, 4.0::DOUBLE) ELSE 1.0::DOUBLE END, 9) AS ocr,
+  CASE WHEN p_partkey % 2 = 0 AND least_edge > 0 AND least_edge < 400 THEN 'only ' || least_edge::INT || ' px across: values are unverified' ELSE '' END AS warning FROM u""")
 def page_geometry(spark, sf_dir):
-    """Zoom, downscale, OCR magnification and legibility of pages and images."""
+    """Zoom, downscale, OCR magnification and legibility of pages and images, among them edges that are null, zero or negative."""
     k = F.col("p_partkey")
-    w, h, pw, ph = F.col("p_size") * 10.0, (k % 900) * 1.0, (k * 37 % 3000).cast("int"), (k * 91 % 2500).cast("int")
+    w, h, pw, ph = (F.col("p_size") - 3) * 10.0, (k % 900) * 1.0, (k * 37 % 3000 - 20).cast("int"), F.when(k % 41 != 0, (k * 91 % 2500 - 5).cast("int"))
     rows = I.table(spark, sf_dir, "part").select("p_partkey", w.alias("w"), h.alias("h"), pw.alias("pw"), ph.alias("ph"))
-    # A zero short edge makes the floor's quotient infinite: no shrinking then.
-    s = S.downscale(F.col("pw"), F.greatest(F.col("ph"), F.lit(0)), 1600, 700)
-    z = F.when((F.col("w") <= 0) | (F.col("h") <= 0), F.lit(200.0 / 72)).otherwise(S.zoom(F.nullif("w", F.lit(0.0)), F.nullif("h", F.lit(0.0))))
+    s, z = S.downscale(F.col("pw"), F.col("ph"), 1600, 700), S.zoom(F.col("w"), F.col("h"))
     return rows.select("p_partkey", F.round(z, 9).alias("zoom"), s.alias("s"), "pw", "ph").select("p_partkey", "zoom", F.round("s.scale", 9).alias("scale"), "s.width", "s.height", F.round(S.ocr_factor(F.col("pw"), F.col("ph")), 9).alias("ocr"), S.legibility(k % 2 != 0, F.lit(True), F.col("pw"), F.col("ph")).alias("warning"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_size * 10.0::DOUBLE AS w, (p_partkey % 9000) * 1.0::DOUBLE AS h FROM part), q AS (SELECT *, 1000.0::DOUBLE / least(w, h) AS wanted, sqrt(20000000.0::DOUBLE / (w * h)) AS cap FROM p WHERE w > 0 AND h > 0)
-SELECT p_partkey, array_to_string(list_filter([CASE WHEN wanted > 200.0::DOUBLE / 72 THEN 'resolution raised to ' || printf('%.0f', round(wanted * 72)) || ' dpi for a ' || printf('%.0f', round(least(w, h) * 25.4::DOUBLE / 72)) || ' mm narrow page' END,
-  CASE WHEN greatest(200.0::DOUBLE / 72, wanted) > cap THEN 'resolution limited to ' || printf('%.0f', round(cap * 72)) || ' dpi by the pixel budget' END], lambda x: x IS NOT NULL), '; ') AS notes FROM q""")
+@query("""WITH p AS (SELECT p_partkey, (p_size - 3) * 10.0::DOUBLE AS w, (p_partkey % 9000) * 1.0::DOUBLE AS h FROM part), q AS (SELECT *, w > 0 AND h > 0 AS page, CASE WHEN w > 0 AND h > 0 THEN 1000.0::DOUBLE / least(w, h) END AS wanted, CASE WHEN w > 0 AND h > 0 THEN sqrt(20000000.0::DOUBLE / (w * h)) END AS cap FROM p)
+SELECT p_partkey, array_to_string(list_filter([CASE WHEN page AND wanted > 200.0::DOUBLE / 72 THEN 'resolution raised to ' || printf('%.0f', round(wanted * 72)) || ' dpi for a ' || printf('%.0f', round(least(w, h) * 25.4::DOUBLE / 72)) || ' mm narrow page' END,
+  CASE WHEN page AND greatest(200.0::DOUBLE / 72, wanted) > cap THEN 'resolution limited to ' || printf('%.0f', round(cap * 72)) || ' dpi by the pixel budget' END], lambda x: x IS NOT NULL), '; ') AS notes FROM q""")
 def zoom_notes(spark, sf_dir):
-    w, h = F.col("p_size") * 10.0, (F.col("p_partkey") % 9000) * 1.0
-    return I.table(spark, sf_dir, "part").filter((w > 0) & (h > 0)).select("p_partkey", F.array_join(render.zoom_notes(w, h), "; ").alias("notes"))
+    """Pages with an edge of 0 or less have no note."""
+    w, h = (F.col("p_size") - 3) * 10.0, (F.col("p_partkey") % 9000) * 1.0
+    return I.table(spark, sf_dir, "part").select("p_partkey", F.array_join(render.zoom_notes(w, h), "; ").alias("notes"))
 
 
 @query("""SELECT '{"file":"' || p_partkey || '.pdf","path":"/in/' || p_partkey || '.pdf","kind":"' || CASE WHEN p_partkey % 2 = 0 THEN 'pdf' ELSE 'image' END || '","status":"' || CASE WHEN p_partkey % 5 = 0 THEN 'error","error":"damaged' ELSE 'ok' END || '","has_text_layer":' || (p_partkey % 2 = 0) || ',"bill_count":' || p_size
@@ -517,9 +516,9 @@ def layout_rows(spark, sf_dir):
     return files.layout_rows(boxes)
 
 
-@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, CASE WHEN text IS NULL OR text = '' THEN 'no text found' ELSE '' END AS error FROM documents WHERE text IS NULL OR text = '' OR regexp_matches(text, '[^\\s]')")
+@query(f"SELECT doc_id, sha256(coalesce(text, '')) AS sha256, CASE WHEN {Q.trim("coalesce(text, '')")} = '' THEN 'no text found' ELSE '' END AS error FROM documents")
 def content_hashes(spark, sf_dir):
-    d = I.table(spark, sf_dir, "documents").filter("text IS NULL OR text = '' OR text RLIKE '[^\\\\s]'").select("doc_id", F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    d = I.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     return files.text_or_error(d).select("doc_id", files.content_hash(F.col("text").cast("binary")).alias("sha256"), "error")
 
 
