@@ -16,6 +16,7 @@ the counts of its pairs are summed first and come to each part before its blocks
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -32,10 +33,14 @@ from .wordcodes import in_blocks
 #: A cut before a space: no space (nor what stands for one in B) before it, no white space after it.
 _CUT = re.compile("(?<=[^ \u2581]) (?=[^\\s\u180e])")
 _BYTE = re.compile("<0x([0-9A-F]{2})>$")
+#: Pieces encoded in one call.
+RUN = 1000
 #: Distinct pieces, and links of theirs, that a worker keeps before it starts anew.
 MOST_PIECES, MOST_LINKS = 400_000, 4_000_000
 #: Postings that a task gathers before it writes blocks of them, and contributions before it hands them on.
 BLOCK = 1 << 20
+#: Rows that stand together, as a power of two, when rows are dealt to buckets.
+ROWS_TOGETHER = 8
 #: Postings of an A id, or of a part of one, that meet in a task.
 LEAST_PART, MOST_PART = 10_000, 1 << 20
 
@@ -47,24 +52,13 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def align(a: list[bytes], b: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(links, cuts) of two ways to cut the same bytes: places in a and b of tokens that overlap; tokens of a and b that end with each group."""
-    links, cuts, i, j, end_a, end_b = [], [], 0, 0, 0, 0
-    end_a, end_b = len(a[0]), len(b[0])
-    while True:
-        links.append((i, j))
-        if end_a == end_b:
-            cuts.append((i + 1, j + 1))
-            if i + 1 == len(a):
-                return links, cuts
-            i, j = i + 1, j + 1
-            end_a, end_b = end_a + len(a[i]), end_b + len(b[j])
-        elif end_a < end_b:
-            i += 1
-            end_a += len(a[i])
-        else:
-            j += 1
-            end_b += len(b[j])
+def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, ends) of two ways to cut the same bytes, given by where their tokens end: links of tokens i and j, and where both end.
+
+    The ends of either kind cut the bytes into stretches, each in one token of a and one of b; two tokens that overlap share one stretch.
+    """
+    stretches = np.union1d(a, b)
+    return np.searchsorted(a, stretches), np.searchsorted(b, stretches), np.intersect1d(a, b)
 
 
 class Growing:
@@ -73,8 +67,7 @@ class Growing:
     def __init__(self, *width: int):
         self.all, self.n = np.zeros((1024, *width), np.int64), 0
 
-    def add(self, rows: list) -> None:
-        more = np.array(rows, np.int64).reshape(-1, *self.all.shape[1:])
+    def add(self, more: np.ndarray) -> None:
         if self.n + len(more) > len(self.all):
             self.all = np.concatenate([self.all[: self.n], np.zeros((self.n + 2 * len(more), *self.all.shape[1:]), np.int64)])
         self.all[self.n : self.n + len(more)] = more
@@ -95,8 +88,12 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         alphabet = byte_level_alphabet()
-        self.bytes_a = {i: bytes(map(alphabet.__getitem__, t)) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        tokens = {i: bytes(map(alphabet.__getitem__, t)) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.bytes_a = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.bytes_b = [self._piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
+        self.long_a, self.long_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        # Ids as text, as they stand within a group's side and at its end.
+        self.written = [f"{i}{c}" for of, end in ((self.bytes_a, "|"), (self.bytes_b, ";")) for i in range(len(of)) for c in (",", end)]
         self._start()
 
     @staticmethod
@@ -109,25 +106,54 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.sizes, self.groups, self.ends, self.pairs = Growing(5), [], Growing(), Growing()
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids of A and the pieces that they are of, then of B."""
+        a, of_a = [], []
+        for at in range(0, len(pieces), RUN):
+            got = self.a.encode([" " + p for p in pieces[at : at + RUN]], is_pretokenized=True, add_special_tokens=False)
+            a.append(np.array(got.ids, np.int64))
+            of_a.append(np.array(got.word_ids, np.int64) + at)
+        b = self.b.encode(pieces, num_threads=1)
+        many = np.array(list(map(len, b)), np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(b), np.int64, int(many.sum()))
+        return np.concatenate(a), np.concatenate(of_a), flat, np.repeat(np.arange(len(pieces)), many)
+
+    def _wrong(self, pieces: list[str], a: np.ndarray, of_a: np.ndarray, b: np.ndarray, of_b: np.ndarray) -> np.ndarray:
+        """Pieces whose tokens' bytes are not a space and the piece."""
+        n, want = len(pieces), [(" " + p).encode() for p in pieces]
+        out, whole = np.zeros(n, bool), b"".join(want)
+        for ids, of, long, tokens in ((a, of_a, self.long_a, self.bytes_a), (b, of_b, self.long_b, self.bytes_b)):
+            total = np.zeros(n, np.int64)
+            np.add.at(total, of, long[ids])
+            out |= total != np.array(list(map(len, want)), np.int64)
+            joined = b"".join(map(tokens.__getitem__, ids.tolist()))
+            if joined != whole:
+                ends = np.cumsum(total)
+                out |= np.array([joined[e - t : e] != w for e, t, w in zip(ends.tolist(), total.tolist(), want, strict=True)])
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
-        sizes, ends, pairs, before = [], [], [], self.pairs.n
-        for piece, a in zip(pieces, self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False), strict=True):
-            a, b = a.ids, self.b.encode(piece)
-            in_a, in_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            self.known[piece] = len(self.groups)
-            if not b"".join(in_a) == b"".join(in_b) == (" " + piece).encode():
-                sizes.append((0, 0, 0, 0, 1))
-                self.groups.append("")
-            else:
-                links, cuts = align(in_a, in_b)
-                starts = [(0, 0), *cuts]
-                sizes.append((len(a), len(b), len(cuts), len(links), 0))
-                self.groups.append(";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:l]))}" for (i, j), (k, l) in zip(starts, cuts, strict=False)))
-                pairs += [a[i] << 32 | b[j] for i, j in links]
-            ends.append(before + len(pairs))
+        n = len(pieces)
+        a, of_a, b, of_b = self._encoded(pieces)
+        wrong = self._wrong(pieces, a, of_a, b, of_b)
+        if wrong.any():
+            (a, of_a), (b, of_b) = ((ids[~wrong[of]], of[~wrong[of]]) for ids, of in ((a, of_a), (b, of_b)))
+        end_a, end_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
+        i, j, cuts = align(end_a, end_b)
+        count = lambda of: np.bincount(of, minlength=n)
+        sizes = np.stack([count(of_a), count(of_b), count(of_a[np.searchsorted(end_a, cuts)]), count(of_a[i]), wrong], axis=1).astype(np.int64)
+        # Groups as text: in each the tokens of A, then those of B.
+        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        last = lambda g: np.r_[g[1:] != g[:-1], np.ones(min(1, len(g)), bool)]
+        flat = np.empty(len(a) + len(b), np.int64)
+        flat[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = 2 * a + last(group_a)
+        flat[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = 2 * (len(self.bytes_a) + b) + last(group_b)
+        text, ends = list(map(self.written.__getitem__, flat.tolist())), np.cumsum(sizes[:, 0] + sizes[:, 1]).tolist()
+        self.known.update(zip(pieces, range(len(self.groups), len(self.groups) + n), strict=True))
+        self.groups += ["".join(text[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
         self.sizes.add(sizes)
-        self.ends.add(ends)
-        self.pairs.add(pairs)
+        self.ends.add(self.pairs.n + np.cumsum(sizes[:, 3]))
+        self.pairs.add(a[i] << 32 | b[j])
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(tokens of a and b, groups, links) by text and the digests of the groups; text, pair (a << 32 | b) and times of each text's links."""
@@ -145,7 +171,7 @@ class Aligner:
         wrong = sums[:, 4] > 0
         sums[wrong] = 0
         groups = self.groups
-        digests = [hashlib.sha256(";".join([groups[k] for k in f]).encode()).hexdigest() if n else "" for f, n in zip(found, sums[:, 0].tolist(), strict=True)]
+        digests = [hashlib.sha256("".join([groups[k] for k in f])[:-1].encode()).hexdigest() if n else "" for f, n in zip(found, sums[:, 0].tolist(), strict=True)]
         # Pieces of each text with their numbers, then their links.
         whole = [np.empty(0, np.int64) if w else x for x, w in zip(at, wrong, strict=True)]
         text = np.repeat(np.arange(len(texts)), list(map(len, whole)))
@@ -223,8 +249,20 @@ def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array((pair >> 32).astype(np.int32)), pa.array(pair & 0xFFFFFFFF), pa.array(count)], ["a", "b", "count"])
 
 
-def contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, n_best, count_sum) from runs of one (a, part): first totals of its pairs, if it has parts, then its blocks."""
+def _added(row: np.ndarray, best: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums by row, in order of row."""
+    rows, at = np.unique(row, return_inverse=True)
+    sums = np.zeros((2, len(rows)), np.int64)
+    np.add.at(sums[0], at, best)
+    np.add.at(sums[1], at, total)
+    return rows, sums[0], sums[1]
+
+
+def contributions(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, rows, n_best, count_sum) from runs of one (a, part): first totals of its pairs, if it has parts, then its blocks.
+
+    What goes out are blocks too: sums by row of all runs since the last, for each bucket of rows.
+    """
     run, held = None, []
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -243,14 +281,14 @@ def contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             most = count.max()
         out.append((row, np.where(count[at] == most, times, 0), count[at] * times))
 
-    def added() -> pa.RecordBatch:
-        row, best, total = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
-        rows, at = np.unique(row, return_inverse=True)
-        sums = np.zeros((2, len(rows)), np.int64)
-        np.add.at(sums[0], at, best)
-        np.add.at(sums[1], at, total)
+    def blocks() -> pa.RecordBatch:
+        row, best, total = _added(*map(np.concatenate, zip(*out, strict=True)))
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums[0]), pa.array(sums[1])], ["row", "n_best", "count_sum"])
+        bucket = (row >> ROWS_TOGETHER) % buckets
+        order = np.argsort(bucket, kind="stable")
+        found, first = np.unique(bucket[order], return_index=True)
+        cut = lambda x: pa.array([y.tobytes() for y in np.split(x[order].astype("<i8"), first[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), cut(row), cut(best), cut(total)], ["bucket", "rows", "n_best", "count_sum"])
 
     for x in batches:
         a, part, base, total = (x.column(c).to_pylist() for c in ("a", "part", "base", "total"))
@@ -259,13 +297,25 @@ def contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 close()
                 run, held = (a[k], part[k]), []
                 if sum(len(y[0]) for y in out) >= BLOCK:
-                    yield added()
+                    yield blocks()
             if total[k] is None:
                 held.append((_u4(x.column("b"), k), base[k] + _u4(x.column("rows"), k), _u4(x.column("times"), k), None))
             else:
                 held.append((None, None, None, (total[k]["b"], total[k]["count"])))
     close()
-    yield added()
+    if out:
+        yield blocks()
+
+
+def row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, n_best, count_sum) from all blocks of the rows of some buckets: added up as they come, so that a task holds its rows once."""
+    held, fresh = (np.empty(0, np.int64),) * 3, []
+    for x in batches:
+        fresh += [tuple(np.frombuffer(x.column(c)[k].as_py(), "<i8") for c in ("rows", "n_best", "count_sum")) for k in range(x.num_rows)]
+        if sum(len(y[0]) for y in fresh) >= max(BLOCK, len(held[0])):
+            held, fresh = _added(*map(np.concatenate, zip(held, *fresh, strict=True))), []
+    held = _added(*map(np.concatenate, zip(held, *fresh, strict=True)))
+    yield pa.RecordBatch.from_arrays(list(map(pa.array, held)), ["row", "n_best", "count_sum"])
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -290,8 +340,8 @@ def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     dealt = blocks.join(F.broadcast(large), "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("base", "a"), F.col("parts")).cast("int"), F.lit(0)))
     stream = dealt.select("a", "part", "base", "b", "rows", "times").unionByName(totals, allowMissingColumns=True)
     stream = stream.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("total").isNull())
-    given = stream.mapInArrow(contributions, "row long, n_best long, count_sum long")
-    sums = given.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    given = stream.mapInArrow(lambda batches: contributions(batches, n), "bucket int, rows binary, n_best binary, count_sum binary")
+    sums = given.repartition(n, "bucket").mapInArrow(row_sums, "row long, n_best long, count_sum long")
     rows = both.filter("a IS NULL").select("row", *_DOCS, "groups_sha256")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")]
     return rows.join(sums, "row", "left").select(*_DOCS, *zero, "groups_sha256")
