@@ -37,9 +37,9 @@ TERMS_LISTED = 200
 #: A term that stands in one of so many groups of its language, or more, is heavy.
 HEAVY_ONE_IN = 4
 #: Entries that a task counts up before it hands them on.
-ENTRIES = 400_000
+ENTRIES = 1_200_000
 #: A dense tile: heavy terms on average, and groups on each side. One-sided sums and light cells a task.
-TILE_TERMS, TILE_GROUPS, ONE_SIDED, LIGHT_CELLS = 1024, 256, 1 << 16, 1 << 18
+TILE_TERMS, TILE_GROUPS, ONE_SIDED, LIGHT_CELLS = 1024, 256, 1 << 16, 1 << 14
 #: Pairs of postings looked at together.
 PAIRS = 1 << 20
 #: Up to so many groups go to all tasks; more are merge-joined.
@@ -47,10 +47,7 @@ BROADCAST_GROUPS = 10_000
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, d) as each task has counted them: occurrences n by source, and with a null source the documents d.
-
-    Rows with a null term say that the group occurs.
-    """
+    """(lang, source, term, n, d) as each task has counted them: occurrences n by source, and with a null source the documents d."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms: dict[tuple[str, str], Counter] = defaultdict(Counter)
@@ -65,7 +62,7 @@ def counted(docs: DataFrame) -> DataFrame:
             found.clear()
 
         def rows(lang, source, c, occurrences):
-            words, many = pa.array([None, *c], pa.binary()).cast(pa.string()), np.array([0, *c.values()], np.int64)
+            words, many = pa.array(list(c), pa.binary()).cast(pa.string()), np.fromiter(c.values(), np.int64, len(c))
             none = np.zeros(len(many), np.int64)
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(many), pa.string()), pa.array([source] * len(many), pa.string()), words, pa.array(many if occurrences else none), pa.array(none if occurrences else many)], ["lang", "source", "term", "n", "d"])
 
@@ -79,8 +76,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return plain.mapInArrow(scan, "lang string, source string, term string, n long, d long")
+    return docs.mapInArrow(scan, "lang string, source string, term string, n long, d long")
 
 
 def share(count: str, of: str) -> str:
@@ -179,13 +175,13 @@ def audit(docs: DataFrame, terms_listed: int = TERMS_LISTED, block: int = TILE_G
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "divergence")
     n = default_partitions(spark)
-    parts = scratch.keep(counted(docs), "counted")
+    docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     by_term = Window.partitionBy("lang", "term")
-    cells = parts.filter("term IS NOT NULL").repartition(n, "lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    cells = counted(docs).repartition(n, "lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     cells = cells.withColumns({"docs": F.sum("d").over(by_term), "all": F.sum("n").over(by_term), "k": F.count("source").over(by_term), "first": F.row_number().over(by_term.orderBy(F.col("source").asc_nulls_last())) == 1})
     cells = scratch.keep(cells.filter((F.col("docs") >= LEAST_DOCUMENTS) & F.col("source").isNotNull()).select("lang", "source", "term", "n", "all", "k", "first"), "cells")
 
-    named = parts.filter("term IS NULL AND source IS NOT NULL").select("lang", "source").distinct()
+    named = scratch.keep(docs.select("lang", "source").distinct(), "named")
     named = named.withColumns({"g": F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1, "s": F.count("*").over(Window.partitionBy("lang"))})
     own = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = scratch.keep(named.select("lang", "s").distinct(), "sizes")
