@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from billoom.functions import render
 from billoom.functions import scalars as S
-from billoom.operators import lists, replies, store, totals
+from billoom.operators import lists, replies, staged, store, totals
 from billoom.sources import files, ndjson
 from billoom.streaming import inbox
 
@@ -384,6 +385,46 @@ def newest_documents(spark, sf_dir):
     return store.newest_documents(docs.join(F.broadcast(last), "created_at", "left_semi")).select(F.col("sha256").alias("o_orderkey"))
 
 
+def _stored(spark, sf_dir):
+    """A store in the shared folder with both generations saved one after the other; what went before is the second's file names."""
+    old, old_bills, new, new_bills = I.generations(spark, sf_dir)
+    out = store.Store(spark, f"{staged.shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=8)
+    names = {t: [x.split() for x in schema.split(", ")] for t, schema in (("documents", store.DOCUMENTS), ("bills", store.BILLS))}
+    whole = lambda rows, t: rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast(kind).alias(n) for n, kind in names[t]])
+    at = F.format_string("%d-%s", "write_seq", F.substring("sha256", 1, 6))
+    for docs, bills in ((old, old_bills), (new, new_bills)):
+        bills = bills.withColumn("gross_total", F.col("gross_cents").cast("double")).withColumn("created_at", at)
+        out.save(whole(docs.withColumn("created_at", at), "documents"), whole(bills, "bills"))
+    return out
+
+
+_NOW = """now_docs AS (SELECT * FROM new_docs UNION ALL SELECT * FROM old_docs WHERE sha256 NOT IN (SELECT sha256 FROM new_docs)),
+now_bills AS (SELECT * FROM new_bills UNION ALL SELECT * FROM old_bills WHERE sha256 NOT IN (SELECT sha256 FROM new_docs))"""
+
+
+@query(f"WITH {I.GENERATIONS}, {_NOW} SELECT sha256, page, gross_cents::DOUBLE AS gross_total, write_seq FROM now_bills")
+def stored_bills(spark, sf_dir):
+    """Two saves to a store on files, then its bills: pages that a document no longer has are gone."""
+    return _stored(spark, sf_dir).bills().select("sha256", "page", "gross_total", "write_seq")
+
+
+@query(f"WITH {I.GENERATIONS}, {_NOW} SELECT sha256, page, file_name, gross_cents::DOUBLE AS gross_total FROM now_bills JOIN now_docs USING (sha256) ORDER BY now_bills.write_seq || '-' || left(sha256, 6) DESC, now_bills.write_seq DESC, page DESC, sha256 DESC LIMIT 50")
+def stored_history(spark, sf_dir):
+    """The latest bills of a store on files, read newest file first."""
+    return _stored(spark, sf_dir).history(50).select("sha256", "page", "file_name", "gross_total")
+
+
+@query(f"""WITH {I.GENERATIONS}, {_NOW}, asked AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'none' || doc_id ELSE sha256 END AS sha256, 'fp' || (doc_id % 2 + 1) AS fingerprint FROM hashed)
+SELECT asked.doc_id, now_docs.sha256 IS NOT NULL AS hit FROM asked LEFT JOIN now_docs USING (sha256, fingerprint)""")
+def stored_probe(spark, sf_dir):
+    """The cache of a store on files: its filters tell misses, hits are looked up in their buckets."""
+    d, k = I.table(spark, sf_dir, "documents"), F.col("doc_id")
+    base = d.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sha = F.sha2(F.concat(k.cast("string"), F.lit("|"), F.col("text")), 256)
+    asked = base.select("doc_id", F.when(k % 7 == 0, "").when(k % 11 == 0, F.concat(F.lit("none"), k)).otherwise(sha).alias("sha256"), F.concat(F.lit("fp"), k % 2 + 1).alias("fingerprint"))
+    return _stored(spark, sf_dir).probe(asked).select("doc_id", "hit")
+
+
 # Rendering
 
 
