@@ -6,7 +6,7 @@ import json
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +14,9 @@ from pyspark.sql.types import StructType
 
 from billoom.functions import scalars as S
 
-from .replies import NEAR, settled_date, settled_total
+from .replies import NEAR, ModelError, answer, settled_date, settled_total, to_send, user_message
 
-Model = Callable[[list[dict[str, str]]], str]
-
-
-class ModelError(Exception):
-    """kind: unreachable, timeout, not_installed, refused (the service says why) or http."""
-
-    def __init__(self, kind: str, text: str):
-        super().__init__(f"{kind}: {text}")
-        self.kind = kind
+Model = Callable[[list[dict]], str]
 
 
 @dataclass
@@ -34,6 +26,14 @@ class HttpModel:
     url: str
     model: str
     timeout: float = 120.0
+    #: What an answer must look like, as a JSON schema; and whether the model may reason, and how long it stays loaded.
+    schema: dict | None = None
+    think: bool | None = None
+    keep_alive: str | None = None
+
+    def answering(self, schema: dict) -> HttpModel:
+        """The same model, held to a schema."""
+        return replace(self, schema=schema)
 
     def _call(self, path: str, payload: dict | None, timeout: float) -> dict:
         request = urllib.request.Request(self.url + path, None if payload is None else json.dumps(payload).encode(), {"Content-Type": "application/json"})
@@ -62,8 +62,9 @@ class HttpModel:
             return {}
         return out if isinstance(out, dict) else {}
 
-    def __call__(self, messages: list[dict[str, str]]) -> str:
-        out = self._call("/api/chat", {"model": self.model, "messages": messages, "stream": False, "options": {"temperature": 0}}, self.timeout)
+    def __call__(self, messages: list[dict]) -> str:
+        more = {k: v for k, v in (("format", self.schema), ("think", self.think), ("keep_alive", self.keep_alive)) if v is not None}
+        out = self._call("/api/chat", {"model": self.model, "messages": messages, "stream": False, "options": {"temperature": 0}} | more, self.timeout)
         return (out.get("message") or {}).get("content") or ""
 
     def installed(self) -> list[str]:
@@ -71,36 +72,38 @@ class HttpModel:
         return [m.get("name", "") for m in self._call("/api/tags", None, 5.0).get("models") or []]
 
 
-def date_messages(text: str) -> list[dict[str, str]]:
-    return [{"role": "user", "content": f"On which date was this bill issued? Answer with the date alone, or NONE.\n\n{text}"}]
+def date_messages(text: str, image: bytes | None = None) -> list[dict]:
+    return [user_message(f"On which date was this bill issued? Answer with the date alone, or NONE.\n\n{text}", image)]
 
 
-def total_messages(text: str) -> list[dict[str, str]]:
-    return [{"role": "user", "content": f"Which amount does this bill ask for in all? Answer with the number alone, or NONE.\n\n{text}"}]
+def total_messages(text: str, image: bytes | None = None) -> list[dict]:
+    return [user_message(f"Which amount does this bill ask for in all? Answer with the number alone, or NONE.\n\n{text}", image)]
 
 
-def asked(rows: DataFrame, model: Model, messages: Callable[[str], list[dict[str, str]]], when: Column, name: str, text: str = "text") -> DataFrame:
-    """rows with the model's answer about their text as ``name`` where ``when`` is true, null elsewhere."""
+def asked(rows: DataFrame, model: Model, messages: Callable[..., list[dict]], when: Column, name: str) -> DataFrame:
+    """rows with the model's answer about their text and image as ``name`` where ``when`` is true; null elsewhere, and where the model fails."""
     rows = rows.drop(name).withColumn("_ask", F.coalesce(when, F.lit(False)))
     schema = StructType([f for f in rows.schema.fields if f.name != "_ask"]).add(name, "string")
 
     def ask(batches: Iterator) -> Iterator:
         for b in batches:
-            b[name] = [model(messages(t)) if a else None for t, a in zip(b[text], b["_ask"], strict=True)]
+            b[name] = [answer(model, messages(t or "", i))[0] if a else None for t, i, a in zip(b["text"], to_send(b)[1], b["_ask"], strict=True)]
             yield b[[f.name for f in schema]]
 
     return rows.mapInPandas(ask, schema)
 
 
 def settled(bills: DataFrame, model: Model) -> DataFrame:
-    """bills(text, date, gross_total, ...) with date and gross_total settled, and date_source, total_corrected and total_asked_twice.
+    """bills(text, date, gross_total, ..., jpeg if there are images) with date and gross_total settled, and date_source, total_corrected and total_asked_twice.
 
     The date is asked for only where the text has no labelled one; the total always, and again where the answer differs from the
-    reply's. Bills without text are not asked about. Write the result before reading it twice.
+    reply's. Bills without text and image are not asked about; a model that fails counts as no answer. Write the result before reading it twice.
     """
-    has_text = S.trim(S.text_of(F.col("text"))) != ""
-    out = asked(bills, model, date_messages, has_text & (S.find_labelled_date(F.col("text")) == ""), "_date")
-    out = asked(out, model, total_messages, has_text, "_first").withColumn("_a", S.amount_from_answer(F.col("_first")))
+    some = S.trim(S.text_of(F.col("text"))) != ""
+    if "jpeg" in bills.columns:
+        some = some | (F.coalesce(F.octet_length("jpeg"), F.lit(0)) > 0)
+    out = asked(bills, model, date_messages, some & (S.find_labelled_date(F.col("text")) == ""), "_date")
+    out = asked(out, model, total_messages, some, "_first").withColumn("_a", S.amount_from_answer(F.col("_first")))
     differs = F.col("_a").isNotNull() & (F.col("gross_total").isNull() | (F.abs(F.col("_a") - F.col("gross_total")) >= NEAR))
     out = asked(out, model, total_messages, differs, "_second")
     date, total = settled_date(F.col("text"), F.col("_date"), F.col("date")), settled_total(F.col("gross_total"), F.col("_a"), S.amount_from_answer(F.col("_second")))

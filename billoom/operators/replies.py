@@ -5,14 +5,18 @@ All of it is Column logic, so replies of any number are one pass over their tabl
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from billoom.functions import scalars as S
 
+from .staged import Stages
+
 #: Two totals closer than this are the same.
 NEAR = 0.005
 TEXTS = ("vendor", "vendor_address", "invoice_number", "date", "due_date", "currency", "iban")
@@ -97,35 +101,80 @@ def settled_total(reply: Column, first: Column, second: Column) -> Column:
     return F.struct(F.when(agreed | corrected, first).otherwise(reply).alias("total"), again.alias("asked_twice"), corrected.alias("corrected"))
 
 
-def extraction_messages(text: str | None, complaint: str | None = None) -> list[dict[str, str]]:
+class ModelError(Exception):
+    """kind: unreachable, timeout, not_installed, refused (the service says why) or http."""
+
+    def __init__(self, kind: str, text: str):
+        super().__init__(f"{kind}: {text}")
+        self.kind = kind
+
+
+def answer(model: Callable[[list[dict]], str], messages: list[dict]) -> tuple[str | None, str | None]:
+    """(reply, failure) of a call; a model that fails is told in the row and ends no task."""
+    try:
+        return model(messages), None
+    except ModelError as e:
+        return None, str(e)
+
+
+def answer_schema() -> dict:
+    """The record as a JSON schema, which goes along with a request: the fields' types, vendor and total required."""
+    text, amount = {"type": "string"}, {"type": ["number", "null"]}
+    return {"type": "object", "properties": {k: amount if k in AMOUNTS else text for k in FIELDS}, "required": ["vendor", "gross_total"]}
+
+
+def user_message(content: str, image: bytes | None = None) -> dict:
+    """A message with the page's image, if it has one, in base64."""
+    images = {"images": [base64.b64encode(image).decode()]} if image else {}
+    return {"role": "user", "content": content} | images
+
+
+def extraction_messages(text: str | None, complaint: str | None = None, image: bytes | None = None) -> list[dict]:
     """The messages that ask for a page's record."""
     ask = "Answer with one JSON object with the keys " + ", ".join(FIELDS) + ". Use null for what is not on the page."
-    messages = [{"role": "system", "content": ask}, {"role": "user", "content": text or ""}]
+    messages = [{"role": "system", "content": ask}, user_message(text or "", image)]
     return messages + ([{"role": "user", "content": f"That answer can't be used: {complaint}. Answer again."}] if complaint else [])
 
 
-def analysed(pages: DataFrame, model: Callable[[list[dict[str, str]]], str]) -> DataFrame:
-    """pages(path, page, text, ...) with status, error, attempts and the record's fields; the model is asked once, and once more where its reply doesn't count.
+def to_send(batch: pd.DataFrame) -> tuple[pd.Series, list[bytes | None]]:
+    """Which rows have a text or an image, and the images."""
+    images = [x or None for x in batch["jpeg"]] if "jpeg" in batch else [None] * len(batch)
+    text = batch["text"].notna() & (batch["text"].fillna("").str.strip() != "")
+    return text | pd.Series([x is not None for x in images], index=batch.index, dtype=bool), images
+
 
-    Pages without text (and image) are not sent: an error. A reply that doesn't count after the second time keeps its fields and is an
-    error. The model runs in the workers, batch by batch; write the result before reading it twice, as a model may answer differently.
+def analysed(pages: DataFrame, model: Callable[[list[dict]], str], stages: Stages | None = None) -> DataFrame:
+    """pages(path, page, text, ..., jpeg if there are images) with status, error, attempts, model_error and the record's fields.
+
+    The model is asked once, and once more where its reply doesn't count. Both rounds are written (as ``first`` and ``second`` of stages, a new
+    folder if none are given) and only read from there, so that however often the result is read, a page is asked about no more, and
+    a model that varies puts it in one round. Only a task that is run again asks again.
+
+    Pages without text and image are not sent: an error. A reply that doesn't count after the second time keeps its fields and is an
+    error. A model that can't be reached is an error of the row (model_error), and is not tried again. Columns of these names are
+    replaced; repeated rows are asked about each; an empty table gives an empty result.
     """
-    schema = StructType(pages.schema.fields[:]).add("reply", "string").add("attempts", "integer")
+    stages = stages or Stages(pages.sparkSession)
+    pages = pages.drop("reply", "attempts", "model_error", "error", "status")
+    schema = StructType(pages.schema.fields[:]).add("reply", "string").add("attempts", "integer").add("model_error", "string")
+    reader = model.answering(answer_schema()) if hasattr(model, "answering") else model
 
-    def ask(batches: Iterator, complaint: bool) -> Iterator:
+    def ask(batches: Iterator, attempt: int) -> Iterator:
         for b in batches:
-            send = b["text"].notna() & (b["text"].str.strip() != "")
-            b["reply"] = [model(extraction_messages(t, w if complaint else None)) if s else None for t, w, s in zip(b["text"], b["error"] if complaint else b["text"], send, strict=True)]
-            b["attempts"] = send.astype("int32") * (2 if complaint else 1)
-            yield b[[f.name for f in schema]]
-
-    first = from_reply(pages.mapInPandas(lambda bs: ask(bs, False), schema))
+            send, images = to_send(b)
+            complaints = b["_complaint"] if attempt > 1 else [None] * len(b)
+            got = [answer(reader, extraction_messages(t, w, i)) if s else (None, None) for t, w, i, s in zip(b["text"], complaints, images, send, strict=True)]
+            b["reply"], b["model_error"] = [x[0] for x in got], [x[1] for x in got]
+            b["attempts"] = send.astype("int32") * attempt
+            yield b[schema.names]
+
+    first = stages.keep("first", lambda: from_reply(pages.mapInPandas(lambda bs: ask(bs, 1), schema)))
     counts = S.plausible(F.col("vendor"), F.col("gross_total"))
-    done = first.filter(counts | (F.col("attempts") == 0))
-    again = first.filter(~counts & (F.col("attempts") == 1))
-    again = again.withColumn("error", F.when(F.col("error") == "", "vendor or total is missing").otherwise(F.col("error"))).select(*pages.columns, "error")
-    second = from_reply(again.mapInPandas(lambda bs: ask(bs, True), schema))
-    both = done.unionByName(second)
+    done = counts | (F.col("attempts") == 0) | F.col("model_error").isNotNull()
+    complaint = F.when(F.col("error") == "", "vendor or total is missing").otherwise(F.col("error")).alias("_complaint")
+    again = first.filter(~done).select(*[c for c in pages.columns if c not in (*TEXTS, *AMOUNTS)], *[F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in pages.columns if c in (*TEXTS, *AMOUNTS)], complaint)
+    second = stages.keep("second", lambda: from_reply(again.mapInPandas(lambda bs: ask(bs, 2), schema)))
+    both = first.filter(done).unionByName(second)
     nothing = F.col("attempts") == 0
-    error = F.when(nothing, "nothing to send").when(counts, "").when(F.col("error") != "", F.col("error")).otherwise("the model returned no usable fields")
+    error = F.when(nothing, "nothing to send").when(counts, "").when(F.col("model_error").isNotNull(), F.col("model_error")).when(F.col("error") != "", F.col("error")).otherwise("the model returned no usable fields")
     return both.withColumn("error", error).withColumn("status", F.when(counts, "ok").otherwise("error"))

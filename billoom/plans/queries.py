@@ -547,13 +547,24 @@ def page_limit(spark, sf_dir):
     return files.limited(_text_pages(spark, sf_dir), 3)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE words AS (SELECT doc_id::VARCHAR AS path, string_split(trim(coalesce(text, '')), ' ') AS ws FROM documents WHERE doc_id IS NOT NULL),
+numbered AS (SELECT path, i, {Q.trim("ws[i + 1]")} AS text FROM (SELECT path, ws, unnest(range(len(ws))) AS i FROM words)),
+boxes AS (SELECT path, (i // 120 + 1)::INT AS page, (i * 3 % 10) * 50.0::DOUBLE + CASE WHEN i * 3 % 10 >= 5 THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END AS x0, (i // 10) * 9.0::DOUBLE + (i * 7 % 8) * 0.25::DOUBLE AS y0, 4.0::DOUBLE + (i % 4) * 3.0::DOUBLE AS tall, text FROM numbered WHERE text <> ''),
+mids AS (SELECT path, page, x0, x0 + 48 AS x1, text, (y0 + (y0 + tall)) / 2 AS mid, tall FROM boxes),
+steps AS (SELECT *, CASE WHEN mid - lag(mid) OVER (PARTITION BY path, page ORDER BY mid) > 1 THEN 1 ELSE 0 END AS step FROM mids),
+heights AS (SELECT *, sum(step) OVER (PARTITION BY path, page ORDER BY mid) AS height FROM steps),
+placed AS (SELECT *, row_number() OVER w AS n, lag(x1) OVER w AS right_edge FROM heights WINDOW w AS (PARTITION BY path, page ORDER BY height, x0, x1, text)),
+fold AS (SELECT path, page, n, mid, tall, TRUE AS fresh FROM placed WHERE n = 1
+  UNION ALL SELECT p.path, p.page, p.n, CASE WHEN abs(p.mid - f.mid) > 0.6::DOUBLE * greatest(f.tall, p.tall) THEN p.mid ELSE f.mid END, CASE WHEN abs(p.mid - f.mid) > 0.6::DOUBLE * greatest(f.tall, p.tall) THEN p.tall ELSE greatest(f.tall, p.tall) END, abs(p.mid - f.mid) > 0.6::DOUBLE * greatest(f.tall, p.tall)
+  FROM fold f JOIN placed p ON p.path = f.path AND p.page = f.page AND p.n = f.n + 1)
+SELECT path, page, string_agg(CASE WHEN n = 1 THEN '' WHEN fresh THEN chr(10) WHEN x0 - right_edge > 6 THEN '    ' ELSE ' ' END || text, '' ORDER BY n) AS text FROM placed JOIN fold USING (path, page, n) GROUP BY path, page""")
 def layout_rows(spark, sf_dir):
-    """Words of a document as boxes, ten to a height, a wide gap after every fifth."""
+    """Words of a document as boxes, ten to a height and not in order: heights with broken offsets, sizes that differ, a wide gap after every fifth."""
     d = I.table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
     w = d.select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split(F.trim(F.coalesce("text", F.lit(""))), " ")).alias("i", "text"))
-    x, y = (F.col("i") % 10) * 50.0 + F.when(F.col("i") % 10 >= 5, 20.0).otherwise(0.0), F.floor(F.col("i") / 10) * 14.0
-    boxes = w.select("path", (F.floor(F.col("i") / 500) + 1).cast("int").alias("page"), x.alias("x0"), y.alias("y0"), (x + 48).alias("x1"), (y + 10).alias("y1"), "text")
+    at = F.col("i") * 3 % 10
+    x, y, tall = at * 50.0 + F.when(at >= 5, 20.0).otherwise(0.0), F.floor(F.col("i") / 10) * 9.0 + (F.col("i") * 7 % 8) * 0.25, 4.0 + (F.col("i") % 4) * 3.0
+    boxes = w.select("path", (F.floor(F.col("i") / 120) + 1).cast("int").alias("page"), x.alias("x0"), y.alias("y0"), (x + 48).alias("x1"), (y + tall).alias("y1"), "text")
     return files.layout_rows(boxes)
 
 

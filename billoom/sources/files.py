@@ -5,9 +5,11 @@ What decodes PDF pages and images is not part of this package (no such library c
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,12 +40,99 @@ def resolved(path: str) -> str:
     return os.path.realpath(path) if path and os.path.exists(path) else os.path.abspath(path) if path else ""
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, mtime_ms, kind, error, sha256) of the files under path in order of name; what can't be read by suffix is an error, not an exception. Contents are hashed in the workers, and read only if the hash is asked for."""
-    files = spark.read.format("binaryFile").load(path)
-    name = F.regexp_replace("path", "^file:", "")
-    error = F.when(route(name) == "unsupported", F.concat(F.lit("unsupported file type '"), F.when(suffix(name) == "", "(none)").otherwise(suffix(name)), F.lit("'"))).otherwise("")
-    return files.select(name.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), route(name).alias("kind"), error.alias("error"), content_hash(F.col("content")).alias("sha256")).orderBy("path")
+def resolved_paths(path: Column) -> Column:
+    """resolved() of a column, in the workers; null stays null. For local paths and those of a mounted file system."""
+    return F.pandas_udf(lambda s: s.map(resolved, na_action="ignore"), "string")(path)
+
+
+#: Bytes of a file that a worker holds while it hashes.
+PIECE = 1 << 20
+_STATE = "path string, size long, mtime_ms long, error string, sha256 string"
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:(//)?(?=/)", "")
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+
+
+def _state(path: str, hashed: bool) -> tuple:
+    """(path, size, mtime_ms, error, sha256) of one file, read piece by piece; whatever is wrong is told, not raised."""
+    from pyarrow import fs
+
+    try:
+        store, inner = _store(path)
+        info = store.get_file_info(inner)
+        if info.type == fs.FileType.NotFound:
+            return path, None, None, "file does not exist", ""
+        if info.type != fs.FileType.File:
+            return path, None, None, "not a regular file", ""
+        mtime = info.mtime_ns // 1_000_000 if info.mtime_ns is not None else None
+        digest = hashlib.sha256()
+        try:
+            with store.open_input_stream(inner) as stream:
+                while hashed and (piece := stream.read(PIECE)):
+                    digest.update(piece)
+        except OSError as e:
+            return path, info.size, mtime, f"file is not readable: {e.strerror or e}", ""
+        return path, info.size, mtime, "", digest.hexdigest() if hashed else ""
+    except Exception as e:  # noqa: BLE001 such as a path that is no address
+        return path, None, None, str(e), ""
+
+
+def inspected(paths: DataFrame, hashed: bool = True) -> DataFrame:
+    """(path, size, mtime_ms, kind, error, sha256) of paths(path): each is looked at and hashed in a worker, of any size, and no path ends the job.
+
+    Errors: missing, not a regular file (a folder named x.pdf), unreadable, of a type that isn't read. sha256 is '' where there is an error of the
+    first three kinds or hashed is off. Null paths are missing; repeated ones are looked at each.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [_state(p, hashed) if p else (p, None, None, "file does not exist", "") for p in b["path"]]
+            yield pd.DataFrame(rows, columns=["path", "size", "mtime_ms", "error", "sha256"]).astype({"size": "Int64", "mtime_ms": "Int64"})
+
+    # One file may take long, so they are dealt out singly.
+    looked = paths.select("path").repartition(paths.sparkSession.sparkContext.defaultParallelism).mapInPandas(look, _STATE)
+    name = _plain(F.col("path"))
+    unread = F.concat(F.lit("unsupported file type '"), F.when(suffix(name) == "", "(none)").otherwise(suffix(name)), F.lit("'"))
+    error = F.when(F.col("error") != "", F.col("error")).when(route(name) == "unsupported", unread).otherwise("")
+    return looked.select(name.alias("path"), "size", "mtime_ms", route(name).alias("kind"), error.alias("error"), "sha256")
+
+
+def entries(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of all that lies in a folder and those below it, folders left out; of a single file its path. Listed in a worker; what vanishes meanwhile doesn't matter."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for b in batches:
+            for top in b["path"]:
+                store, inner = _store(top)
+                waiting = [inner]
+                if store.get_file_info(inner).type != fs.FileType.Directory:
+                    yield pd.DataFrame({"path": [top]})
+                    continue
+                prefix = top[: len(top.rstrip("/")) - len(inner.rstrip("/"))] if top.rstrip("/").endswith(inner.rstrip("/")) else ""
+                while waiting and isinstance(store, fs.LocalFileSystem):  # which would leave out links to nothing
+                    inside = list(os.scandir(waiting.pop()))
+                    waiting += [i.path for i in inside if i.is_dir(follow_symlinks=False)]
+                    yield pd.DataFrame({"path": [prefix + i.path for i in inside if not i.is_dir(follow_symlinks=False)]}, dtype=object)
+                while waiting:
+                    inside = store.get_file_info(fs.FileSelector(waiting.pop(), allow_not_found=True))
+                    waiting += [i.path for i in inside if i.type == fs.FileType.Directory]
+                    yield pd.DataFrame({"path": [prefix + i.path for i in inside if i.type != fs.FileType.Directory]}, dtype=object)
+
+    return spark.createDataFrame([(folder,)], "path string").mapInPandas(walk, "path string")
+
+
+def scan(spark: SparkSession, path: str, hashed: bool = True) -> DataFrame:
+    """inspected() of a folder's files, or of a single file, in order of name."""
+    return inspected(entries(spark, path), hashed).orderBy("path")
 
 
 def content_hash(content: Column) -> Column:
@@ -51,21 +140,56 @@ def content_hash(content: Column) -> Column:
     return F.coalesce(F.sha2(content, 256), F.lit(""))
 
 
-def pages(files: DataFrame, reader: Callable[[bytes], list[str]], limit: int = 0) -> DataFrame:
-    """(path, page, page_count, text) of files(path, content): the first ``limit`` pages (0: all); a file that the reader refuses has one row with its error."""
+@dataclass
+class Page:
+    """What a reader gives for a page: its text, its image with width and height, whether the text is the file's own, notes."""
+
+    text: str | None = None
+    jpeg: bytes | None = None
+    width: int = 0
+    height: int = 0
+    from_text: bool = False
+    notes: tuple[str, ...] = ()
+
+
+PAGES = "path string, page int, page_count int, text string, error string, failed boolean, jpeg binary, width int, height int, from_text boolean, notes array<string>"
+
+
+def read_pages(files: DataFrame, reader: Callable[[bytes], list[str | Page | Exception]], limit: int = 0) -> DataFrame:
+    """PAGES of files(path, content, or path alone: then workers read the files): the first ``limit`` pages (0: all).
+
+    A page that the reader gives as an exception keeps its number, with the error and no text. A file that the reader refuses, or that can't be
+    read, is one failed row with its error; a file without pages too.
+    """
+    columns = [c.split()[0] for c in PAGES.split(", ")]
+
+    def one(path: str, content: bytes | None) -> Iterator[tuple]:
+        try:
+            if content is None:
+                store, inner = _store(path)
+                with store.open_input_stream(inner) as stream:
+                    content = stream.read()
+            got = reader(content)
+            if not got:
+                raise ValueError("no pages")
+        except Exception as e:  # noqa: BLE001 a bad file must not end the job; the row tells
+            yield path, 1, 1, None, str(e), True, None, None, None, False, []
+            return
+        for k, x in enumerate(got[: limit or None], 1):
+            p = x if isinstance(x, Page) else Page(text=None if isinstance(x, Exception) else x, from_text=isinstance(x, str))
+            yield path, k, len(got), p.text, str(x) if isinstance(x, Exception) else "", False, p.jpeg, p.width or None, p.height or None, p.from_text, list(p.notes)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    texts = reader(content)
-                    rows += [(path, k, len(texts), t, "") for k, t in enumerate(texts[: limit or None], 1)]
-                except Exception as e:  # noqa: BLE001 a bad file must not end the job; the row tells
-                    rows.append((path, 1, 1, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "page", "page_count", "text", "error"])
+            for path, content in zip(b["path"], b["content"] if "content" in b else [None] * len(b), strict=True):
+                yield pd.DataFrame(one(path, content), columns=columns).astype({"width": "Int32", "height": "Int32"})
+
+    return files.select("path", *(["content"] if "content" in files.columns else [])).mapInPandas(read, PAGES)
 
-    return files.select("path", "content").mapInPandas(read, "path string, page int, page_count int, text string, error string")
+
+def pages(files: DataFrame, reader: Callable[[bytes], list[str | Page | Exception]], limit: int = 0) -> DataFrame:
+    """(path, page, page_count, text, error) of read_pages()."""
+    return read_pages(files, reader, limit).select("path", "page", "page_count", "text", "error")
 
 
 def limited(pages_: DataFrame, limit: int) -> DataFrame:
@@ -93,24 +217,34 @@ def extraction_report(documents: DataFrame) -> DataFrame:
     return documents.select(F.to_json(F.struct(*fields)).alias("value"))
 
 
-def layout_rows(boxes: DataFrame) -> DataFrame:
+def layout_rows(boxes: DataFrame, near: float = 1.0) -> DataFrame:
     """(path, page, text): boxes of text (path, page, x0, y0, x1, y1, text) as lines: by height, then from the left; a wide gap is four spaces.
 
-    Heights within a point are one height, by steps of a point. Whether a box opens a new line depends on the line so far, so each page's boxes
-    come in order and are folded one after the other; pages are dealt to tasks, which hold a batch of boxes and a page's lines. Boxes without text don't count.
+    Boxes stand at one height if their centres are within ``near`` points of each other. As that alone is no order (a near b, b near c, a
+    not near c), heights are told apart where the sorted centres of a page step by more than ``near``: all that a chain of smaller steps
+    joins is one height, read from the left (ties by right edge, then text).
+
+    Whether a box opens a new line depends on the line so far, so each page's boxes come in order and are folded one after the other;
+    pages are dealt to tasks, which hold a batch of boxes and a page's lines. Boxes without text, or with an edge that is null or NaN, don't count.
     """
     mid = (F.col("y0") + F.col("y1")) / 2
-    rows = boxes.filter(trim(text_of(F.col("text"))) != "").select("path", "page", "x0", "x1", "text", mid.alias("mid"), F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")).alias("tall"), F.round(mid).alias("step"))
+    edges = F.col("x0") + F.col("x1") + F.col("y0") + F.col("y1")
+    rows = boxes.filter((trim(text_of(F.col("text"))) != "") & edges.isNotNull() & ~F.isnan(edges))
+    rows = rows.select("path", "page", "x0", "x1", trim(F.col("text")).alias("text"), mid.alias("mid"), F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")).alias("tall")).repartition("path", "page")
+    down = Window.partitionBy("path", "page").orderBy("mid")
+    step = F.when(F.col("mid") - F.lag("mid").over(down) > near, 1).otherwise(0)
+    rows = rows.withColumn("step", step).withColumn("height", F.sum("step").over(down))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, lines, mid, tall, right = None, [], 0.0, 1.0, 0.0
         for b in batches:
             out = []
             for r in b.itertuples():
-                if (r.path, r.page) != now:
+                key = (r.path, None if pd.isna(r.page) else int(r.page))
+                if key != now:
                     if now:
                         out.append((*now, "\n".join(lines).strip()))
-                    now, lines = (r.path, r.page), []
+                    now, lines = key, []
                 if not lines or abs(r.mid - mid) > 0.6 * max(tall, r.tall):
                     lines.append(r.text)
                     mid, tall = r.mid, r.tall
@@ -118,11 +252,11 @@ def layout_rows(boxes: DataFrame) -> DataFrame:
                     lines[-1] += ("    " if r.x0 - right > 6 else " ") + r.text
                     tall = max(tall, r.tall)
                 right = r.x1
-            yield pd.DataFrame(out, columns=["path", "page", "text"])
+            yield pd.DataFrame(out, columns=["path", "page", "text"]).astype({"page": "Int32"})
         if now:
-            yield pd.DataFrame([(*now, "\n".join(lines).strip())], columns=["path", "page", "text"])
+            yield pd.DataFrame([(*now, "\n".join(lines).strip())], columns=["path", "page", "text"]).astype({"page": "Int32"})
 
-    return rows.repartition("path", "page").sortWithinPartitions("path", "page", "step", "x0", "x1", "text").mapInPandas(fold, "path string, page int, text string")
+    return rows.sortWithinPartitions("path", "page", "height", "x0", "x1", "text").mapInPandas(fold, "path string, page int, text string")
 
 
 def orientation(data: bytes | None) -> int:
