@@ -67,6 +67,19 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def own_names(taken: list[str], *names: str) -> list[str]:
+    """names, lengthened until none is among ``taken`` in any case: columns of an operator's own beside a caller's."""
+    there, more = {c.lower() for c in taken}, ""
+    while any((n + more).lower() in there for n in names):
+        more += "_"
+    return [n + more for n in names]
+
+
+def boxed(rows: DataFrame):
+    """All columns of rows as one struct, so that none can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def open_store(uri: str):
     """(file system, path) of a URI in the shared folder, for binary files that workers write and read."""
     from pyarrow import fs

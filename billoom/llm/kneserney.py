@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, open_store, write_whole
+from .common import Scratch, open_store, own_names, write_whole
 
 ORDER = 3
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -538,6 +538,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in keep if c not in added]
+    (held_text,) = own_names(keep, "_text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -552,7 +553,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     held.clear()  # noqa: B023
 
             size = 0
-            for text in b.column("_text").to_pylist():
+            for text in b.column(held_text).to_pylist():
                 held.append(tokens(text))
                 size += len(held[-1])
                 if size >= SCORE_TOKENS:
@@ -563,8 +564,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([m.raw] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(s, pa.float64())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *columns], [*keep, *added])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = StructType([f for f in rows.schema.fields if f.name != "_text"])
+    rows = docs.select(*keep, F.col("text").cast("string").alias(held_text))
+    schema = StructType([f for f in rows.schema.fields if f.name != held_text])
     for c in added:
         schema = schema.add(c, "double" if "score" in c else "long")
     return rows.mapInArrow(scan, schema)

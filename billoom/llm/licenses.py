@@ -28,6 +28,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, boxed
+
 # Notices by SPDX id.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -156,8 +158,6 @@ def scan_texts(files: DataFrame, templates: dict[str, str] | None = None, least:
     has_mark = lambda u: F.exists(u["terms"], lambda w: w.isin(kept_marks))
     near = F.transform(F.array(*cuts), lambda c: F.filter(F.filter(termed(c), has_mark), lambda u: may_be_near(u["terms"], idf, most, least)))
     units = files.filter(F.exists(terms(F.col("text")), lambda w: w.isin(kept_marks))).select("path", F.monotonically_increasing_id().alias("row"), F.posexplode(near).alias("kind", "units"))
-    from .common import Scratch
-
     units = Scratch(spark, "licenses").keep(units.select("path", "row", "kind", F.inline("units")), "texts")
     key = ["path", "row", "kind", "uid"]
     rows = units.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
@@ -176,8 +176,6 @@ def scan_notices(files: DataFrame, templates: dict[str, str] | None = None, leas
     spark = files.sparkSession
     marked = F.regexp_replace("text", "([.;!?])[ \\t\\r\\f]+", "$1\n")
     units = files.filter(F.lower("text").rlike(SPEAKS)).select("path", F.explode(F.split(marked, "\n")).alias("unit")).filter(F.lower("unit").rlike(SPEAKS)).distinct()
-    from .common import Scratch
-
     units = Scratch(spark, "licenses").keep(units.select("path", F.xxhash64("unit").alias("uid"), terms(F.col("unit")).alias("terms")), "units")
     n = units.count()
     rows = units.select("path", "uid", F.explode("terms").alias("term")).groupBy("path", "uid", "term").agg(F.count("*").alias("tf"))
@@ -197,11 +195,11 @@ def scan_notices(files: DataFrame, templates: dict[str, str] | None = None, leas
 
 
 def inherit(files: DataFrame, found: DataFrame) -> DataFrame:
-    """files(path, ...) with license, score and via (own, inherited, none) and from_dir added; clashing columns are replaced.
+    """files(path, ...) with license, score and via (own, inherited, none) and from_dir added; columns of these names are replaced, all others stay whatever their names.
 
     A null path has no licence. The root '' is above every directory. A directory with several licence files takes the first id among theirs.
     """
-    files = files.drop("license", "score", "via", "from_dir", "_dir")
+    files = files.drop("license", "score", "via", "from_dir")
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     name = F.regexp_extract("path", "([^/]*)$", 1)
     given = found.filter(name.rlike(LICENSE_NAME)).groupBy(parent.alias("above")).agg(F.min("license").alias("given"))
@@ -209,7 +207,9 @@ def inherit(files: DataFrame, found: DataFrame) -> DataFrame:
     parts = F.split("_dir", "/")
     above = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))).alias("a")).select("_dir", "a.*")
     nearest = above.join(given, "above").groupBy("_dir").agg(F.max_by(F.struct("above", "given"), "depth").alias("near"))
-    out = files.withColumn("_dir", parent).join(found, "path", "left").join(nearest, "_dir", "left")
+    rows = files.select(boxed(files).alias("file"), "path", parent.alias("_dir"))
+    out = rows.join(found.select("path", "license", "score"), "path", "left").join(nearest, "_dir", "left")
     own = F.col("license").isNotNull()
     via = F.when(own, "own").when(F.col("near").isNotNull(), "inherited").otherwise("none")
-    return out.withColumn("via", via).withColumn("from_dir", F.when(F.col("via") == "inherited", F.col("near.above"))).withColumn("license", F.coalesce("license", F.col("near.given"))).drop("near", "_dir")
+    out = out.withColumn("via", via).withColumn("from_dir", F.when(F.col("via") == "inherited", F.col("near.above"))).withColumn("license", F.coalesce("license", F.col("near.given")))
+    return out.select("file.*", "license", "score", "via", "from_dir")

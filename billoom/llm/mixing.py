@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, default_partitions
+from .common import Scratch, boxed, default_partitions
 
 #: A mean above this is split in equal parts, each with a draw of its own: the sum has the same distribution and exp(-mean) cannot vanish.
 PART = 128.0
@@ -24,7 +24,6 @@ CUTS = 64
 HEX_DIGITS = 13
 #: Bytes of text in a partition of the output.
 PARTITION_BYTES = 128 << 20
-_OWN = ("_cut", "_source", "_rate", "_cdf", "_parts", "_weight", "_size")
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -69,11 +68,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """Every row of docs(doc_id, text, source, ...) as often as drawn, globally shuffled.
 
     Adds copy int (from 1), n_copies int and shuffle_key string, by which the output is range-partitioned and
-    sorted; input columns of these names are replaced. A null source is the source ''; a null text has size 0;
+    sorted; input columns of these names are replaced, all others stay whatever their names. A null source is the source ''; a null text has size 0;
     a null doc_id draws like the id ''; repeated rows draw alike; an empty table gives an empty result.
     """
-    for c in ("copy", "n_copies", "shuffle_key", *_OWN):
-        docs = docs.drop(c)
+    docs = docs.drop("copy", "n_copies", "shuffle_key")
     scratch = Scratch(docs.sparkSession, "mixing")
     sizes = scratch.keep(source_sizes(docs), "sizes")
     size = sizes.agg(F.sum("_size")).first()[0] or 0
@@ -83,20 +81,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     table = scratch.keep(table, "rates")
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     side = F.broadcast(table) if few else table.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit(""))
     draw = lambda k: F.size(F.filter("_cdf", lambda c: c <= uniform(str(seed), key, k.cast("string"))))
-    drawn = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    drawn = docs.select(boxed(docs).alias("_doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"))
     if few:
         drawn = drawn.join(side, "_source")
     else:  # a large source goes to many tasks
-        drawn = drawn.withColumn("_cut", F.pmod(F.xxhash64("doc_id", "text"), F.lit(CUTS)).cast("int")).join(side, ["_source", "_cut"])
+        drawn = drawn.withColumn("_cut", F.pmod(F.xxhash64("_doc.doc_id", "_doc.text"), F.lit(CUTS)).cast("int")).join(side, ["_source", "_cut"])
     one = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     more = F.aggregate(F.sequence(F.lit(2), F.col("_parts")), F.lit(0), lambda s, k: s + draw(k))
     drawn = drawn.withColumn("_u", uniform(str(seed), key, "1")).withColumn("n_copies", F.when(F.col("_parts") == 1, one).otherwise(one + more))
-    copies = drawn.filter("n_copies > 0").drop(*_OWN, "_u").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    copies = drawn.filter("n_copies > 0").select("_doc", "n_copies").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), key, F.col("copy").cast("string"))))
     # The key is uniform, so its ranges are known without sampling.
     n = max(default_partitions(docs.sparkSession), math.ceil(budget * size / PARTITION_BYTES))
     place = (F.conv(F.substring("shuffle_key", 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(float(16**HEX_DIGITS)) * F.lit(n)).cast("int")
-    return keyed.repartitionById(n, place).sortWithinPartitions("shuffle_key", "doc_id")
+    return keyed.repartitionById(n, place).sortWithinPartitions("shuffle_key", "_doc.doc_id").select("_doc.*", "copy", "n_copies", "shuffle_key")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, default_partitions, few_rows
+from .common import Scratch, default_partitions, few_rows, own_names
 from .wordcodes import coder, in_blocks
 
 CAPACITY = 4096
@@ -252,32 +252,32 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, fits: tuple[tuple[int, int], ...] = FITS) -> DataFrame:
-    """All rows of parts(doc_id, piece, length, ...) with sequence_id long and offset long added (replaced if there).
+def pack(parts: DataFrame, capacity: int = CAPACITY, fits: tuple[tuple[int, int], ...] = FITS, tie: str | None = None) -> DataFrame:
+    """All rows of parts(doc_id, piece, length, ...) with sequence_id long and offset long added (replaced if there); other columns stay whatever their names.
 
-    parts must be stable when read twice (a table). Lengths run from 1 to capacity. An empty table gives an empty result.
+    parts must be stable when read twice (a table). Lengths run from 1 to capacity. tie: a column that numbers the rows, which deals rows of one
+    id (or without one) to all tasks. Rows that repeat an id and piece are pieces of their own. An empty table gives an empty result.
     """
     parts = parts.drop("sequence_id", "offset")
     buckets = 4 * default_partitions(parts.sparkSession)
-    # A number of the row, where the table has one, deals rows of one id (or without one) to all buckets.
-    tie = ["_row"] if "_row" in parts.columns else []
-    parts = parts.withColumn("_bucket", F.pmod(F.xxhash64(*(tie or ["doc_id", "piece"])), F.lit(buckets)))
-    counts = Scratch(parts.sparkSession, "packing").keep(parts.groupBy("_bucket", "length").agg(F.count("*").alias("_n")), "counts")
+    bucket, rank, first_rank, many = own_names(parts.columns, "_bucket", "_rank", "_first", "_n")
+    keep, ties = parts.columns, [tie] if tie else []
+    parts = parts.withColumn(bucket, F.pmod(F.xxhash64(*(ties or ["doc_id", "piece"])), F.lit(buckets)))
+    counts = Scratch(parts.sparkSession, "packing").keep(parts.groupBy(bucket, "length").agg(F.count("*").alias(many)), "counts")
     hist = np.zeros(capacity + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect():  # at most capacity rows
+    for r in counts.groupBy("length").agg(F.sum(many).alias("n")).collect():  # at most capacity rows
         if not 1 <= r["length"] <= capacity:
             raise ValueError(f"a piece of {r['length']} tokens; the capacity is {capacity}")
         hist[r["length"]] = r["n"]
     table = slots(plan(hist, capacity, fits))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("_bucket", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece", *tie)) - 1
-    ranked = parts.withColumn("_rank", within).join(first, ["_bucket", "length"]).withColumn("_rank", F.col("_rank") + F.col("_first")).select(*parts.columns, "_rank").drop("_bucket")
-    keep = [c for c in ranked.columns if c != "_rank"]
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(bucket, "length", F.coalesce(F.sum(many).over(before), F.lit(0)).alias(first_rank))
+    within = F.row_number().over(Window.partitionBy(bucket, "length").orderBy("doc_id", "piece", *ties)) - 1
+    ranked = parts.withColumn(rank, within).join(first, [bucket, "length"]).withColumn(rank, F.col(rank) + F.col(first_rank)).select(*keep, rank)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            where = place(table, b.column("length").to_numpy(), b.column("_rank").to_numpy()) if b.num_rows else (np.empty(0, np.int64),) * 2
+            where = place(table, b.column("length").to_numpy(), b.column(rank).to_numpy()) if b.num_rows else (np.empty(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(x) for x in where], [*keep, "sequence_id", "offset"])
 
     return ranked.mapInArrow(scan, StructType(ranked.select(*keep).schema.fields[:]).add("sequence_id", "long").add("offset", "long"))
@@ -286,7 +286,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, fits: tuple[tuple[int, int]
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """pieces() of docs, written once, and their places."""
     rows = pieces(docs, vocabulary, capacity, with_ids=with_ids).withColumn("_row", F.monotonically_increasing_id())
-    return pack(Scratch(docs.sparkSession, "pieces").keep(rows, "pieces"), capacity).drop("_row")
+    return pack(Scratch(docs.sparkSession, "pieces").keep(rows, "pieces"), capacity, tie="_row").drop("_row")
 
 
 def lower_bound(lengths: list[int], capacity: int = CAPACITY) -> int:

@@ -130,7 +130,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PI
 
     A query's own id is no candidate. Vectors null, empty, zero, or with null or non-finite components take no part, nor
     do those of another dimension than most, nor null ids. Equal distances go to the smaller id. Rows that repeat an
-    id and vector count once. Fewer candidates than k: all of them; none, or an empty table: no row. Other columns are ignored.
+    id and vector count once; an id on several vectors is a candidate with each of them, so it can come more than once in an answer, and a query
+    id on several vectors has one answer, the k nearest to any of them. Fewer candidates than k: all of them; none, or an empty table: no row. Other columns are ignored.
     """
     spark, scratch, take = vectors.sparkSession, Scratch(vectors.sparkSession, "permutation"), k + 1
     entries = scratch.keep(distinct_vectors(usable(vectors), take), "vectors")

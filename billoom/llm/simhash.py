@@ -21,9 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, MapType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, MapType, StructField, StructType, VariantType
 
-from .common import Scratch
+from .common import Scratch, boxed
 
 SEED = 42
 MAX_BITS = 3
@@ -207,20 +207,26 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, hot_bucket: int
     return _grouped(docs, words, hot_bucket).select("doc_id", "fp", "component_id")
 
 
+def _has_map(kind: DataType) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
+    return isinstance(kind, (MapType, VariantType)) or any(map(_has_map, inner))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of each component one row of docs, all columns: that with the smallest doc_id (null after all), then the least hash of the row.
 
-    So rows that repeat an id with different texts each count for themselves. Rows equal in all columns are one.
+    So rows that repeat an id with different texts each count for themselves. Rows equal in all columns that can be compared (not
+    maps and variants, nor what holds them) are one. Columns may have any names.
     """
-    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
-    marked = docs.withColumn("_row", row)
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not _has_map(f.dataType)])
+    marked = docs.select(boxed(docs).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("_row"))
     found = _grouped(marked, SHINGLE_WORDS, HOT_BUCKET, ("_row",)).groupBy("root", "doc_id", "_row").agg(F.count("*").alias("n"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "n")).alias("s"))
     stays = first.select(F.col("s.doc_id").alias("_id"), F.col("s._row").alias("_stays"), F.col("s.n").alias("_times"))
     stays = Scratch(docs.sparkSession, "simhash-stays").keep(stays, "stays")
     # Survivors grow with the input: a merge join at every size, no broadcast that only holds on small inputs.
-    kept = marked.join(stays.hint("merge"), F.col("_row") == F.col("_stays")).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    once = kept.filter("_times = 1").select(*docs.columns)
+    kept = marked.select("_doc", "doc_id", "_row").join(stays.hint("merge"), F.col("_row") == F.col("_stays")).filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    once = kept.filter("_times = 1").select("_doc.*")
     if stays.filter("_times > 1").limit(1).count():
-        once = once.unionByName(kept.filter("_times > 1").dropDuplicates(["_row", "_id"]).select(*docs.columns))
+        once = once.unionByName(kept.filter("_times > 1").dropDuplicates(["_row", "_id"]).select("_doc.*"))
     return once

@@ -50,7 +50,7 @@ def test_against_plain(spark, monkeypatch, weights, budget, part):
     got = mixing.mix(table(spark, ROWS).repartition(5), weights=weights, budget=budget, seed=3)
     rows = [(r["shuffle_key"], r["doc_id"], r["copy"], r["n_copies"]) for r in got.collect()]
     assert rows == plain(ROWS, mean_of, 3)
-    assert sorted(got.columns) == sorted(["doc_id", "text", "source", "copy", "n_copies", "shuffle_key"])
+    assert sorted(got.columns) == sorted(["doc_id", "text", "source", "_rate", "copy", "n_copies", "shuffle_key"])
 
 
 def test_many_sources_are_cut(spark, monkeypatch):
