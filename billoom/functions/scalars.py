@@ -135,10 +135,23 @@ def fold_vendor(text: Column) -> Column:
     return F.lower(F.array_join(F.regexp_extract_all(text_of(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "))
 
 
-def vendor_matches(expected: Column, actual: Column) -> Column:
-    """Whether a vendor is the expected one: equal once folded, or /pattern/ found in the folded name; '*' takes any."""
-    pattern = F.regexp_extract(expected, "^/(.*)/$", 1)
-    found = F.when(pattern != "", F.rlike(fold_vendor(actual), F.concat(F.lit("(?i)"), pattern)))
+def vendor_pattern(expected: Column) -> Column:
+    """The pattern of an expectation /pattern/; '' for others."""
+    return F.regexp_extract(expected, "^/(.*)/$", 1)
+
+
+def compiles(pattern: Column) -> Column:
+    """Whether a pattern is one: it is compiled once, and what that raises becomes false."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+def vendor_matches(expected: Column, actual: Column, valid: Column | None = None) -> Column:
+    """Whether a vendor is the expected one: equal once folded, or /pattern/ found in the folded name; '*' takes any.
+
+    A pattern that is none matches nothing. valid: whether it is one, where that is known (see lists.compared), else it is tried row by row.
+    """
+    pattern = vendor_pattern(expected)
+    found = F.when(compiles(pattern) if valid is None else valid, F.rlike(fold_vendor(actual), F.concat(F.lit("(?i)"), pattern))).otherwise(False)
     return F.when(expected == "*", True).when(pattern != "", found).otherwise(fold_vendor(expected) == fold_vendor(actual))
 
 

@@ -17,10 +17,10 @@ def replace_merge(shown: DataFrame, fresh: DataFrame, limit: int = 0) -> DataFra
     """fresh's rows before those of shown, without shown's rows of the file that fresh is about; the first ``limit`` of them (0: all).
 
     Both have pos (place in the list); the result's pos is the rank in (fresh, shown) order as (part, pos) pairs tell it. A batch whose key is
-    empty replaces nothing; an empty batch changes nothing. fresh is one reply and small.
+    empty replaces nothing; an empty batch changes nothing.
     """
     keys = fresh.select(key_of().alias("_key")).filter("_key <> ''").distinct()
-    kept = shown.withColumn("_key", key_of()).join(F.broadcast(keys), "_key", "left_anti").drop("_key")
+    kept = shown.withColumn("_key", key_of()).join(keys, "_key", "left_anti").drop("_key")
     merged = fresh.withColumn("part", F.lit(0)).unionByName(kept.withColumn("part", F.lit(1)))
     return merged.orderBy("part", "pos").limit(limit) if limit > 0 else merged
 
@@ -51,17 +51,31 @@ def handled_anti(seen: DataFrame, handled: DataFrame) -> DataFrame:
     return seen.join(handled.select("path", "size", "mtime_ms").distinct(), ["path", "size", "mtime_ms"], "left_anti").select(*seen.columns)
 
 
+def patterns(expected: DataFrame) -> DataFrame:
+    """(vendor, valid): each distinct /pattern/ among the expectations, compiled once; those that are none don't raise."""
+    distinct = expected.select("vendor").filter(S.vendor_pattern(F.col("vendor")) != "").distinct()
+    return distinct.withColumn("valid", S.compiles(S.vendor_pattern(F.col("vendor"))))
+
+
+def pattern_findings(expected: DataFrame) -> DataFrame:
+    """(document, bill, finding) of the expectations whose pattern is none: faults of the list itself, apart from what the bills say."""
+    bad = patterns(expected).filter(~F.col("valid")).select("vendor")
+    return expected.join(bad, "vendor").select("document", "bill", F.concat(F.lit("invalid pattern "), "vendor").alias("finding"))
+
+
 def compared(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """expected(document, bill, vendor, date, currency, gross_total as text) with a verdict for each field against actual's.
 
     A null expectation must be empty, '*' is not checked, totals differ by less than half a cent; a page that is not there fails all.
+    A vendor's /pattern/ that is none fails its own row's vendor alone (pattern_findings() names it).
     """
+    expected = expected.drop("_valid").join(patterns(expected).withColumnRenamed("valid", "_valid"), "vendor", "left")
     a = actual.select("document", "bill", *[F.col(c).alias(f"_{c}") for c in ("vendor", "date", "currency", "gross_total")], F.lit(True).alias("_there"))
     j = expected.join(a, ["document", "bill"], "left")
     there = F.coalesce(F.col("_there"), F.lit(False))
     same = lambda c, equal: there & F.coalesce(F.when(F.col(c) == "*", True).when(F.col(c).isNull(), S.text_of(F.col(f"_{c}").cast("string")) == "").otherwise(equal), F.lit(False))
     near = F.abs(F.col("gross_total").try_cast("double") - F.col("_gross_total")) < 0.005
-    j = j.withColumn("vendor_ok", same("vendor", S.vendor_matches(F.col("vendor"), S.text_of(F.col("_vendor"))))).withColumn("date_ok", same("date", F.col("date") == F.col("_date")))
+    j = j.withColumn("vendor_ok", same("vendor", S.vendor_matches(F.col("vendor"), S.text_of(F.col("_vendor")), F.coalesce("_valid", F.lit(False))))).withColumn("date_ok", same("date", F.col("date") == F.col("_date")))
     j = j.withColumn("currency_ok", same("currency", F.col("currency") == F.col("_currency"))).withColumn("total_ok", same("gross_total", near))
     return j.select("document", "bill", there.alias("found"), "vendor_ok", "date_ok", "currency_ok", "total_ok")
 

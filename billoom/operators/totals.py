@@ -100,7 +100,7 @@ def archivable(bills: DataFrame) -> DataFrame:
     return bills.groupBy("path").agg((F.bool_and(is_ok()) & (F.count("*") > 0)).alias("archive"))
 
 
-def _range_of(value: Column, cuts: list) -> Column:
+def range_of(value: Column, cuts: list) -> Column:
     """How many of the sorted cuts lie below a value: among every k-th of them first, then among the k that follow."""
     if not cuts:
         return F.lit(0)
@@ -125,7 +125,7 @@ def runs(rows: DataFrame, key: str, pos: str, partition: str | None = None, part
         return rows.withColumn("_new", new).withColumn("run_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.select(F.percentile_approx(pos, [k / n for k in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
-    ranged = rows.withColumn("_part", _range_of(F.col(pos), sorted(set(cuts or []))))
+    ranged = rows.withColumn("_part", range_of(F.col(pos), sorted(set(cuts or []))))
     w = Window.partitionBy("_part").orderBy(pos)
     new = F.when(F.row_number().over(w) == 1, 0).when(key_of.eqNullSafe(F.lag(key_of).over(w)), 0).otherwise(1)
     local = ranged.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

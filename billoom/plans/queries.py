@@ -480,6 +480,20 @@ def expectation(spark, sf_dir):
     return lists.compared(expected, actual)
 
 
+_PATTERNS = ["/^b.cker/", "/[/", "/(a/", "/*x/", "bäcker meier gmbh", "/a{2,1}/", "/meier|huber/", "[", "//", None]
+
+
+@query(f"""WITH e AS (SELECT o_orderkey, {Q.choice(_PATTERNS, 'o_orderkey')} AS vendor FROM orders)
+SELECT o_orderkey AS document, coalesce(vendor IN ('/^b.cker/', '/meier|huber/', 'bäcker meier gmbh'), FALSE) AS vendor_ok, CASE WHEN vendor IN ('/[/', '/(a/', '/*x/', '/a{{2,1}}/') THEN 'invalid pattern ' || vendor END AS finding FROM e""")
+def bad_patterns(spark, sf_dir):
+    """Expectations among which some patterns are none: findings of their own rows."""
+    k = F.col("o_orderkey")
+    o = I.table(spark, sf_dir, "orders").select(k.alias("document"), F.lit(1).alias("bill"))
+    actual = o.select("document", "bill", F.lit("Bäcker-Meier GmbH").alias("vendor"), F.lit("").alias("date"), F.lit("").alias("currency"), F.lit(1.0).alias("gross_total"))
+    expected = o.select("document", "bill", I.choice(_PATTERNS, F.col("document")).alias("vendor"), *[F.lit("*").alias(c) for c in ("date", "currency", "gross_total")])
+    return lists.compared(expected, actual).select("document", "bill", "vendor_ok").join(lists.pattern_findings(expected), ["document", "bill"], "left").select("document", "vendor_ok", "finding")
+
+
 # Lines of JSON
 
 

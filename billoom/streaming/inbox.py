@@ -23,9 +23,11 @@ OUT = "path string, tick long, size long, mtime_ms long"
 
 
 def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """rows, which differ in ``by``, numbered from 1 in its order: by ranges of it, each numbered in a task, after the counts of the ranges before."""
+    """rows, which differ in the number ``by``, numbered from 1 in its order: by ranges of it, each numbered in a task, after the counts of the ranges before."""
     n = rows.sparkSession.sparkContext.defaultParallelism
-    parts = rows.repartitionByRange(n, by).withColumn("_part", F.spark_partition_id())
+    # Cuts are fixed once, so that every reading of rows finds the same ranges.
+    cuts = rows.select(F.percentile_approx(by, [k / n for k in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
+    parts = rows.withColumn("_part", totals.range_of(F.col(by), sorted(set(cuts or []))))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
     before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))  # a row for each range
     within = F.row_number().over(Window.partitionBy("_part").orderBy(by))

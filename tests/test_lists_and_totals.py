@@ -7,8 +7,9 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from billoom.functions import render
+from billoom.functions import render, scalars
 from billoom.operators import lists, totals
+from billoom.streaming import inbox
 
 BILL = "path string, page int, page_count int, status string, gross_cents long, currency string, vendor string, date string, error string"
 
@@ -94,3 +95,20 @@ def test_details(spark):
     text, html, none = row.select(render.details_text(e), render.details_html(e), render.details_text(render.details({}))).first()
     assert text == "Datei: a b.pdf, S. 2\nPfad: /i/a b.pdf\n\nAussteller: A & B\nBetrag: 1,50 EUR\n\nNotiz: n1\nNotiz: n2\nk: 2\nz: 1" and none == "Datei: " * 0 + none
     assert "<b>Betrag: 1,50 EUR</b>" in html and "A &amp; B<br>" in html and html.count("<br><br>") == 2
+
+
+def test_bad_patterns_are_findings(spark):
+    rows = [(1, 1, "/[/"), (2, 1, "/vend.r/"), (3, 1, "/(/"), (4, 1, "/(/"), (5, 1, None), (6, 1, "*")]
+    expected = spark.createDataFrame([(*r, "*", "*", "*", "clash") for r in rows], "document int, bill int, vendor string, date string, currency string, gross_total string, valid string")
+    actual = spark.createDataFrame([(k, 1, "Vendor", "", "", 1.0) for k in range(1, 7)], "document int, bill int, vendor string, date string, currency string, gross_total double")
+    assert {r["document"]: r["vendor_ok"] for r in lists.compared(expected, actual).collect()} == {1: False, 2: True, 3: False, 4: False, 5: False, 6: True}
+    assert sorted(tuple(r) for r in lists.pattern_findings(expected).collect()) == [(1, 1, "invalid pattern /[/"), (3, 1, "invalid pattern /(/"), (4, 1, "invalid pattern /(/")]
+    assert lists.pattern_findings(expected.limit(0)).count() == 0
+    got = expected.select(scalars.vendor_matches(F.col("vendor"), F.lit("the Vendor")).alias("m")).collect()
+    assert [r["m"] for r in got] == [False, True, False, False, False, True]
+
+
+def test_numbered(spark):
+    ticks = [5, 1, 9, 100, 101, 7, -3, 2**40]
+    got = {r["t"]: r["n"] for r in inbox.numbered(spark.createDataFrame([(t,) for t in ticks], "t long"), "t", "n").collect()}
+    assert got == {t: k for k, t in enumerate(sorted(ticks), 1)} and inbox.numbered(spark.createDataFrame([], "t long"), "t", "n").count() == 0
