@@ -69,6 +69,19 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+OP4_SQL = r"""
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS payload, regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)(?::[0-9]*)?([^?#]*)(?:[?]([^#]*))?', ['host', 'path', 'query']) AS u FROM pages),
+sized AS (SELECT *, strlen(payload) AS n, sha256(payload) AS digest, regexp_replace(lower(u.host), '^www[.]', '') AS host FROM rows),
+firsts AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest, n) ELSE page_id END AS first_id FROM sized)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
+  CASE WHEN coalesce(host, '') = '' THEN '-' ELSE lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN u.path = '' THEN '/' ELSE u.path END
+    || CASE WHEN u.query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(u.query, '&')), '&') END) END AS url_key,
+  strftime(TIMESTAMP '2000-01-01' + to_seconds(page_id), '%Y%m%d%H%M%S') AS captured
+FROM firsts
+"""
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources flattened to the square roots of their sizes, as many bytes as there are."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), temperature=0.5, budget=1.0, seed=5)
@@ -236,4 +249,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_virtual_slots": op12_virtual_slots,
     "op13_token_alignment": op13_token_alignment,
 }
-ORACLE_SQL: dict[str, str] = {"op2_block_max_wand": OP2_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_scan": OP9_SQL, "op11_source_divergence": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_block_max_wand": OP2_SQL, "op4_warc": OP4_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_scan": OP9_SQL, "op11_source_divergence": OP11_SQL}
