@@ -55,8 +55,8 @@ def amount_of(kept: Column) -> Column:
     bare = F.replace(kept, F.lit("."), F.lit(""))
     dots = F.when(kept.rlike(r"\..*\."), bare).when(kept.rlike(r"^[^.]{1,3}\.[^.]{3}$") & ~kept.rlike(r"^0\."), bare).otherwise(kept)
     ready = F.when(comma & dot, F.when(last(",") > last("."), german).otherwise(anglo)).when(comma, commas).when(dot, dots).otherwise(kept)
-    number = ready.try_cast("double")
-    return F.when(~kept.isin("", "-") & (F.abs(number) < float("inf")), number)
+    # No more characters than a double has places before the point: what is longer might be infinite.
+    return F.when(~kept.isin("", "-") & (F.length(kept) <= 308), ready.try_cast("double"))
 
 
 def parse_amount(text: Column) -> Column:
