@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -315,6 +316,24 @@ def reconcile_total(spark, sf_dir):
     return I.table(spark, sf_dir, "orders").select("o_orderkey", replies.settled_total(I.choice(I.TOTALS, k), a, b).alias("s")).select("o_orderkey", "s.*")
 
 
+def _stub(messages):
+    """A model that answers by the length of the page: at once, only when it is asked again, with a vendor alone, or not at all."""
+    n, again = len(messages[1]["content"]), len(messages) > 2
+    if n % 5 == 4:
+        raise replies.ModelError("timeout", "no answer")
+    return json.dumps({"vendor": f"V{n}", "gross_total": n / 4} if n % 5 == 0 or (n % 5 == 1 and again) else {"vendor": f"V{n}"}) if n % 5 != 3 else "no idea"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {Q.trim("coalesce(text, '')")} = '' AS blank, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, CASE WHEN blank THEN 0 WHEN n % 5 IN (0, 4) THEN 1 ELSE 2 END AS attempts, CASE WHEN NOT blank AND n % 5 IN (0, 1) THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN blank THEN 'nothing to send' WHEN n % 5 IN (0, 1) THEN '' WHEN n % 5 = 4 THEN 'timeout: no answer' WHEN n % 5 = 3 THEN 'the reply is not a JSON object' ELSE 'the model returned no usable fields' END AS error,
+  CASE WHEN NOT blank AND n % 5 < 3 THEN 'V' || n END AS vendor, CASE WHEN NOT blank AND n % 5 < 2 THEN n / 4.0::DOUBLE END AS gross_total FROM d""")
+def asked_again(spark, sf_dir):
+    """Documents as pages that a model is asked about once, and once more where the answer doesn't count."""
+    pages = I.table(spark, sf_dir, "documents").select("doc_id", F.lit("/in/x").alias("path"), F.lit(1).alias("page"), "text")
+    return replies.analysed(pages, _stub).select("doc_id", "attempts", "status", "error", "vendor", "gross_total")
+
+
 # Store, cache, history
 
 
