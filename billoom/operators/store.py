@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from billoom.functions import render
 
+from . import totals
 from .staged import hadoop_path
 
 DOCUMENTS = "sha256 string, fingerprint string, source_path string, file_name string, page_count int, has_text_layer boolean, model string, created_at string"
@@ -80,6 +81,12 @@ def newest_documents(documents: DataFrame) -> DataFrame:
     return documents.orderBy(F.desc("created_at"), "sha256")
 
 
+def placed_documents(documents: DataFrame) -> DataFrame:
+    """documents with place: 1 for the newest, ties by sha256; without a time they come last. Numbered by ranges of time, never in one task."""
+    age = F.coalesce(-F.unix_micros(F.col("created_at").try_cast("timestamp")), F.lit(2**63 - 1))
+    return totals.numbered(documents.withColumn("_age", age), "_age", "place", ("sha256",)).drop("_age")
+
+
 def cache_probe(incoming: DataFrame, documents: DataFrame, bills: DataFrame) -> DataFrame:
     """incoming(sha256, fingerprint, ...) with hit: stored under the same fingerprint and with at least one bill.
 

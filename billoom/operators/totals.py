@@ -111,6 +111,21 @@ def range_of(value: Column, cuts: list) -> Column:
     return F.when(first == 0, 0).otherwise((first - 1) * k + below(F.slice(all_, F.greatest((first - 1) * k + 1, F.lit(1)), F.lit(k))))
 
 
+def numbered(rows: DataFrame, by: str, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """rows numbered from 1 in order of the number ``by``, then ``ties``: by ranges of it, each numbered in a task, after the counts of the ranges before.
+
+    Rows of one number stand in one range. A null comes first.
+    """
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    # Cuts are fixed once, so that every reading of rows finds the same ranges.
+    cuts = rows.select(F.percentile_approx(by, [k / n for k in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
+    parts = rows.withColumn("_part", F.when(F.col(by).isNull(), 0).otherwise(range_of(F.col(by), sorted(set(cuts or [])))))
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))  # a row for each range
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(by, *ties))
+    return parts.withColumn("_k", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
+
+
 def runs(rows: DataFrame, key: str, pos: str, partition: str | None = None, parts: int | None = None) -> DataFrame:
     """Adds run_id (from 1): consecutive rows of one key in order of pos, whose values differ from row to row.
 

@@ -396,12 +396,11 @@ def history_lines(spark, sf_dir):
     return I.bills(spark, sf_dir).select(I.path(), "page", line.alias("line"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
 def newest_documents(spark, sf_dir):
-    """The newest of documents, newest first."""
+    """All documents with their place from the newest."""
     docs = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha256"), F.col("o_orderdate").alias("created_at"))
-    last = docs.agg(F.max("created_at").alias("created_at"))
-    return store.newest_documents(docs.join(F.broadcast(last), "created_at", "left_semi")).select(F.col("sha256").alias("o_orderkey"))
+    return store.placed_documents(docs).select(F.col("sha256").alias("o_orderkey"), "place")
 
 
 def _stored(spark, sf_dir):

@@ -22,18 +22,6 @@ SETTLED = 2
 OUT = "path string, tick long, size long, mtime_ms long"
 
 
-def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """rows, which differ in the number ``by``, numbered from 1 in its order: by ranges of it, each numbered in a task, after the counts of the ranges before."""
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    # Cuts are fixed once, so that every reading of rows finds the same ranges.
-    cuts = rows.select(F.percentile_approx(by, [k / n for k in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
-    parts = rows.withColumn("_part", totals.range_of(F.col(by), sorted(set(cuts or []))))
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))  # a row for each range
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(by))
-    return parts.withColumn("_k", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
-
-
 def _tracked(scans: DataFrame, settled: int) -> tuple[DataFrame, DataFrame]:
     """The scans with what tells their stretch (_seen) and place (_n), and those among them that report: windows over each path's own scans.
 
@@ -41,7 +29,7 @@ def _tracked(scans: DataFrame, settled: int) -> tuple[DataFrame, DataFrame]:
     state is a run of equal (size, mtime_ms), split further where only the time changed before the file was handled.
     """
     path = Window.partitionBy("path").orderBy("tick")
-    ticks = numbered(scans.select("tick").distinct(), "tick", "_n")
+    ticks = totals.numbered(scans.select("tick").distinct(), "tick", "_n")
     rows = scans.filter("path IS NOT NULL").join(ticks, "tick")
     gap = F.col("_n") - F.lag("_n").over(path)
     new = F.when(F.coalesce(gap, F.lit(0)) != 1, 1).otherwise(0)

@@ -8,8 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from billoom.functions import render, scalars
-from billoom.operators import lists, totals
-from billoom.streaming import inbox
+from billoom.operators import lists, store, totals
 
 BILL = "path string, page int, page_count int, status string, gross_cents long, currency string, vendor string, date string, error string"
 
@@ -110,5 +109,11 @@ def test_bad_patterns_are_findings(spark):
 
 def test_numbered(spark):
     ticks = [5, 1, 9, 100, 101, 7, -3, 2**40]
-    got = {r["t"]: r["n"] for r in inbox.numbered(spark.createDataFrame([(t,) for t in ticks], "t long"), "t", "n").collect()}
-    assert got == {t: k for k, t in enumerate(sorted(ticks), 1)} and inbox.numbered(spark.createDataFrame([], "t long"), "t", "n").count() == 0
+    got = {r["t"]: r["n"] for r in totals.numbered(spark.createDataFrame([(t,) for t in ticks], "t long"), "t", "n").collect()}
+    assert got == {t: k for k, t in enumerate(sorted(ticks), 1)} and totals.numbered(spark.createDataFrame([], "t long"), "t", "n").count() == 0
+
+
+def test_placed_documents(spark):
+    rows = [("b", "2025-01-02"), ("a", "2025-01-02"), ("c", None), ("d", "2025-03-01T10:00:00Z"), ("e", "no time"), ("f", "2024-12-31"), ("g", "2025-01-02")]
+    got = {r["sha256"]: r["place"] for r in store.placed_documents(spark.createDataFrame(rows, "sha256 string, created_at string")).collect()}
+    assert got == {"d": 1, "a": 2, "b": 3, "g": 4, "f": 5, "c": 6, "e": 7}
