@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from billoom.functions import render
 from billoom.operators import model as M
-from billoom.operators import store
+from billoom.operators import replies, store
 from billoom.sources import files, snapshots
 from billoom.streaming import inbox
 
@@ -55,6 +55,30 @@ def test_client(url):
     assert e.value.kind == "unreachable"
 
 
+def test_what_goes_along(url, monkeypatch):
+    """Schema, image and settings are in the request; a plain model sends none of them."""
+    sent = []
+    monkeypatch.setattr(M.HttpModel, "_call", lambda self, path, payload, timeout: sent.append(payload) or {"message": {"content": "x"}})
+    M.HttpModel(url, "m", think=False, keep_alive="5m").answering(replies.answer_schema())(replies.extraction_messages("t", None, b"jpg"))
+    M.HttpModel(url, "m")(M.date_messages("t"))
+    assert sent[0]["format"] == replies.answer_schema() and sent[0]["think"] is False and sent[0]["keep_alive"] == "5m" and sent[0]["messages"][1]["images"] == ["anBn"]
+    assert not {"format", "think", "keep_alive"} & set(sent[1]) and "images" not in sent[1]["messages"][0] and sent[1]["options"] == {"temperature": 0}
+
+
+def test_settled_by_images(spark):
+    """A page without text is asked about by its image; a model that fails counts as no answer."""
+    rows = [(1, None, bytearray(b"i"), "2024-01-01", 5.0), (2, "down", None, "2024-01-01", 5.0), (3, " ", bytearray(), "2024-01-01", 5.0)]
+
+    def model(messages):
+        if "down" in messages[0]["content"]:
+            raise M.ModelError("timeout", "late")
+        assert messages[0]["images"] == ["aQ=="]
+        return "3.4.2025" if "date" in messages[0]["content"] else "7"
+
+    got = M.settled(spark.createDataFrame(rows, "k int, text string, jpeg binary, date string, gross_total double"), model).orderBy("k").collect()
+    assert [(r["date"], r["gross_total"], r["date_source"], r["total_corrected"]) for r in got] == [("2025-04-03", 7.0, "asked", True), ("2024-01-01", 5.0, "reply", False), ("2024-01-01", 5.0, "reply", False)]
+
+
 def test_self_check(url):
     lines, status = M.diagnosis([("endpoint", True, lambda: f"{len(M.HttpModel(url, 'm').installed())} models", ""), ("ocr", False, lambda: 1 / 0, "x"), ("store", True, lambda: {}["no"], "make it")])
     assert [x[:2] for x in lines] == [("endpoint", "ok"), ("ocr", "--"), ("store", "FAIL")] and status == 1 and "make it" in lines[2][2]
