@@ -200,6 +200,8 @@ def inherit(files: DataFrame, found: DataFrame) -> DataFrame:
     A null path has no licence. The root '' is above every directory. A directory with several licence files takes the first id among theirs.
     """
     files = files.drop("license", "score", "via", "from_dir")
+    # Read twice below, so written once.
+    found = Scratch(files.sparkSession, "licenses").keep(found.select("path", "license", "score"), "found")
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     name = F.regexp_extract("path", "([^/]*)$", 1)
     given = found.filter(name.rlike(LICENSE_NAME)).groupBy(parent.alias("above")).agg(F.min("license").alias("given"))
@@ -208,7 +210,7 @@ def inherit(files: DataFrame, found: DataFrame) -> DataFrame:
     above = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))).alias("a")).select("_dir", "a.*")
     nearest = above.join(given, "above").groupBy("_dir").agg(F.max_by(F.struct("above", "given"), "depth").alias("near"))
     rows = files.select(boxed(files).alias("file"), "path", parent.alias("_dir"))
-    out = rows.join(found.select("path", "license", "score"), "path", "left").join(nearest, "_dir", "left")
+    out = rows.join(found, "path", "left").join(nearest, "_dir", "left")
     own = F.col("license").isNotNull()
     via = F.when(own, "own").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     out = out.withColumn("via", via).withColumn("from_dir", F.when(F.col("via") == "inherited", F.col("near.above"))).withColumn("license", F.coalesce("license", F.col("near.given")))
