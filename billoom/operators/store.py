@@ -13,7 +13,7 @@ import json
 import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -187,6 +187,8 @@ class Store:
     spark: SparkSession
     folder: str
     buckets: int = BUCKETS
+    #: Files of bills that the last history() read.
+    files_read: int = field(default=0, init=False)
 
     def _path(self, name: str):
         return hadoop_path(self.spark, f"{self.folder}/{name}")
@@ -249,15 +251,18 @@ class Store:
     def _read(self, table: str, files: list[dict], whole: bool = False) -> DataFrame:
         paths = [f"{self.folder}/{f['path']}" for f in files if f["table"] == table]
         rows = self.spark.read.schema(_FILES[table]).parquet(*paths) if paths else self.spark.createDataFrame([], _FILES[table])
-        return rows if whole or table == "bills" else rows.drop("bill_count")
+        return rows if whole else rows.drop("bill_count", "write_seq")
 
     def documents(self) -> DataFrame:
         return self._read("documents", self.manifest()["files"])
 
     def bills(self) -> DataFrame:
-        """BILLS and write_seq, by which rows of one created_at are told apart."""
         return self._read("bills", self.manifest()["files"])
 
+    def numbered_bills(self) -> DataFrame:
+        """BILLS and write_seq, the write that each came with, by which history() tells rows of one created_at apart."""
+        return self._read("bills", self.manifest()["files"], whole=True)
+
     def find(self, sha256: str, fingerprint: str) -> DataFrame:
         """The document of this hash and fingerprint, from its bucket's files."""
         return self._of(sha256, "documents").filter((F.col("sha256") == sha256) & (F.col("fingerprint") == fingerprint))
@@ -316,7 +321,7 @@ class Store:
                 rows += files[take]["rows"]
                 take += 1
             self.files_read = min(take, len(files))
-            bills = self._read("bills", files[:take])
+            bills = self._read("bills", files[:take], whole=True)
             newest = bills.orderBy(*order).limit(limit)
             buckets = {r[0] for r in newest.select(self._bucket(m["buckets"])).distinct().collect()}
             out = stored_bills(newest, self._read("documents", [f for f in docs if f["bucket"] in buckets])).orderBy(*order)
@@ -325,7 +330,7 @@ class Store:
             stand = out.agg(F.count("*"), F.min("created_at")).first()
             if stand[0] == limit and (files[take]["greatest"] or "") < (stand[1] or ""):
                 return out
-        return history(self._read("bills", []), self._read("documents", []), 0)
+        return history(self._read("bills", [], whole=True), self._read("documents", []), 0)
 
     # Writing
 

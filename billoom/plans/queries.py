@@ -423,7 +423,7 @@ now_bills AS (SELECT * FROM new_bills UNION ALL SELECT * FROM old_bills WHERE sh
 @query(f"WITH {I.GENERATIONS}, {_NOW} SELECT sha256, page, gross_cents::DOUBLE AS gross_total, write_seq FROM now_bills")
 def stored_bills(spark, sf_dir):
     """Two saves to a store on files, then its bills: pages that a document no longer has are gone."""
-    return _stored(spark, sf_dir).bills().select("sha256", "page", "gross_total", "write_seq")
+    return _stored(spark, sf_dir).numbered_bills().select("sha256", "page", "gross_total", "write_seq")
 
 
 @query(f"WITH {I.GENERATIONS}, {_NOW} SELECT sha256, page, file_name, gross_cents::DOUBLE AS gross_total FROM now_bills JOIN now_docs USING (sha256) ORDER BY now_bills.write_seq || '-' || left(sha256, 6) DESC, now_bills.write_seq DESC, page DESC, sha256 DESC LIMIT 50")

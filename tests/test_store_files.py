@@ -85,14 +85,14 @@ def test_history_leaves_old_files_unread(spark, large):
     assert [r["vendor"] for r in large.history(3).collect()] == ["v2", "v1", "v0"] and large.files_read < 10
     for k in (0, 1, 4, 70, 4003, 5000):
         got = [(r["created_at"], r["page"], r["vendor"]) for r in large.history(k).collect()]
-        want = [(r["created_at"], r["page"], r["vendor"]) for r in store.history(large.bills(), large.documents(), k).collect()]
+        want = [(r["created_at"], r["page"], r["vendor"]) for r in store.history(large.numbered_bills(), large.documents(), k).collect()]
         assert got == want and len(got) == min(k, 4003)
 
 
 def test_history_with_bills_without_documents(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/db", buckets=4)
     s.save(documents(spark, *[(f"h{k}", "a", "2025") for k in range(5)]), bills(spark, *[(f"h{k}", 1, f"v{k}") for k in range(5)], *[(f"lost{k}", 1, "z") for k in range(20)]))
-    assert sorted(r["vendor"] for r in s.history(4).collect()) == sorted(r["vendor"] for r in store.history(s.bills(), s.documents(), 4).collect()) and s.history(9).count() == 5
+    assert sorted(r["vendor"] for r in s.history(4).collect()) == sorted(r["vendor"] for r in store.history(s.numbered_bills(), s.documents(), 4).collect()) and s.history(9).count() == 5
 
 
 def test_two_writers(spark, tmp_path, monkeypatch):
