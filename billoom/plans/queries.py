@@ -490,10 +490,10 @@ def detail_text(spark, sf_dir):
 
 @query("""SELECT o_orderkey AS document, o_orderkey % 3 + 1 AS bill, o_orderkey % 3 < 2 AS found, o_orderkey % 3 < 2 AS vendor_ok, o_orderkey % 3 < 2 AND o_orderkey % 4 <> 1 AS date_ok, o_orderkey % 3 < 2 AND o_orderkey % 5 <> 0 AS currency_ok, o_orderkey % 3 < 2 AND o_orderkey % 7 <> 0 AS total_ok FROM orders""")
 def expectation(spark, sf_dir):
-    """Each document has two pages; every third expectation asks for a third."""
+    """Each document has two pages; every third expectation asks for a third. The wrong date is one that no order can have."""
     o, k = I.table(spark, sf_dir, "orders"), F.col("o_orderkey")
     actual = o.select(k.alias("document"), F.explode(F.array(F.lit(1), F.lit(2))).alias("bill"), F.lit("Bäcker-Meier GmbH").alias("vendor"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.when(k % 5 == 0, "USD").otherwise("EUR").alias("currency"), F.col("o_totalprice").alias("gross_total"))
-    wrong = F.when(k % 4 == 1, "1999-01-01").when(k % 4 == 2, "*").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    wrong = F.when(k % 4 == 1, "1999-02-30").when(k % 4 == 2, "*").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     expected = o.select(k.alias("document"), (k % 3 + 1).cast("int").alias("bill"), F.when(k % 2 == 0, "/^b.cker/").otherwise("bäcker meier gmbh").alias("vendor"), wrong.alias("date"), F.lit("EUR").alias("currency"), F.format_string("%.2f", F.col("o_totalprice") + F.when(k % 7 == 0, 0.02).otherwise(0.0)).alias("gross_total"))
     return lists.compared(expected, actual)
 
