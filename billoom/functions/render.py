@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalars import base_name, text_of, trim
@@ -14,6 +16,9 @@ KNOWN = "file path bill bill_count status error quality_warning vendor vendor_ad
 def bare_money(amount: Column, decimal: str = ",", group: str = "") -> Column:
     """Two places with a locale's decimal sign and, if it has one, its sign between thousands."""
     text = F.format_string("%,.2f" if group else "%.2f", amount)
+    if not group:
+        # The same text at a part of the cost; what rounds to zero keeps its sign, and longer numbers all places, in the other way.
+        text = F.when(F.abs(amount).between(0.01, 1e13), amount.cast("decimal(18,2)").cast("string")).otherwise(text)
     return F.when(amount.isNotNull(), F.translate(text, ",.", group + decimal) if group else F.replace(text, F.lit("."), F.lit(decimal)))
 
 
@@ -128,11 +133,8 @@ def first_line(text: Column) -> Column:
     return trim(F.split(trim(text_of(text)), "\n")[0])
 
 
-def details(bill: dict[str, Column], extra: Column | None = None) -> Column:
-    """array<struct<text, grp, strong>>: all that is known of a bill, line by line, in three groups; what is absent or empty is left out.
-
-    bill: columns by field name (any may be missing); extra: map<string, string> of fields beyond KNOWN.
-    """
+def _known(bill: dict[str, Column]) -> list[tuple[int, bool, Column]]:
+    """Group, whether it is strong, and text of each line of KNOWN; null for what is absent or empty."""
     null = F.lit(None).cast("string")
     of = lambda k: bill.get(k, null)
     text = lambda k: of(k).cast("string")
@@ -146,16 +148,51 @@ def details(bill: dict[str, Column], extra: Column | None = None) -> Column:
         (1, "Netto", cash("net_total"), False), (1, "Steuer", cash("tax_total"), False), (1, "Betrag", cash("gross_total"), True),
         (2, "IBAN", text("iban"), False), (2, "Konfidenz", text("confidence"), False), (2, "Textlayer", yes("has_text_layer"), False), (2, "Aus dem Cache", yes("from_cache"), False), (2, "Extrahiert", ms("extract_ms"), False), (2, "Modell", ms("inference_ms"), False),
     ]
+    return [(g, s, F.when(text_of(v) != "", F.concat(F.lit(f"{k}: "), v))) for g, k, v, s in rows]
+
+
+def _noted(notes: Column) -> Column:
+    """array<string>: the lines of a bill's notes."""
+    return F.transform(F.coalesce(notes, F.array().cast("array<string>")), lambda n: F.concat(F.lit("Notiz: "), n))
+
+
+def _unknown(extra: Column) -> Column:
+    """array<string>: the lines of fields beyond KNOWN, in order."""
+    unknown = F.filter(F.map_entries(F.coalesce(extra, F.create_map().cast("map<string,string>"))), lambda e: ~e["key"].isin(KNOWN) & (text_of(e["value"]) != ""))
+    return F.array_sort(F.transform(unknown, lambda e: F.concat_ws(": ", e["key"], e["value"])))
+
+
+def details(bill: dict[str, Column], extra: Column | None = None) -> Column:
+    """array<struct<text, grp, strong>>: all that is known of a bill, line by line, in three groups; what is absent or empty is left out.
+
+    bill: columns by field name (any may be missing); extra: map<string, string> of fields beyond KNOWN.
+    """
     entry = lambda t, g, s: F.struct(t.alias("text"), F.lit(g).alias("grp"), F.lit(s).alias("strong"))
-    out = F.filter(F.array(*[entry(F.when(text_of(v) != "", F.concat(F.lit(f"{k}: "), v)), g, s) for g, k, v, s in rows]), lambda e: e["text"].isNotNull())
-    if "notes" in bill:
-        out = F.concat(out, F.transform(F.coalesce(bill["notes"], F.array().cast("array<string>")), lambda n: entry(F.concat(F.lit("Notiz: "), n), 2, False)))
-    if extra is not None:
-        unknown = F.filter(F.map_entries(F.coalesce(extra, F.create_map().cast("map<string,string>"))), lambda e: ~e["key"].isin(KNOWN) & (text_of(e["value"]) != ""))
-        out = F.concat(out, F.transform(F.array_sort(F.transform(unknown, lambda e: F.concat_ws(": ", e["key"], e["value"]))), lambda t: entry(t, 2, False)))
+    out = F.filter(F.array(*[entry(t, g, s) for g, s, t in _known(bill)]), lambda e: e["text"].isNotNull())
+    for lines in ([_noted(bill["notes"])] if "notes" in bill else []) + ([] if extra is None else [_unknown(extra)]):
+        out = F.concat(out, F.transform(lines, lambda t: entry(t, 2, False)))
     return out
 
 
+def with_details(rows: DataFrame, bill: dict[str, Column], extra: Column | None = None) -> DataFrame:
+    """rows with text and html of details(): each line is made once and written into both, without an array of entries between. Columns of these names are replaced.
+
+    A note that is null has no line, and no empty line before it either.
+    """
+    known = _known(bill)
+    more = ([F.array_compact(_noted(bill["notes"]))] if "notes" in bill else []) + ([] if extra is None else [_unknown(extra)])
+    lines = [f"_line{i}" for i in range(len(known))]
+    rows = rows.withColumns(dict(zip(lines, [t for _, _, t in known], strict=True)) | {"_more": F.concat(F.array().cast("array<string>"), *more)})
+
+    def written(sign: str, of: Callable[[Column, bool], Column], others: Column) -> Column:
+        own = lambda g: [of(F.col(c), strong) for c, (grp, strong, _) in zip(lines, known, strict=True) if grp == g]
+        return F.concat_ws(sign * 2, *[F.nullif(F.concat_ws(sign, *own(g), *([others] if g == 2 else [])), F.lit("")) for g in range(3)])
+
+    marked = lambda t, strong: F.concat(F.lit("<b>"), escape_html(t), F.lit("</b>")) if strong else escape_html(t)
+    text, html = written("\n", lambda t, _: t, F.col("_more")), written("<br>", marked, F.transform("_more", escape_html))
+    return rows.withColumns({"text": text, "html": html}).drop(*lines, "_more")
+
+
 def with_breaks(entries: Column) -> Column:
     """An empty entry between entries of different groups."""
     blank = lambda e: F.struct(F.lit("").alias("text"), e["grp"].alias("grp"), F.lit(False).alias("strong"))

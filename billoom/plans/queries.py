@@ -481,8 +481,8 @@ h AS (SELECT path, page, 'Datei: ' || CASE WHEN page_count > 1 THEN file || ', S
 def detail_text(spark, sf_dir):
     p, page = I.path(), F.col("page")
     bill = {"file": render.base_name(p), "path": p, "bill": page, "bill_count": F.col("page_count"), "status": F.col("status"), "error": F.col("error"), "vendor": F.when(F.col("vendor") != "", F.concat("vendor", F.lit(" & Co <x>"))), "date": F.col("date"), "currency": F.col("currency"), "gross_total": S.from_cents(F.col("gross_cents")), "has_text_layer": page % 2 == 0, "extract_ms": page, "notes": F.when(page % 3 == 0, F.array(F.lit("third")))}
-    entries = render.details(bill, F.create_map(F.lit("batch"), page.cast("string"), F.lit("zzz"), F.lit(""), F.lit("vendor"), F.lit("known")))
-    return I.bills(spark, sf_dir).select(p, "page", entries.alias("e")).select("path", "page", render.details_text(F.col("e")).alias("text"), render.details_html(F.col("e")).alias("html"))
+    extra = F.create_map(F.lit("batch"), page.cast("string"), F.lit("zzz"), F.lit(""), F.lit("vendor"), F.lit("known"))
+    return render.with_details(I.bills(spark, sf_dir).withColumn("path", p), bill, extra).select("path", "page", "text", "html")
 
 
 # Comparison with expectations
