@@ -25,13 +25,12 @@ def trim(text: Column) -> Column:
 
 def is_placeholder(text: Column) -> Column:
     """Whether a text stands for nothing: empty, only dashes, question marks or stops, or one of PLACEHOLDERS (also before a space or bracket)."""
-    t = F.lower(trim(text_of(text)))
-    return (t == "") | t.rlike(r"^[-–—?.]+$") | t.rlike("^(" + "|".join(PLACEHOLDERS) + r")($|[ (])")
+    return F.lower(trim(text_of(text))).rlike(r"^(?:\z|[-–—?.]+$|(?:" + "|".join(PLACEHOLDERS) + r")(?:$|[ (]))")
 
 
 def cleaned(text: Column) -> Column:
     """Trimmed; '' for a placeholder."""
-    return F.when(is_placeholder(text), "").otherwise(trim(text))
+    return F.when(text_of(text) == "", "").when(is_placeholder(text), "").otherwise(trim(text))
 
 
 def single_line(text: Column, limit: int = LINE_LENGTH) -> Column:
@@ -81,7 +80,9 @@ def first_date_in(text: Column) -> Column:
     """ISO text of the first date found, day first; '' where there is none. The first format that matches decides."""
     iso, german, run = r"(\d{4})-(\d{1,2})-(\d{1,2})", r"(\d{1,2})[./](\d{1,2})[./](\d{2,4})", r"(?<![0-9A-Za-z_])(\d{4})(\d{2})(\d{2})(?![0-9A-Za-z_])"
     part = lambda p, k: F.regexp_extract(text, p, k)
-    found = F.when(text.rlike(iso), build_date(part(iso, 1), part(iso, 2), part(iso, 3)))
+    # What is such a date already needs no taking apart.
+    found = F.when(text.rlike(r"\A(?:[1-9]\d|0[1-9])\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\z"), text)
+    found = found.when(text.rlike(iso), build_date(part(iso, 1), part(iso, 2), part(iso, 3)))
     found = found.when(text.rlike(german), build_date(part(german, 3), part(german, 2), part(german, 1)))
     return found.when(text.rlike(run), build_date(part(run, 1), part(run, 2), part(run, 3))).otherwise("")
 
@@ -102,7 +103,7 @@ def normalise_currency(text: Column) -> Column:
     up = F.upper(text_of(text))
     has = lambda *s: F.greatest(*[F.instr(up, x) for x in s]) > 0 if len(s) > 1 else F.instr(up, s[0]) > 0
     other = F.regexp_extract(up, r"(?<![0-9A-Za-z_])([A-Z]{3})(?![0-9A-Za-z_])", 1)
-    return F.when(is_placeholder(text), "").when(has("€", "EUR"), "EUR").when(has("£", "GBP"), "GBP").when(has("CHF"), "CHF").when(has("$", "USD"), "USD").otherwise(other)
+    return F.when(text.isin("", "EUR", "GBP", "CHF", "USD"), text).when(is_placeholder(text), "").when(has("€", "EUR"), "EUR").when(has("£", "GBP"), "GBP").when(has("CHF"), "CHF").when(has("$", "USD"), "USD").otherwise(other)
 
 
 def iban(text: Column) -> Column:

@@ -44,6 +44,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def is_object(json: Column) -> Column:
+    """Whether a text that is JSON is an object."""
+    return F.ltrim(json, F.lit(" \t\r\n")).startswith("{")
+
+
+#: What cleaned texts go through, by field.
+_FINISH = {"vendor_address": S.single_line, "date": S.first_date_in, "due_date": S.first_date_in, "currency": S.normalise_currency, "iban": lambda t: F.replace(t, F.lit(" "), F.lit(""))}
+
+
 def record(variant: Column) -> Column:
     """The cleaned fields of a reply's object as a struct.
 
@@ -61,19 +70,55 @@ def record(variant: Column) -> Column:
         return F.struct(*[S.cleaned(r[k]["text"]).alias(k) for k in TEXTS], *[amount(r[k]).alias(k) for k in AMOUNTS])
 
     def clean(c: Column) -> Column:
-        own = {"vendor_address": S.single_line, "date": S.first_date_in, "due_date": S.first_date_in, "currency": S.normalise_currency, "iban": lambda t: F.replace(t, F.lit(" "), F.lit(""))}
-        texts = [own.get(k, lambda t: t)(c[k]).alias(k) for k in TEXTS]
+        texts = [_FINISH.get(k, lambda t: t)(c[k]).alias(k) for k in TEXTS]
         return F.struct(*texts, *[F.coalesce(c[k]["number"], S.amount_of(c[k]["kept"])).alias(k) for k in AMOUNTS])
 
     return let(let(F.struct(*[raw(k).alias(k) for k in (*TEXTS, *AMOUNTS)]), cut), clean)
 
 
+#: JSON numbers, and those of them that are the same amount whether they are numbers or texts (-0 is not).
+_NUMBER, _SIMPLE = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?", r"(?:0|-?[1-9]\d{0,12})(?:\.\d{1,2})?"
+
+
+def fields_of(json: Column, *more: str) -> Column:
+    """A JSON object's fields as texts, those of a record and ``more``: a string's own text, of anything else the JSON; null where there is none."""
+    return F.from_json(json, ", ".join(f"{k} string" for k in (*TEXTS, *AMOUNTS, *more)))
+
+
+def texts_are_strings(fields: Column, names: tuple[str, ...] = TEXTS) -> Column:
+    """Whether none of the texts can be anything but a string in JSON. False doesn't mean that one is: '12' may be either."""
+    return ~F.concat_ws("\n", *[fields[k] for k in names]).rlike(rf"(?m)^(?:[\[{{]|(?:true|false|{_NUMBER})$)")
+
+
+def amounts_are_plain(fields: Column) -> Column:
+    """Whether each amount is the same read as a number and as a text, or can only be a text."""
+    return ~F.concat_ws("\n", *[fields[k] for k in AMOUNTS]).rlike(rf"(?m)^(?:[\[{{]|(?!{_SIMPLE}$){_NUMBER}$)")
+
+
+def with_record(rows: DataFrame, name: str, variant: str, fields: str, plain: Column) -> DataFrame:
+    """rows with the record of a variant as ``name``, as record() gives it; null where the variant is.
+
+    Where the rows are plain, their fields_of() hold all that record() would ask the variant for, field by field, at many times the
+    cost. The others, whose texts leave open of which type a field is, are asked. In steps, so that nothing is computed twice.
+    """
+    f, some = F.col(fields), F.col(variant).isNotNull()
+    simple = lambda x: F.when(x.isNotNull() & ~S.is_placeholder(x), S.amount_characters(x))
+    rows = rows.withColumn("_plain", plain).withColumn("_texts", F.when(F.col("_plain"), F.transform(F.array(*[f[k] for k in TEXTS]), S.cleaned)))
+    rows = rows.withColumn("_kept", F.when(F.col("_plain"), F.transform(F.array(*[f[k] for k in AMOUNTS]), simple)))
+    rows = rows.withColumn("_amounts", F.transform("_kept", lambda x: F.when(x.isNotNull(), S.amount_of(x))))
+    texts = [_FINISH.get(k, lambda t: t)(F.get("_texts", F.lit(i))).alias(k) for i, k in enumerate(TEXTS)]
+    amounts = [F.get("_amounts", F.lit(i)).alias(k) for i, k in enumerate(AMOUNTS)]
+    out = F.when(some, F.when(F.col("_plain"), F.struct(*texts, *amounts)).otherwise(record(F.col(variant))))
+    return rows.withColumn(name, out).drop("_plain", "_texts", "_kept", "_amounts")
+
+
 def from_reply(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """replies with error and the record's fields: null fields and a text where the reply is empty or holds no JSON object."""
     parsed = replies.withColumn("_body", json_object(F.col(reply))).withColumn("_v", F.try_parse_json("_body"))
-    good = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
-    error = F.when(F.col("_body") == "", "the model returned nothing").when(~good, "the reply is not a JSON object").otherwise("")
-    out = parsed.withColumn("_r", F.when(good, record(F.col("_v")))).withColumn("error", error)
+    # What parses and begins with a brace is an object.
+    parsed = parsed.withColumn("_v", F.when(is_object(F.col("_body")), F.col("_v"))).withColumn("_f", fields_of(F.when(F.col("_v").isNotNull(), F.col("_body"))))
+    error = F.when(F.col("_body") == "", "the model returned nothing").when(F.col("_v").isNull(), "the reply is not a JSON object").otherwise("")
+    out = with_record(parsed, "_r", "_v", "_f", texts_are_strings(F.col("_f")) & amounts_are_plain(F.col("_f"))).withColumn("error", error)
     return out.select(*[c for c in replies.columns if c not in (*TEXTS, *AMOUNTS, "error")], "error", "_r.*")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billoom.functions.scalars import base_name, text_of, trim
-from billoom.operators.replies import FIELDS, let, record
+from billoom.operators.replies import FIELDS, TEXTS, amounts_are_plain, fields_of, is_object, let, texts_are_strings, with_record
 
 
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -20,26 +22,41 @@ def broken(lines: DataFrame, column: str = "value") -> DataFrame:
     return parsed(lines, column).agg(F.count_if("is_bill").alias("bills"), F.count_if(~F.col("is_bill")).alias("broken"))
 
 
-def bill(line: Column) -> Column:
-    """A line's bill as a struct: the path falls back to the file's name, page and count to 1, the fields are cleaned."""
-    return let(F.try_parse_json(line), _bill)
+_TEXTS, _NUMBERS, _FLAGS = ("path", "file", "status", "error", "quality_warning"), ("bill", "bill_count", "extract_ms", "inference_ms"), ("has_text_layer", "from_cache")
+
 
+def with_bill(lines: DataFrame, column: str = "value", name: str = "bill") -> DataFrame:
+    """lines with a line's bill as a struct: the path falls back to the file's name, page and count to 1, the fields are cleaned.
 
-def _bill(v: Column) -> Column:
-    get = lambda k, t: F.try_variant_get(v, F.lit(f"$.{k}"), t)
+    A line that is none gives an empty bill: null in every field of its invoice, else what is said above for fields that are not there. A
+    line whose fields are of the types in which emitted() writes them is read as they stand, others are asked for their types.
+    """
+    f, v = F.col("_f"), F.col("_v")
+    rows = lines.withColumn("_v", F.try_parse_json(column)).withColumn("_f", fields_of(F.when(F.col("_v").isNotNull() & is_object(F.col(column)), F.col(column)), *_TEXTS, *_NUMBERS, *_FLAGS))
+    whole = F.concat_ws("\n", *[f[k] for k in _NUMBERS]).rlike(r"\A(?:(?:0|[1-9]\d{0,8})(?:\n|\z))*\z")
+    flags = F.concat_ws("\n", *[f[k] for k in _FLAGS]).rlike(r"\A(?:(?:true|false)(?:\n|\z))*\z")
+    plain = f.isNotNull() & texts_are_strings(f, (*TEXTS, *_TEXTS)) & amounts_are_plain(f) & whole & flags
+    rows = with_record(rows.withColumn("_as_read", plain), "_invoice", "_v", "_f", F.col("_as_read"))
+    own = F.when(F.col("_as_read"), _head(lambda k, t: f[k].try_cast(t))).otherwise(let(v, lambda x: _head(lambda k, t: F.try_variant_get(x, F.lit(f"$.{k}"), t))))
+    rows = rows.withColumn("_head", own)
+    return rows.withColumn(name, F.struct("_head.*", F.col("_invoice").alias("invoice"))).drop("_v", "_f", "_as_read", "_head", "_invoice")
+
+
+def _head(get: Callable[[str, str], Column]) -> Column:
+    """A bill without its invoice."""
     flag = lambda k: F.coalesce(get(k, "boolean"), F.lit(False))
     return F.struct(
         F.coalesce(F.nullif(text_of(get("path", "string")), F.lit("")), text_of(get("file", "string"))).alias("path"),
         F.coalesce(get("bill", "int"), F.lit(1)).alias("page"), F.coalesce(get("bill_count", "int"), F.lit(1)).alias("page_count"),
         F.when(get("status", "string") == "ok", "ok").otherwise("error").alias("status"), text_of(get("error", "string")).alias("error"), text_of(get("quality_warning", "string")).alias("quality_warning"),
         flag("has_text_layer").alias("has_text_layer"), flag("from_cache").alias("from_cache"),
-        F.coalesce(get("extract_ms", "bigint"), F.lit(0)).alias("extract_ms"), F.coalesce(get("inference_ms", "bigint"), F.lit(0)).alias("inference_ms"), record(v).alias("invoice"),
+        F.coalesce(get("extract_ms", "bigint"), F.lit(0)).alias("extract_ms"), F.coalesce(get("inference_ms", "bigint"), F.lit(0)).alias("inference_ms"),
     )
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every line of the files with is_bill, and bill where it is one."""
-    return parsed(spark.read.text(path)).withColumn("bill", F.when(F.col("is_bill"), bill(F.col("value"))))
+    return with_bill(parsed(spark.read.text(path))).withColumn("bill", F.when(F.col("is_bill"), F.col("bill")))
 
 
 def emitted(bills: DataFrame) -> DataFrame:
