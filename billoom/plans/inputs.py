@@ -104,7 +104,8 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     gross = F.when(k % 3 == 0, price).when(k % 3 == 1, F.concat(F.lit('"'), F.replace(price, F.lit("."), F.lit(",")), F.lit(' EUR"'))).otherwise("null")
     body = F.concat(F.lit('{"vendor": "'), vendor, F.lit('", "date": "'), choice(["2025-05-07", "17.07.25", "unknown"], k), F.lit('", "currency": "'), choice(["€", "PLN", "nil"], k), F.lit('", "iban": "AT 12 34", "net_total": true, "gross_total": '), gross, F.lit("}"))
     wrapped = F.concat(choice([a for a, _ in WRAPS], k), body, choice([z for _, z in WRAPS], k))
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(k % 17 == 0, "").when(k % 19 == 0, "no object here").when(k % 23 == 0, "[1, 2]").when(k % 29 == 0, "{broken}").otherwise(wrapped).alias("reply"))
+    # Parts are short rows in few pieces, their replies long work.
+    return table(spark, sf_dir, "part").select("p_partkey", "p_retailprice").repartition("p_partkey").select("p_partkey", F.when(k % 17 == 0, "").when(k % 19 == 0, "no object here").when(k % 23 == 0, "[1, 2]").when(k % 29 == 0, "{broken}").otherwise(wrapped).alias("reply"))
 
 
 REPLY_ROWS = f"""replies AS (SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 19 = 0 THEN 'no object here' WHEN p_partkey % 23 = 0 THEN '[1, 2]' WHEN p_partkey % 29 = 0 THEN '{{broken}}' ELSE

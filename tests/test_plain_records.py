@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from billoom.operators import replies
+from billoom.plans import queries
 from billoom.sources import ndjson
 
 VALUES = ['"A"', '"12"', "12", "-0", '"-0"', "1.190", '"1.190"', "1190.00", '"1190,00 EUR"', "1e3", '"1e3"', "true", '"true"', "null", "[1]", '"[1]"', '{"a": 1}', '""', '" n/a "', '"20250717"', '"17.07.25"', '"a\\n12"', "12345678901234567890", '"ü  "', '"EUR"']
@@ -31,3 +32,7 @@ def test_fields_as_they_stand(spark):
     assert len(told) > 300
     for r in told:
         assert repr([r[k] for k in (*replies.TEXTS, *replies.AMOUNTS)]) == repr(list(r["want"])), r["reply"]
+
+
+def test_replies_are_dealt_to_tasks(spark):
+    assert "Exchange hashpartitioning(p_partkey" in queries.QUERIES["json_reply"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
