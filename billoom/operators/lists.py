@@ -80,15 +80,18 @@ def compared(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return j.select("document", "bill", there.alias("found"), "vendor_ok", "date_ok", "currency_ok", "total_ok")
 
 
-def notifications(bills: DataFrame) -> DataFrame:
-    """(path, body): a line for each bill of a file in order of page, and its sum with a caveat where it is not complete."""
+def notifications(bills: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(path, body): a line for each bill of a file in order of page, and its sum with a caveat where it is not complete.
+
+    by: what tells a file, the path among it. A file's lines and sums come out of the same grouping.
+    """
     from .totals import coverage_text, file_sums
 
     name = render.base_name(F.col("path"))
-    rows = bills.withColumn("_n", F.count("*").over(Window.partitionBy("path")))
-    where = F.when(F.col("_n") > 1, F.concat(name, F.lit(" p"), F.col("page").cast("string"))).otherwise(name)
     text = F.when(F.coalesce(F.col("status") == "ok", F.lit(False)), render.summary(F.col("vendor"), F.col("date"), S.from_cents(F.col("gross_cents")), F.col("currency"))).otherwise(S.text_of(F.col("error")))
-    lines = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", F.concat(where, F.lit(": "), text).alias("line")))).alias("lines"))
+    files = file_sums(bills.filter("path IS NOT NULL"), by, lines=F.struct("page", text.alias("text"))).withColumn("_name", name)
+    several, name = F.col("present") > 1, F.col("_name")
+    # A line without its page's number stands without a line, as a null does.
+    line = lambda x: F.concat(name, F.when(several, F.concat(F.lit(" p"), x["page"].cast("string"))).otherwise(""), F.lit(": "), x["text"])
     total = F.concat(name, F.lit(": sum "), render.joined_money(F.col("parts")), F.when(F.col("complete"), "").otherwise(F.concat(F.lit(" ("), coverage_text(), F.lit(")"))))
-    sums = file_sums(bills).select("path", F.when(F.col("present") > 1, total).alias("total"))
-    return lines.join(sums, "path").select("path", F.concat_ws("\n", F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), "total").alias("body"))
+    return files.select("path", F.concat_ws("\n", F.array_join(F.transform("lines", line), "\n"), F.when(several, total)).alias("body"))

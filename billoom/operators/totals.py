@@ -46,18 +46,19 @@ def file_coverage(bills: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFram
     return a.withColumn("complete", complete(F.col("counted"), F.col("failed"), F.col("expected"))).drop("_pages")
 
 
-def file_sums(bills: DataFrame, by: tuple[str, ...] = ("path",), order: str = "page") -> DataFrame:
+def file_sums(bills: DataFrame, by: tuple[str, ...] = ("path",), order: str = "page", lines: Column | None = None) -> DataFrame:
     """file_coverage with parts array<struct<currency, cents>> in order of first sight, in one pass over the files.
 
-    First by file and currency, then by file: a file's pages meet in one place once.
+    First by file and currency, then by file: a file's pages meet in one place once. lines: what each bill gives, if asked for, as a sorted array of that name.
     """
+    inner, outer = ([], []) if lines is None else ([F.collect_list(lines).alias("lines")], [F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines")])
     part = bills.withColumn("_key", F.when(counts(), F.lower(code()))).groupBy(*by, "_key").agg(
-        F.count("*").alias("n"), F.max("page_count").alias("_pages"), F.count_if(~is_ok()).alias("_failed"), F.sum("gross_cents").alias("cents"), F.min_by(code(), order).alias("currency"), F.min(order).alias("at")
+        F.count("*").alias("n"), F.max("page_count").alias("_pages"), F.count_if(~is_ok()).alias("_failed"), F.sum("gross_cents").alias("cents"), F.min_by(code(), order).alias("currency"), F.min(order).alias("at"), *inner,
     )
     seen = F.col("_key").isNotNull()
     a = part.groupBy(*by).agg(
         F.sum("n").alias("present"), F.max("_pages").alias("_pages"), F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("counted"), F.sum("_failed").alias("failed"),
-        F.array_sort(F.collect_list(F.when(seen, F.struct("at", "currency", "cents")))).alias("parts"),
+        F.array_sort(F.collect_list(F.when(seen, F.struct("at", "currency", "cents")))).alias("parts"), *outer,
     )
     a = a.withColumn("parts", F.transform("parts", lambda p: F.struct(p["currency"].alias("currency"), p["cents"].alias("cents"))))
     a = a.withColumn("expected", F.greatest("_pages", "present").cast("bigint")).withColumn("unamounted", F.greatest(F.lit(0), F.col("present") - F.col("failed") - F.col("counted")).cast("bigint"))

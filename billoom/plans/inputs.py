@@ -28,13 +28,13 @@ def choice(values: list, key: Column) -> Column:
 def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as bills: an order is a file (file_id), its lines are pages. One shuffle, by order."""
     li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("file_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     gross = F.when(F.col("l_discount") == 0, None).when(F.col("l_tax") == 0, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
     failed = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 45)
-    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(failed, "error").otherwise("ok").alias("status"), gross.alias("gross"), choice(["EUR", "eur ", "USD", ""], F.col("l_suppkey")).alias("currency"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"))
+    rows = li.select(F.col("l_orderkey").alias("file_id"), "l_linenumber", "l_partkey", "l_suppkey", F.when(failed, "error").otherwise("ok").alias("status"), gross.alias("gross"), choice(["EUR", "eur ", "USD", ""], F.col("l_suppkey")).alias("currency"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"))
     return rows.select(
-        F.col("l_orderkey").alias("file_id"), F.row_number().over(w).alias("page"),
-        (F.count("*").over(Window.partitionBy("l_orderkey")) + F.when(F.col("l_orderkey") % 7 == 0, 2).otherwise(0)).alias("page_count"),
+        "file_id", F.row_number().over(w).alias("page"),
+        (F.count("*").over(Window.partitionBy("file_id")) + F.when(F.col("file_id") % 7 == 0, 2).otherwise(0)).alias("page_count"),
         "status", scalars.to_cents(F.col("gross")).alias("gross_cents"), "currency", "date", F.when(F.col("l_suppkey") % 9 == 0, "").otherwise(F.concat(F.lit("Vendor "), F.col("l_suppkey"))).alias("vendor"),
         F.when(F.col("status") == "error", "unreadable page").alias("error"),
     )

@@ -462,7 +462,7 @@ def bill_labels(spark, sf_dir):
   || CASE WHEN gross_cents IS NULL THEN '?' ELSE {Q.bare_money('gross_cents / 100.0::DOUBLE')} || ' ' || currency END ELSE 'unreadable page' END, chr(10) ORDER BY page) AS lines FROM (SELECT *, count(*) OVER (PARTITION BY file_id) AS n FROM bills) GROUP BY 1)
 SELECT '/inbox/' || file_id || '.pdf' AS path, lines || CASE WHEN present > 1 THEN chr(10) || file_id || '.pdf: sum ' || money || CASE WHEN complete THEN '' ELSE ' (' || {Q.COVERED} || ')' END ELSE '' END AS body FROM l JOIN sums USING (file_id)""")
 def notification(spark, sf_dir):
-    return lists.notifications(I.bills(spark, sf_dir).withColumn("path", I.path()))
+    return lists.notifications(I.bills(spark, sf_dir).withColumn("path", I.path()), ("file_id", "path"))
 
 
 @query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
