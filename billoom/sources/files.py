@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -224,39 +225,56 @@ def layout_rows(boxes: DataFrame, near: float = 1.0) -> DataFrame:
     not near c), heights are told apart where the sorted centres of a page step by more than ``near``: all that a chain of smaller steps
     joins is one height, read from the left (ties by right edge, then text).
 
-    Whether a box opens a new line depends on the line so far, so each page's boxes come in order and are folded one after the other;
-    pages are dealt to tasks, which hold a batch of boxes and a page's lines. Boxes without text, or with an edge that is null or NaN, don't count.
+    Whether a box opens a new line depends on the line so far, so each page's boxes come in order of their centres, sorted once, and are folded
+    one after the other, a height being put in order when it is whole; pages are dealt to tasks, which hold a batch of boxes, a height and
+    a page's lines. Boxes without text, or with an edge that is null or NaN, don't count.
     """
     mid = (F.col("y0") + F.col("y1")) / 2
     edges = F.col("x0") + F.col("x1") + F.col("y0") + F.col("y1")
-    rows = boxes.filter((trim(text_of(F.col("text"))) != "") & edges.isNotNull() & ~F.isnan(edges))
+    rows = boxes.filter(F.col("text").rlike(r"[^\s\p{Z}]") & edges.isNotNull() & ~F.isnan(edges))
     rows = rows.select("path", "page", "x0", "x1", trim(F.col("text")).alias("text"), mid.alias("mid"), F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")).alias("tall")).repartition("path", "page")
-    down = Window.partitionBy("path", "page").orderBy("mid")
-    step = F.when(F.col("mid") - F.lag("mid").over(down) > near, 1).otherwise(0)
-    rows = rows.withColumn("step", step).withColumn("height", F.sum("step").over(down))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, lines, mid, tall, right = None, [], 0.0, 1.0, 0.0
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lines, height, mid, tall, right, before, out = None, [], [], 0.0, 1.0, 0.0, 0.0, []
+
+        def settle() -> None:
+            nonlocal mid, tall, right
+            if len(height) > 1:
+                height.sort()
+            for x0, x1, text, m, t in height:
+                larger = t if t > tall else tall
+                if not lines or abs(m - mid) > 0.6 * larger:
+                    lines.append(text)
+                    mid, tall = m, t
+                else:
+                    lines[-1] += ("    " if x0 - right > 6 else " ") + text
+                    tall = larger
+                right = x1
+            height.clear()
+
+        def told() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["path", "page", "text"])
+            out.clear()
+            return batch
+
         for b in batches:
-            out = []
-            for r in b.itertuples():
-                key = (r.path, None if pd.isna(r.page) else int(r.page))
-                if key != now:
+            for path, page, x0, x1, text, m, t in zip(*[b.column(c).to_pylist() for c in ("path", "page", "x0", "x1", "text", "mid", "tall")], strict=True):
+                if (path, page) != now:
                     if now:
+                        settle()
                         out.append((*now, "\n".join(lines).strip()))
-                    now, lines = key, []
-                if not lines or abs(r.mid - mid) > 0.6 * max(tall, r.tall):
-                    lines.append(r.text)
-                    mid, tall = r.mid, r.tall
-                else:
-                    lines[-1] += ("    " if r.x0 - right > 6 else " ") + r.text
-                    tall = max(tall, r.tall)
-                right = r.x1
-            yield pd.DataFrame(out, columns=["path", "page", "text"]).astype({"page": "Int32"})
+                    now, lines = (path, page), []
+                elif m - before > near:
+                    settle()
+                height.append((x0, x1, text, m, t))
+                before = m
+            yield told()
         if now:
-            yield pd.DataFrame([(*now, "\n".join(lines).strip())], columns=["path", "page", "text"]).astype({"page": "Int32"})
+            settle()
+            out.append((*now, "\n".join(lines).strip()))
+            yield told()
 
-    return rows.sortWithinPartitions("path", "page", "height", "x0", "x1", "text").mapInPandas(fold, "path string, page int, text string")
+    return rows.sortWithinPartitions("path", "page", "mid").mapInArrow(fold, "path string, page int, text string")
 
 
 def orientation(data: bytes | None) -> int:
