@@ -91,7 +91,7 @@ def notifications(bills: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFram
     text = F.when(F.coalesce(F.col("status") == "ok", F.lit(False)), render.summary(F.col("vendor"), F.col("date"), S.from_cents(F.col("gross_cents")), F.col("currency"))).otherwise(S.text_of(F.col("error")))
     files = file_sums(bills.filter("path IS NOT NULL"), by, lines=F.struct("page", text.alias("text"))).withColumn("_name", name)
     several, name = F.col("present") > 1, F.col("_name")
-    # A line without its page's number stands without a line, as a null does.
+    # Where there are several, a bill without a page's number has no line.
     line = lambda x: F.concat(name, F.when(several, F.concat(F.lit(" p"), x["page"].cast("string"))).otherwise(""), F.lit(": "), x["text"])
     total = F.concat(name, F.lit(": sum "), render.joined_money(F.col("parts")), F.when(F.col("complete"), "").otherwise(F.concat(F.lit(" ("), coverage_text(), F.lit(")"))))
     return files.select("path", F.concat_ws("\n", F.array_join(F.transform("lines", line), "\n"), F.when(several, total)).alias("body"))
