@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import Scratch, default_partitions, few_rows, own_names
-from .wordcodes import coder, in_blocks
+from .wordcodes import BLOCK_CHARACTERS, coder, in_blocks
 
 CAPACITY = 4096
 END_ID = 1
@@ -233,7 +233,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         code = coder(vocabulary, "word")
         for b in few_rows(batches):
             docs, texts = b.column("doc_id"), b.column("text").to_pylist()
-            for at, block in in_blocks(texts):
+            for at, block in in_blocks(texts, BLOCK_CHARACTERS):
                 row, piece, start, size, crc, held = [], [], [], [], [], []
                 for k, ids in enumerate(code.ids(block)):
                     ids += end

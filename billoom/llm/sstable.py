@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, default_partitions, few_rows, open_store, write_whole
-from .wordcodes import coder, in_blocks
+from .wordcodes import BLOCK_CHARACTERS, coder, in_blocks
 
 MAGIC = b"BLSST001"
 FOOTER = struct.Struct("<QQQQQQ8s")
@@ -218,7 +218,7 @@ def write_tables(docs: DataFrame, vocabulary: str, end_id: int = END_ID, shards:
             table = TableWriter(stream)
             for b in few_rows(batches):
                 keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-                for at, block in in_blocks(texts):
+                for at, block in in_blocks(texts, BLOCK_CHARACTERS):
                     for doc, ids in zip(keys[at : at + len(block)], code.ids(block), strict=True):
                         key = key_of(doc)
                         if not ends:
