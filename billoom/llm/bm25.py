@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, load_arrays, save_arrays, search_pairs
+from .common import Scratch, give_back, load_arrays, save_arrays, search_pairs
 
 K1, B = 1.2, 0.75
 #: Bytes of text and documents at which a shard is closed.
@@ -37,6 +38,12 @@ SHARD_BYTES, SHARD_DOCS = 1 << 26, 1 << 16
 BLOCK = 64
 #: A query's terms are cut into groups where so much of their postings has been seen.
 GROUPS = (1 / 50, 1 / 10, 1)
+#: Bytes of texts whose words are numbered together, in building.
+SLICE_BYTES = 1 << 20
+#: Postings put in order at a time.
+RUN_POSTS = 1 << 19
+#: Blocks of postings that a query looks at together.
+RUN_BLOCKS = 1 << 12
 #: Bytes of query texts in a block.
 QUERY_BYTES = 1 << 22
 SCALE = float(1 << 24)
@@ -60,45 +67,93 @@ def _blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Builder:
-    """Collects documents until the shard is full; write() gives its manifest row."""
+    """Collects documents until the shard is full; write() gives its manifest row.
+
+    Words are cut and numbered in Arrow, a slice of texts at a time, and kept as numbers: no word of a text becomes a Python object.
+    """
 
     def __init__(self):
-        self.ids, self.lengths, self.vocabulary, self.terms, self.counts, self.bytes = [], [], {}, [], [], 0
+        self.ids, self.lengths, self.words, self.slices, self.n, self.bytes = [], [], [], [], 0, 0
 
     def add(self, doc_id: int, text: str | None) -> None:
-        got, number = Counter(words(text)), self.vocabulary
-        self.terms.append(np.fromiter((number.setdefault(w, len(number)) for w in got), np.int32, len(got)))
-        self.counts.append(np.fromiter(got.values(), np.int32, len(got)))
-        self.ids.append(doc_id)
-        self.lengths.append(int(self.counts[-1].sum()))
-        self.bytes += len(text or "")
+        self.extend(pa.array([doc_id], pa.int64()), pa.array([text], pa.string()))
+
+    def extend(self, ids: pa.Array, texts: pa.Array, shard_bytes: int = SHARD_BYTES) -> int:
+        """Take documents from the front, to the end of a slice or until the shard is full; their number."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        n = min(len(ids), SHARD_DOCS - self.n, 1 + int(np.searchsorted(ends, min(SLICE_BYTES, shard_bytes - self.bytes))))
+        # Arrow's own lower-casing (23.0) goes wrong on slices of large strings.
+        low = _bytes(pc.fill_null(texts.slice(0, n).cast(pa.large_binary()), b"")).tobytes().translate(LOWER)
+        cut = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.concatenate([[0], ends[:n]])), pa.py_buffer(low)))
+        flat, doc = cut.flatten(), pc.list_parent_indices(cut).to_numpy()
+        there = pc.not_equal(flat, "")  # white space at either end of a text leaves an empty word
+        coded, doc = flat.filter(there).dictionary_encode(), doc[there.to_numpy(zero_copy_only=False)]
+        held, counts = np.unique(doc * len(flat) + coded.indices.to_numpy(), return_counts=True)
+        doc_of, term = np.divmod(held, max(1, len(flat)))
+        self.slices.append(((self.n + doc_of).astype(np.uint16), term.astype(np.int32), _small(counts)))
+        self.words.append(coded.dictionary.cast(pa.binary()))
+        self.ids.append(np.array(ids.slice(0, n)))  # a copy: a view would hold the whole batch, texts and all
+        self.lengths.append(np.bincount(doc, minlength=n))
+        self.n, self.bytes = self.n + n, self.bytes + int(ends[n - 1])
+        return n
+
+    def full(self, shard_bytes: int) -> bool:
+        return self.bytes >= shard_bytes or self.n == SHARD_DOCS
 
     def write(self, folder: str) -> tuple[str, int, int]:
+        """Writes the shard and gives up what was collected."""
+        give_back()
         # Documents of like length stand together: a block's least length is then near that of all in it, and its maximum tight.
-        by = np.argsort(np.array(self.lengths, np.int64), kind="stable").tolist()
-        self.ids, self.lengths, self.terms, self.counts = ([x[k] for k in by] for x in (self.ids, self.lengths, self.terms, self.counts))
-        names = sorted(self.vocabulary)
-        place = np.empty(len(names), np.int32)
-        place[np.fromiter((self.vocabulary[w] for w in names), np.int64, len(names))] = np.arange(len(names), dtype=np.int32)
-        docs = np.repeat(np.arange(len(self.ids), dtype=np.uint16), [len(t) for t in self.terms])
-        term = place[np.concatenate(self.terms)] if names else np.empty(0, np.int32)
-        order = np.argsort(term, kind="stable")
-        sizes, lengths = np.bincount(term, minlength=len(names)), np.array(self.lengths, np.int64)
-        counts = np.concatenate(self.counts)[order] if names else np.empty(0, np.int32)
+        lengths = np.concatenate(self.lengths)
+        by = np.argsort(lengths, kind="stable")
+        ids, lengths, rank = np.concatenate(self.ids)[by], _small(lengths[by]), np.empty(self.n, np.uint16)
+        rank[by] = np.arange(self.n, dtype=np.uint16)
+        # The slices' words to places in one sorted dictionary.
+        firsts = np.cumsum([0, *map(len, self.words)]).tolist()
+        coded, self.words = pa.concat_arrays(self.words), []
+        coded = coded.dictionary_encode()
+        sort = pc.array_sort_indices(coded.dictionary)
+        place = np.empty(len(sort), np.int32)
+        place[sort.to_numpy()] = np.arange(len(sort), dtype=np.int32)
+        names, place = coded.dictionary.take(sort), place[coded.indices.to_numpy()]
+        del coded, sort
+        n = sum(len(s[0]) for s in self.slices)
+        docs, term, counts = np.empty(n, np.uint16), np.empty(n, np.int32), np.empty(n, np.result_type(np.uint8, *(s[2] for s in self.slices)))
+        at = 0
+        for k, (d, t, c) in enumerate(self.slices):
+            z = at + len(d)
+            docs[at:z], term[at:z], counts[at:z], self.slices[k] = rank[d], place[firsts[k] + t], c, None
+            at = z
+        del place
+        # Postings by term, then document: terms of some RUN_POSTS postings at a time, for all at once their order takes more room than they do.
+        sizes = sum((np.bincount(term[a : a + RUN_POSTS], minlength=len(names)) for a in range(0, n, RUN_POSTS)), np.zeros(len(names), np.int64))
+        seen, at = np.cumsum(sizes), 0
+        to_docs, to_counts = np.empty_like(docs), np.empty_like(counts)
+        cuts = np.unique(np.searchsorted(seen, np.arange(0, n + RUN_POSTS, RUN_POSTS), side="left")).tolist()
+        for a, z in zip(cuts, [*cuts[1:], len(names)], strict=True):
+            some = np.flatnonzero((term >= a) & (term < z))
+            some = some[np.argsort(term[some].astype(np.int64) << 16 | docs[some])]
+            to_docs[at : at + len(some)], to_counts[at : at + len(some)] = docs[some], counts[some]
+            at += len(some)
+        del term
+        docs, counts = to_docs, to_counts
         at = _blocks(sizes)[0]
         parts = {
-            "ids": np.array(self.ids, np.int64),
-            "lengths": _small(lengths),
-            "names": np.frombuffer(b" ".join(names), np.uint8),
+            "ids": ids,
+            "lengths": lengths,
+            "names": _bytes(names.cast(pa.large_binary())),
+            "name_sizes": _small(pc.binary_length(names).to_numpy()),
             "sizes": _small(sizes),
-            "docs": docs[order],
-            "counts": _small(counts),
+            "docs": docs,
+            "counts": counts,
             "block_count": _small(np.maximum.reduceat(counts, at) if len(at) else counts),
-            "block_length": _small(np.minimum.reduceat(lengths[docs[order]], at) if len(at) else counts),
+            "block_length": _small(np.minimum.reduceat(lengths[docs], at) if len(at) else counts),
         }
         path = f"{folder}/{uuid.uuid4().hex}.npz"
         save_arrays(path, **parts)
-        return path, len(self.ids), sum(self.lengths)
+        del names, docs, counts, to_docs, to_counts, parts
+        give_back()
+        return path, self.n, int(lengths.sum(dtype=np.int64))
 
 
 def build(docs: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -108,12 +163,14 @@ def build(docs: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) ->
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, now = [], Builder()
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                now.add(doc_id, text)
-                if now.bytes >= shard_bytes or len(now.ids) == SHARD_DOCS:
+            ids, texts = b.column("doc_id"), b.column("text")
+            while len(ids):
+                n = now.extend(ids, texts, shard_bytes)
+                ids, texts = ids.slice(n), texts.slice(n)
+                if now.full(shard_bytes):
                     done.append(now.write(folder))
                     now = Builder()
-        if now.ids:
+        if now.n:
             done.append(now.write(folder))
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "n_docs", "n_words"])
 
@@ -129,9 +186,28 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _dictionary(shard) -> dict[bytes, int]:
-    names = shard["names"].tobytes()
-    return {w: k for k, w in enumerate(names.split(b" "))} if names else {}
+def _bytes(names: pa.LargeBinaryArray) -> np.ndarray:
+    """The names end to end."""
+    ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    return np.frombuffer(names.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def _names(shard) -> pa.LargeBinaryArray:
+    """A shard's dictionary, sorted."""
+    sizes = shard["name_sizes"]
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(shard["names"])])
+
+
+def _dictionary(shard, asked: list[bytes] | None = None) -> dict[bytes, int]:
+    """Places of all words of a shard, or of those asked that it holds."""
+    names = _names(shard)
+    if asked is None:
+        return {w: k for k, w in enumerate(names.to_pylist())}
+    # A table of the asked words alone: a shard has many more.
+    of = pc.fill_null(pc.index_in(names, pa.array(asked, pa.large_binary())), -1).to_numpy()
+    there = np.flatnonzero(of >= 0)
+    return {asked[of[k]]: k for k in there.tolist()}
 
 
 class Shard:
@@ -161,7 +237,8 @@ class Shard:
         self.idf = np.repeat(idf[there], mine)
         self.most = self._scores(self.idf, shard["block_count"][which], K1 * (1 - B + B * shard["block_length"][which].astype(np.float64) / average))
         self.first, self.last = self.docs[self.posts].astype(np.int64), self.docs[self.posts + self.lengths - 1].astype(np.int64)
-        self.adds, self.scored = np.empty(int(self.lengths.sum())), np.zeros(len(which), bool)
+        # A posting's score is below ln(2 N + 2) (k1 + 1) 2^24, under 2^31 for N below 10^24.
+        self.adds, self.scored = np.empty(int(self.lengths.sum()), np.int32), np.zeros(len(which), bool)
         self.blocks = {"offered": 0, "visited": 0, "scored": 0}
         unique, self.of = np.unique(self.ids, return_inverse=True)
         self.repeats = len(unique) if len(unique) < len(self.ids) else 0
@@ -216,10 +293,11 @@ class Shard:
             upto = np.concatenate([[0], np.cumsum(alive)])
             used = upto[self.last[blocks] + 1] > upto[self.first[blocks]]
             blocks, q = blocks[used], q[used]
-            at_doc, adds = self.visit(blocks)
-            if (q != 1).any():
-                adds *= np.repeat(q, self.lengths[blocks])
-            score += np.bincount(at_doc, adds, n)
+            # A long query's postings are looked at in runs of blocks: all at once they can be those of the whole shard.
+            for a in range(0, len(blocks), RUN_BLOCKS):
+                run, of = blocks[a : a + RUN_BLOCKS], q[a : a + RUN_BLOCKS]
+                at_doc, adds = self.visit(run)
+                score += np.bincount(at_doc, adds * np.repeat(of, self.lengths[run]) if (of != 1).any() else adds, n)
             score[~alive] = 0
             rest = rest - at
             least = max(least, self._kth(score, k))
@@ -266,9 +344,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
         for b in batches:
             for path in b.column("path").to_pylist():
                 shard = load_arrays(path)
-                names, sizes = shard["names"].tobytes().split(b" "), shard["sizes"].astype(np.int64)
+                names, sizes, shard = _names(shard), shard["sizes"].astype(np.int64), None
                 for at in range(0, len(sizes), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + (1 << 16)], pa.binary()), pa.array(sizes[at : at + (1 << 16)])], ["word", "df"])
+                    yield pa.RecordBatch.from_arrays([names[at : at + (1 << 16)].cast(pa.binary()), pa.array(sizes[at : at + (1 << 16)])], ["word", "df"])
+        names = None
+        give_back()
 
     def weigh(key, t):
         block, df = key[0].as_py(), np.zeros(t.num_rows, np.int64)
@@ -285,19 +365,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
     written = {r["block"] for r in scratch.keep(weighed.groupBy("block").applyInArrow(weigh, "block long"), "weighed").collect()}  # a row for each block
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shard, number = None, None, {}
+        now, shard = None, None
         best: dict[int, tuple[np.ndarray, list]] = {}
         for b in batches:
             for path, block in zip(b.column("path").to_pylist(), b.column("block").to_pylist(), strict=True):
                 if block not in written:
                     continue
+                here = None  # one shard and one block at a time
                 if path != now:
-                    now, f = path, load_arrays(path)
-                    shard = {k: f[k] for k in f.files}
-                    number = _dictionary(shard)
-                q = load_arrays(f"{folder}/queries-{block}.npz")
-                ids, ends, terms, weights = q["ids"], q["ends"], q["terms"], q["weights"]
-                here = Shard(shard, number, q["names"].tobytes().split(b" "), load_arrays(f"{folder}/idf-{block}.npz")["idf"], average)
+                    now, shard = path, None
+                    give_back()
+                    shard = dict(load_arrays(path))
+                q = dict(load_arrays(f"{folder}/queries-{block}.npz"))
+                ids, ends, terms, weights, words_asked = q["ids"], q["ends"], q["terms"], q["weights"], q["names"].tobytes().split(b" ")
+                here = Shard(shard, _dictionary(shard, words_asked), words_asked, load_arrays(f"{folder}/idf-{block}.npz")["idf"], average)
                 held = best.setdefault(block, (ids, [(np.empty(0, np.int64), np.empty(0))] * len(ids)))[1]
                 for at, own in enumerate(ids.tolist()):
                     i, scores = held[at]
@@ -306,6 +387,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
                     order = np.lexsort((i, -scores))
                     order = order[np.sort(np.unique(i[order], return_index=True)[1])][:k]
                     held[at] = i[order], scores[order]
+        shard = here = None
+        give_back()
         for of, held in best.values():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(of, [len(h[0]) for h in held])), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]) / SCALE)], ["query_id", "doc_id", "score"])
 

@@ -124,6 +124,14 @@ def load_arrays(uri: str):
         return np.load(io.BytesIO(stream.read()))
 
 
+def give_back() -> None:
+    """Memory that this worker holds and does not use, to the system: workers are kept for later tasks, and count while they wait."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # malloc's, so numpy's too
+
+
 #: Query blocks that follow one another on a shard in one task.
 BLOCKS_A_TASK = 2
 
