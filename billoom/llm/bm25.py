@@ -4,7 +4,7 @@ A shard is one file: its documents' ids and lengths, a sorted dictionary, for ea
 that hold it with their counts, in document order and blocks of 64, and of each block the greatest count and the length of its
 shortest document. Shards are cut from the input's own partitions, so building shuffles nothing. Document
 frequencies are added up over all shards' dictionaries before any is searched, so a shard's scores are those of one
-index over everything. Queries are parsed into files, a block of them each; the driver sees numbers of blocks alone.
+index over everything. Queries are parsed into files, a block of them each; the driver sees numbers of blocks and names of shards alone.
 
 Under the global statistics a block's greatest count and least length give its maximum (a bound: BM25 rises with the count and
 falls with the length). A search walks a query's terms in groups, rare ones first, holding exact partial scores. A
@@ -13,6 +13,10 @@ bound) reaches the k-th best partial score; blocks without such a document are s
 nor scored. Groups of terms stand for single cursors, so that the steps are array operations. Ties with the k-th
 stay, so the answer is that of scoring everything.
 
+The bounds of many words together reach the k-th score nearly everywhere, so a long query's postings are all added up.
+Queries that share words stand together; the words that many of them and of a shard's documents have are added for
+all of them at once, as a product of two matrices, the others posting by posting.
+
 A term adds qtf * idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)), idf = ln(1 + (N - df + 0.5) / (df + 0.5)), with all but
 qtf rounded to a multiple of 2^-24: sums are then exact in doubles, in any order.
 """
@@ -30,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, load_arrays, save_arrays, search_pairs
+from .common import Scratch, give_back, load_arrays, save_arrays
 
 K1, B = 1.2, 0.75
 #: Bytes of text and documents at which a shard is closed.
@@ -44,8 +48,20 @@ SLICE_BYTES = 1 << 20
 RUN_POSTS = 1 << 19
 #: Blocks of postings that a query looks at together.
 RUN_BLOCKS = 1 << 12
+#: Shards that a task searches one after another, at most.
+SHARDS_A_TASK = 16
 #: Bytes of query texts in a block.
 QUERY_BYTES = 1 << 22
+#: A query of more different words is long: nearly every block of its words can hold one of the best, so they are all added up, without bounds.
+LONG = 8
+#: Long queries that are searched together.
+RUN_QUERIES = 128
+#: Terms that so large a share of all pairs of a run's queries and a shard's documents have are added by a product of matrices, in which a pair costs as much less than a posting.
+COMMON = 1 / 60
+#: Bytes of the scores of those terms in a shard, and of the scores of a run's queries.
+MATRIX_BYTES = 1 << 25
+#: Words that tell kinds of queries apart, most kinds, rounds of k-means, and queries that are looked at for it and at a time.
+KIND_WORDS, KINDS, KIND_ROUNDS, KIND_SAMPLE = 256, 8, 8, 1 << 11
 SCALE = float(1 << 24)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -186,6 +202,15 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of things that end at ``ends``, with no more than ``most`` in each but for single ones."""
+    a = 0
+    while a < len(ends):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, z
+        a = z
+
+
 def _bytes(names: pa.LargeBinaryArray) -> np.ndarray:
     """The names end to end."""
     ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
@@ -201,24 +226,58 @@ def _names(shard) -> pa.LargeBinaryArray:
 
 def _dictionary(shard, asked: list[bytes] | None = None) -> dict[bytes, int]:
     """Places of all words of a shard, or of those asked that it holds."""
-    names = _names(shard)
     if asked is None:
-        return {w: k for k, w in enumerate(names.to_pylist())}
+        return {w: k for k, w in enumerate(_names(shard).to_pylist())}
+    return {w: k for w, k in zip(asked, _places(shard, asked).tolist(), strict=True) if k >= 0}
+
+
+def _places(shard, asked: list[bytes]) -> np.ndarray:
+    """The place of each asked word in a shard's dictionary, -1 where it is not in it."""
     # A table of the asked words alone: a shard has many more.
-    of = pc.fill_null(pc.index_in(names, pa.array(asked, pa.large_binary())), -1).to_numpy()
-    there = np.flatnonzero(of >= 0)
-    return {asked[of[k]]: k for k in there.tolist()}
+    of = pc.fill_null(pc.index_in(_names(shard), pa.array(asked, pa.large_binary())), -1).to_numpy()
+    there, place = np.flatnonzero(of >= 0), np.full(len(asked), -1)
+    place[of[there]] = there
+    return place
+
+
+def _alike(terms: list[np.ndarray], n_words: int) -> np.ndarray:
+    """An order of queries by kind, by k-means over the commonest of their words, and of a kind by length: those that stand together share more words."""
+    column = np.full(n_words, -1)
+    common = np.argsort(-np.bincount(np.concatenate([*terms, np.empty(0, np.int64)]), minlength=n_words), kind="stable")[:KIND_WORDS]
+    column[common] = np.arange(len(common))
+
+    def rows(some: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(some), len(common)))
+        for row, t in zip(x, some, strict=True):
+            at = column[t]
+            row[at[at >= 0]] = 1
+        return x / np.maximum(1, np.sqrt(x.sum(axis=1, keepdims=True)))
+
+    x = rows(terms[:: -(-len(terms) // KIND_SAMPLE)])
+    x = x[x.any(axis=1)]
+    centres = x[:1]
+    while 0 < len(centres) < KINDS:  # each the farthest from those before
+        near = (x @ centres.T).max(axis=1)
+        if near.min() > 0.99:
+            break
+        centres = np.concatenate([centres, x[near.argmin()][None]])
+    for _ in range(KIND_ROUNDS if len(x) else 0):
+        kind = (x @ centres.T).argmax(axis=1)
+        centres = np.stack([x[kind == k].sum(axis=0) for k in range(len(centres))])
+        centres /= np.maximum(1e-9, np.sqrt((centres**2).sum(axis=1, keepdims=True)))
+    kind = [(rows(terms[a : a + KIND_SAMPLE]) @ centres.T).argmax(axis=1) for a in range(0, len(terms), KIND_SAMPLE) if len(x)]
+    return np.lexsort((np.array(list(map(len, terms))), np.concatenate(kind) if kind else np.zeros(len(terms))))
 
 
 class Shard:
     """The asked terms in one shard: their block maxima under global statistics, and the scaled scores of the blocks that were visited.
 
-    ``blocks`` counts blocks: offered to queries, visited by them, and different ones scored.
+    ``blocks`` counts blocks: offered to queries, visited by them, and different ones scored; ``added`` the postings that were added one by one to a long query's scores.
     """
 
-    def __init__(self, shard, number: dict[bytes, int], asked: list[bytes], idf: np.ndarray, average: float):
+    def __init__(self, shard, number: dict[bytes, int] | np.ndarray, asked: list[bytes], idf: np.ndarray, average: float):
         self.ids, sizes = shard["ids"], shard["sizes"].astype(np.int64)
-        place = np.array([number.get(w, -1) for w in asked], np.int64)
+        place = number if isinstance(number, np.ndarray) else np.array([number.get(w, -1) for w in asked], np.int64)
         there = np.flatnonzero(place >= 0)
         self.sizes = np.zeros(len(asked), np.int64)
         self.sizes[there] = sizes[place[there]]
@@ -239,9 +298,11 @@ class Shard:
         self.first, self.last = self.docs[self.posts].astype(np.int64), self.docs[self.posts + self.lengths - 1].astype(np.int64)
         # A posting's score is below ln(2 N + 2) (k1 + 1) 2^24, under 2^31 for N below 10^24.
         self.adds, self.scored = np.empty(int(self.lengths.sum()), np.int32), np.zeros(len(which), bool)
-        self.blocks = {"offered": 0, "visited": 0, "scored": 0}
-        unique, self.of = np.unique(self.ids, return_inverse=True)
-        self.repeats = len(unique) if len(unique) < len(self.ids) else 0
+        self.blocks, self.added = {"offered": 0, "visited": 0, "scored": 0}, 0
+        self.unique, self.at_unique, self.of = np.unique(self.ids, return_index=True, return_inverse=True)
+        self.repeats = len(self.unique) if len(self.unique) < len(self.ids) else 0
+        #: Of each asked term its first score here; the documents beside the scores, once all are scored, and arrays that are used again: new memory costs more than what is done in it.
+        self.add_at, self.asked_docs, self.room, self.matrices = np.cumsum(self.sizes) - self.sizes, None, (np.empty(0),) * 4, (np.empty(0),) * 2
 
     @staticmethod
     def _scores(idf: np.ndarray, tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -259,6 +320,20 @@ class Shard:
         sizes = self.lengths[blocks]
         return self.docs[_ranges(self.posts[blocks], sizes)].astype(np.int64), self.adds[_ranges(self.starts[blocks], sizes)]
 
+    def _score_all(self) -> None:
+        """Score all blocks, and lay their documents beside the scores."""
+        if self.asked_docs is not None:
+            return
+        self.asked_docs = np.empty(len(self.adds), np.uint16)
+        for a in range(0, len(self.posts), RUN_BLOCKS):
+            sizes = self.lengths[a : a + RUN_BLOCKS]
+            idx = _ranges(self.posts[a : a + RUN_BLOCKS], sizes)
+            docs, into = self.docs[idx], slice(int(self.starts[a]), int(self.starts[a]) + len(idx))
+            self.asked_docs[into] = docs
+            self.adds[into] = self._scores(np.repeat(self.idf[a : a + RUN_BLOCKS], sizes), self.counts[idx], self.norm[docs])
+        self.blocks["scored"] += int((~self.scored).sum())
+        self.scored[:] = True
+
     def _kth(self, scores: np.ndarray, k: int) -> float:
         """The k-th best score of different ids, 0 if there are fewer."""
         if self.repeats:
@@ -308,6 +383,107 @@ class Shard:
             best = best[np.sort(np.unique(self.ids[best], return_index=True)[1])]
         return self.ids[best[:k]], score[best[:k]]
 
+    def _best(self, score: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best of all documents' scores, as search() gives them."""
+        if self.repeats:
+            at = np.flatnonzero((score >= max(least, self._kth(score, k))) & (score > 0))
+        else:
+            # k runs of documents with a best of so much: the k-th best document has no less.
+            whole = len(score) // BLOCK * BLOCK
+            most = score[:whole].reshape(-1, BLOCK).max(axis=1)
+            if len(most) >= k:
+                least = max(least, np.partition(most, len(most) - k)[len(most) - k])
+            at = np.concatenate([_ranges(BLOCK * (runs := np.flatnonzero(most >= least)), np.full(len(runs), BLOCK)), np.arange(whole, len(score))])
+            at = at[(score[at] >= least) & (score[at] > 0)]
+        at = at[np.lexsort((self.ids[at], -score[at]))]
+        if self.repeats:
+            at = at[np.sort(np.unique(self.ids[at], return_index=True)[1])]
+        return self.ids[at[:k]], score[at[:k]]
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray, int, float]], k: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+        """(its number, what search() finds) of each (terms, weights, own, least)."""
+        long = []
+        for at, q in enumerate(queries):
+            if len(q[0]) > LONG:
+                long.append(at)
+            else:
+                yield at, self.search(*q[:3], k, q[3])
+        for a in range(0, len(long), RUN_QUERIES):
+            run = long[a : a + RUN_QUERIES]
+            yield from zip(run, self.search_long([queries[at] for at in run], k), strict=True)
+
+    def search_long(self, queries: list[tuple[np.ndarray, np.ndarray, int, float]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """search() of each (terms, weights, own, least), all postings added up.
+
+        Terms that many of these queries and documents have are added for all of them at once, by a product of matrices
+        of whole numbers; it is exact in doubles, as any other sum of them.
+        """
+        self._score_all()
+        n, pairs = len(self.ids), np.bincount(np.concatenate([q[0] for q in queries]), minlength=len(self.sizes)) * self.sizes
+        common = np.flatnonzero(pairs > COMMON * len(queries) * n)
+        common = common[np.argsort(-pairs[common], kind="stable")[: MATRIX_BYTES // (8 * n)]]
+        column = np.full(len(self.sizes), -1)
+        column[common] = np.arange(len(common))
+        some = max(1, min(len(queries), MATRIX_BYTES // (8 * n)))
+        self.matrices = tuple(old if len(old) >= cells else np.empty(cells) for old, cells in zip(self.matrices, (len(common) * n, some * n), strict=True))
+        adds, scores = (m[: rows * n].reshape(rows, n) for m, rows in zip(self.matrices, (len(common), some), strict=True))
+        adds[:] = 0
+        for row, at, size in zip(adds, self.add_at[common].tolist(), self.sizes[common].tolist(), strict=True):
+            row[self.asked_docs[at : at + size]] = self.adds[at : at + size]
+        for a in range(0, len(queries), some):
+            run = queries[a : a + some]
+            asks = np.zeros((len(run), len(common)))
+            for row, (terms, weights, _, _) in zip(asks, run, strict=True):
+                there = column[terms] >= 0
+                row[column[terms[there]]] = weights[there]
+            for score, (terms, weights, own, least) in zip(np.matmul(asks, adds, out=scores[: len(run)]), run, strict=True):
+                there = (column[terms] < 0) & (self.sizes[terms] > 0)
+                self._add(score, terms[there], weights[there])
+                self._drop(score, own)
+                yield self._best(score, k, least)
+
+    def _drop(self, score: np.ndarray, own: int) -> None:
+        at = int(np.searchsorted(self.unique, own))
+        if at < len(self.unique) and self.unique[at] == own:
+            score[self.at_unique[at]] = 0
+            if self.repeats:
+                score[self.ids == own] = 0
+
+    def _add(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Add all postings of terms."""
+        order = np.argsort(weights, kind="stable")
+        terms, weights = terms[order], weights[order]
+        ends = np.cumsum(self.sizes[terms])
+        for a, z in _runs(ends, RUN_POSTS):
+            sizes, starts = self.sizes[terms[a:z]], self.add_at[terms[a:z]]
+            first = np.cumsum(sizes) - sizes
+            m = int(sizes.sum())
+            self.added += m
+            if len(self.room[0]) < m:
+                self.room = np.empty(m, np.int64), np.empty(m, np.uint16), np.empty(m, np.int32), np.empty(m)
+            at, docs, adds, more = (x[:m] for x in self.room)
+            at[:] = 1  # as _ranges(starts, sizes)
+            at[first] = starts
+            at[first[1:]] -= starts[:-1] + sizes[:-1] - 1
+            np.cumsum(at, out=at)
+            np.take(self.asked_docs, at, out=docs, mode="clip")
+            np.take(self.adds, at, out=adds, mode="clip")
+            more[:] = adds
+            if (many := a + int(np.searchsorted(weights[a:z], 1, side="right"))) < z:
+                more[first[many - a] :] *= np.repeat(weights[many:z], sizes[many - a :])
+            np.add.at(score, docs, more)
+
+
+def _dealt(manifest: DataFrame, blocks: int) -> DataFrame:
+    """(path, block) for each shard and block of queries; a task has one block and a run of shards, so it gives a block's best of all of them."""
+    spark = manifest.sparkSession
+    paths = sorted(r["path"] for r in manifest.select("path").collect())
+    run = min(SHARDS_A_TASK, max(1, len(paths) * blocks // (8 * spark.sparkContext.defaultParallelism)))
+    shards = spark.createDataFrame([(p, n // run) for n, p in enumerate(paths)], "path string, run long")
+    runs = -(-len(paths) // run)
+    pairs = shards.select("path", "run", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return pairs.repartitionById(runs * blocks, (F.col("block") * runs + F.col("run")).cast("int")).select("path", "block").sortWithinPartitions("path")
+
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, doc_id, score): for each row of queries(doc_id, text) the k best of docs(doc_id, text) by BM25, exactly.
@@ -330,14 +506,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
     def parse(key, t):
         """A block's queries to a file; its words, numbered, come out."""
         number: dict[bytes, int] = {}
-        terms, weights, ends = [], [], [0]
+        terms, weights = [], []
         for text in t.column("text").to_pylist():
             got = Counter(words(text))
             terms.append(np.fromiter((number.setdefault(w, len(number)) for w in got), np.int64, len(got)))
             weights.append(np.fromiter(got.values(), np.float64, len(got)))
-            ends.append(ends[-1] + len(got))
-        block = key[0].as_py()
-        save_arrays(f"{folder}/queries-{block}.npz", ids=t.column("doc_id").to_numpy(), ends=np.array(ends), terms=np.concatenate(terms), weights=np.concatenate(weights), names=np.frombuffer(b" ".join(number), np.uint8))
+        block, order = key[0].as_py(), _alike(terms, len(number))
+        terms, weights = [terms[k] for k in order], [weights[k] for k in order]
+        ends = np.cumsum([0, *map(len, terms)])
+        save_arrays(f"{folder}/queries-{block}.npz", ids=t.column("doc_id").to_numpy()[order], ends=ends, terms=np.concatenate(terms), weights=np.concatenate(weights), names=np.frombuffer(b" ".join(number), np.uint8))
         return pa.table({"block": pa.array([block] * len(number), pa.int64()), "n": pa.array(range(len(number)), pa.int64()), "word": pa.array(list(number), pa.binary())})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,34 +542,35 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
     written = {r["block"] for r in scratch.keep(weighed.groupBy("block").applyInArrow(weigh, "block long"), "weighed").collect()}  # a row for each block
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shard = None, None
+        now, q = None, None
         best: dict[int, tuple[np.ndarray, list]] = {}
         for b in batches:
             for path, block in zip(b.column("path").to_pylist(), b.column("block").to_pylist(), strict=True):
                 if block not in written:
                     continue
-                here = None  # one shard and one block at a time
-                if path != now:
-                    now, shard = path, None
-                    give_back()
-                    shard = dict(load_arrays(path))
-                q = dict(load_arrays(f"{folder}/queries-{block}.npz"))
-                ids, ends, terms, weights, words_asked = q["ids"], q["ends"], q["terms"], q["weights"], q["names"].tobytes().split(b" ")
-                here = Shard(shard, _dictionary(shard, words_asked), words_asked, load_arrays(f"{folder}/idf-{block}.npz")["idf"], average)
-                held = best.setdefault(block, (ids, [(np.empty(0, np.int64), np.empty(0))] * len(ids)))[1]
-                for at, own in enumerate(ids.tolist()):
-                    i, scores = held[at]
-                    more = here.search(terms[ends[at] : ends[at + 1]], weights[ends[at] : ends[at + 1]], own, k, scores[-1] if len(i) == k else 0.0)
-                    i, scores = np.concatenate([i, more[0]]), np.concatenate([scores, more[1]])
-                    order = np.lexsort((i, -scores))
-                    order = order[np.sort(np.unique(i[order], return_index=True)[1])][:k]
-                    held[at] = i[order], scores[order]
-        shard = here = None
+                shard = here = None  # one shard and one block at a time
+                if block != now:
+                    now, q = block, None
+                    q = dict(load_arrays(f"{folder}/queries-{block}.npz")) | dict(load_arrays(f"{folder}/idf-{block}.npz"))
+                    q["names"] = q["names"].tobytes().split(b" ")
+                give_back()
+                shard = dict(load_arrays(path))
+                here = Shard(shard, _places(shard, q["names"]), q["names"], q["idf"], average)
+                held = best.setdefault(block, (q["ids"], [(np.empty(0, np.int64), np.empty(0))] * len(q["ids"])))[1]
+                del shard["names"], shard["name_sizes"]
+                asks = [(q["terms"][a:z], q["weights"][a:z], own, float(h[1][-1]) if len(h[0]) == k else 0.0) for a, z, own, h in zip(q["ends"][:-1].tolist(), q["ends"][1:].tolist(), q["ids"].tolist(), held, strict=True)]
+                for at, (ids, scores) in here.search_all(asks, k):
+                    if len(ids):
+                        ids, scores = np.concatenate([held[at][0], ids]), np.concatenate([held[at][1], scores])
+                        order = np.lexsort((ids, -scores))
+                        order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+                        held[at] = ids[order], scores[order]
+        shard = here = q = None
         give_back()
         for of, held in best.values():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(of, [len(h[0]) for h in held])), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]) / SCALE)], ["query_id", "doc_id", "score"])
 
-    out = search_pairs(manifest, blocks).mapInArrow(scan, "query_id long, doc_id long, score double")
+    out = _dealt(manifest, blocks).mapInArrow(scan, "query_id long, doc_id long, score double")
     best = out.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= k)
     return scratch.keep(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "found")
