@@ -51,7 +51,7 @@ RUN_BLOCKS = 1 << 12
 #: Shards that a task searches one after another, at most.
 SHARDS_A_TASK = 16
 #: Bytes of query texts in a block.
-QUERY_BYTES = 1 << 22
+QUERY_BYTES = 1 << 23
 #: A query of more different words is long: nearly every block of its words can hold one of the best, so they are all added up, without bounds.
 LONG = 8
 #: Long queries that are searched together.
@@ -302,7 +302,7 @@ class Shard:
         self.unique, self.at_unique, self.of = np.unique(self.ids, return_index=True, return_inverse=True)
         self.repeats = len(self.unique) if len(self.unique) < len(self.ids) else 0
         #: Of each asked term its first score here; the documents beside the scores, once all are scored, and arrays that are used again: new memory costs more than what is done in it.
-        self.add_at, self.asked_docs, self.room, self.matrices = np.cumsum(self.sizes) - self.sizes, None, (np.empty(0),) * 4, (np.empty(0),) * 2
+        self.add_at, self.asked_docs, self.room, self.matrices = np.cumsum(self.sizes) - self.sizes, None, np.empty(0), (np.empty(0),) * 2
 
     @staticmethod
     def _scores(idf: np.ndarray, tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -333,6 +333,8 @@ class Shard:
             self.adds[into] = self._scores(np.repeat(self.idf[a : a + RUN_BLOCKS], sizes), self.counts[idx], self.norm[docs])
         self.blocks["scored"] += int((~self.scored).sum())
         self.scored[:] = True
+        ends = np.append(self.add_at, len(self.adds))
+        self.lists = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.sizes), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]) for x in (self.asked_docs, self.adds)]
 
     def _kth(self, scores: np.ndarray, k: int) -> float:
         """The k-th best score of different ids, 0 if there are fewer."""
@@ -453,25 +455,19 @@ class Shard:
         """Add all postings of terms."""
         order = np.argsort(weights, kind="stable")
         terms, weights = terms[order], weights[order]
-        ends = np.cumsum(self.sizes[terms])
-        for a, z in _runs(ends, RUN_POSTS):
-            sizes, starts = self.sizes[terms[a:z]], self.add_at[terms[a:z]]
-            first = np.cumsum(sizes) - sizes
+        for a, z in _runs(np.cumsum(self.sizes[terms]), RUN_POSTS):
+            sizes = self.sizes[terms[a:z]]
             m = int(sizes.sum())
             self.added += m
-            if len(self.room[0]) < m:
-                self.room = np.empty(m, np.int64), np.empty(m, np.uint16), np.empty(m, np.int32), np.empty(m)
-            at, docs, adds, more = (x[:m] for x in self.room)
-            at[:] = 1  # as _ranges(starts, sizes)
-            at[first] = starts
-            at[first[1:]] -= starts[:-1] + sizes[:-1] - 1
-            np.cumsum(at, out=at)
-            np.take(self.asked_docs, at, out=docs, mode="clip")
-            np.take(self.adds, at, out=adds, mode="clip")
-            more[:] = adds
-            if (many := a + int(np.searchsorted(weights[a:z], 1, side="right"))) < z:
-                more[first[many - a] :] *= np.repeat(weights[many:z], sizes[many - a :])
-            np.add.at(score, docs, more)
+            if len(self.room) < m:
+                self.room = np.empty(m)
+            # Arrow lays the terms' postings end to end as it does strings.
+            docs, adds = (np.frombuffer(lists.take(pa.array(terms[a:z])).buffers()[2], dtype, m) for lists, dtype in zip(self.lists, (np.uint16, np.int32), strict=True))
+            sums = self.room[:m]
+            sums[:] = adds
+            if (many := int(np.searchsorted(weights[a:z], 1, side="right"))) < z - a:
+                sums[int(sizes[:many].sum()) :] *= np.repeat(weights[a + many : z], sizes[many:])
+            np.add.at(score, docs, sums)
 
 
 def _dealt(manifest: DataFrame, blocks: int) -> DataFrame:
