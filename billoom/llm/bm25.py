@@ -58,8 +58,8 @@ LONG = 8
 RUN_QUERIES = 128
 #: Terms that so large a share of all pairs of a run's queries and a shard's documents have are added by a product of matrices, in which a pair costs as much less than a posting.
 COMMON = 1 / 60
-#: Bytes of the scores of those terms in a shard, and of the scores of a run's queries.
-MATRIX_BYTES = 1 << 25
+#: Bytes of the scores of those terms in a shard, and of the scores of the queries that are multiplied by them at a time.
+MATRIX_BYTES, SCORE_BYTES = 3 << 23, 1 << 23
 #: Words that tell kinds of queries apart, most kinds, rounds of k-means, and queries that are looked at for it and at a time.
 KIND_WORDS, KINDS, KIND_ROUNDS, KIND_SAMPLE = 256, 8, 8, 1 << 11
 SCALE = float(1 << 24)
@@ -231,10 +231,10 @@ def _dictionary(shard, asked: list[bytes] | None = None) -> dict[bytes, int]:
     return {w: k for w, k in zip(asked, _places(shard, asked).tolist(), strict=True) if k >= 0}
 
 
-def _places(shard, asked: list[bytes]) -> np.ndarray:
+def _places(shard, asked: list[bytes] | pa.LargeBinaryArray) -> np.ndarray:
     """The place of each asked word in a shard's dictionary, -1 where it is not in it."""
     # A table of the asked words alone: a shard has many more.
-    of = pc.fill_null(pc.index_in(_names(shard), pa.array(asked, pa.large_binary())), -1).to_numpy()
+    of = pc.fill_null(pc.index_in(_names(shard), asked if isinstance(asked, pa.Array) else pa.array(asked, pa.large_binary())), -1).to_numpy()
     there, place = np.flatnonzero(of >= 0), np.full(len(asked), -1)
     place[of[there]] = there
     return place
@@ -275,7 +275,7 @@ class Shard:
     ``blocks`` counts blocks: offered to queries, visited by them, and different ones scored; ``added`` the postings that were added one by one to a long query's scores.
     """
 
-    def __init__(self, shard, number: dict[bytes, int] | np.ndarray, asked: list[bytes], idf: np.ndarray, average: float):
+    def __init__(self, shard, number: dict[bytes, int] | np.ndarray, asked: list[bytes] | pa.LargeBinaryArray, idf: np.ndarray, average: float):
         self.ids, sizes = shard["ids"], shard["sizes"].astype(np.int64)
         place = number if isinstance(number, np.ndarray) else np.array([number.get(w, -1) for w in asked], np.int64)
         there = np.flatnonzero(place >= 0)
@@ -426,7 +426,7 @@ class Shard:
         common = common[np.argsort(-pairs[common], kind="stable")[: MATRIX_BYTES // (8 * n)]]
         column = np.full(len(self.sizes), -1)
         column[common] = np.arange(len(common))
-        some = max(1, min(len(queries), MATRIX_BYTES // (8 * n)))
+        some = max(1, min(len(queries), SCORE_BYTES // (8 * n)))
         self.matrices = tuple(old if len(old) >= cells else np.empty(cells) for old, cells in zip(self.matrices, (len(common) * n, some * n), strict=True))
         adds, scores = (m[: rows * n].reshape(rows, n) for m, rows in zip(self.matrices, (len(common), some), strict=True))
         adds[:] = 0
@@ -548,7 +548,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
                 if block != now:
                     now, q = block, None
                     q = dict(load_arrays(f"{folder}/queries-{block}.npz")) | dict(load_arrays(f"{folder}/idf-{block}.npz"))
-                    q["names"] = q["names"].tobytes().split(b" ")
+                    q["names"] = pa.array(q["names"].tobytes().split(b" "), pa.large_binary())
                 give_back()
                 shard = dict(load_arrays(path))
                 here = Shard(shard, _places(shard, q["names"]), q["names"], q["idf"], average)

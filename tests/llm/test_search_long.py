@@ -37,10 +37,11 @@ def _queries(rng, asked: list[bytes], ids: list[int], texts: list[str]):
 
 
 @pytest.mark.parametrize("repeats", [False, True])
-@pytest.mark.parametrize("run, matrix", [(128, 1 << 25), (7, 8 * DOCS * 3)])
+@pytest.mark.parametrize("run, matrix", [(128, 1 << 23), (7, 8 * DOCS * 3)])
 def test_long_queries_find_what_block_maxima_find(tmp_path, monkeypatch, repeats, run, matrix):
     monkeypatch.setattr(bm25, "RUN_QUERIES", run)
     monkeypatch.setattr(bm25, "MATRIX_BYTES", matrix)
+    monkeypatch.setattr(bm25, "SCORE_BYTES", matrix)
     rng = np.random.default_rng(3)
     texts = _texts(rng, DOCS)
     texts[700:720] = texts[:20]  # copies: ties go to the smaller id
